@@ -83,3 +83,17 @@ def losses(predicted: DataFrame, positive_weight: float = 5.0) -> DataFrame:
     p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col("pred")))
     entry = -(F.col("gold") * F.log(p) * positive_weight + (1 - F.col("gold")) * F.log(1 - p))
     return predicted.select("gold", entry.alias("l")).agg(F.avg("l").alias("mean_loss"), F.sum("l").alias("sum_loss"), ((F.avg(F.when(F.col("gold") == 1, F.col("l"))) + F.avg(F.when(F.col("gold") == 0, F.col("l")))) / 2).alias("class_mean_loss"))
+
+
+def dot_topk(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``q, cand, pos, score``: the k candidates of the largest dot product for each of a stated set of queries.
+
+    The queries are the small side by contract; every vector meets every query,
+    and each partition keeps its first k of a query before the shuffle.
+    """
+    from pyspark.sql import Window
+
+    q, c = queries.select(F.col(key).alias("q"), F.col(vector).alias("a")), vectors.select(F.col(key).alias("cand"), F.col(vector).alias("b"))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = c.join(q).select("q", "cand", F.round(dot, 6).alias("score"))
+    return scored.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cand"))).filter(F.col("pos") <= k).select("q", "cand", F.col("pos").cast("long").alias("pos"), "score")
