@@ -59,8 +59,8 @@ def url_parts(url):
     return host, F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def features(host: str, path: str) -> list[int]:
-    """Hashed n-grams of both, with marks for the ends."""
+def features(host: str, path: str) -> np.ndarray:
+    """The distinct hashed n-grams of both, with marks for the ends."""
     out = []
     for mark, s in ((b"h", host), (b"p", path)):
         if not s:
@@ -68,16 +68,16 @@ def features(host: str, path: str) -> list[int]:
         b = b"^" + s.encode("utf-8") + b"$"
         for n in SIZES:
             out += [zlib.crc32(mark + b[i : i + n]) % FEATURES for i in range(len(b) - n + 1)]
-    return out
+    return np.unique(np.array(out, np.int64))
 
 
 def train(labels: list[tuple[str, str, bool]], steps: int = 300, rate: float = 4.0, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept from rows of host, path and label, by gradient descent from zero."""
     if len(labels) > MAX_LABELLED:
         raise ValueError(f"the labelled table has more than {MAX_LABELLED} rows")
-    found = [np.unique(features(h, p)) for h, p, _ in labels]
+    found = [features(h, p) for h, p, _ in labels]
     row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    col = np.concatenate([*found, np.empty(0, int)]).astype(int)
+    col = np.concatenate([*found, np.empty(0, np.int64)])
     value = 1 / np.sqrt(np.array([max(1, len(f)) for f in found]))[row]
     y = np.array([float(b) for *_, b in labels])
     w, bias = np.zeros(FEATURES), 0.0
@@ -109,7 +109,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | No
 
         out = []
         for h, p in zip(hosts, paths, strict=True):
-            found = np.unique(features(h, p))
+            found = features(h, p)
             out.append(float(1 / (1 + np.exp(-(weights[found].sum() / np.sqrt(max(1, len(found))) + bias)))))
         return pd.Series(out, dtype="float64")
 
