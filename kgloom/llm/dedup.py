@@ -50,7 +50,7 @@ def bloom(positions: list, rows: DataFrame, bits: int, least: int) -> np.ndarray
     often = rows.select(F.explode(F.array(*positions)).alias("p")).groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     buckets = often.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     out = np.zeros(bits // 8 + 4096, np.uint8)
-    for b, m in buckets.toLocalIterator():  # at most bits / 32768 rows
+    for b, m in buckets.collect():  # at most bits / 32768 rows of 4 KB
         out[(b - 1) * 4096 :][: len(m)] = np.frombuffer(m, np.uint8)
     return out
 
