@@ -46,3 +46,10 @@ def synergy_pairs(lines: DataFrame, rules: DataFrame, least_lift: float = 0.01,
     two = rules.select(F.col("rule_id").alias("rule2"), F.col("p").alias("p2"))
     both = good.join(one, "rule1").join(two, "rule2").filter("p = p2").select("p", F.least("rule1", "rule2").alias("a"), F.greatest("rule1", "rule2").alias("b"), "line", "lift")
     return both.withColumn("rn", F.row_number().over(Window.partitionBy("p", "a", "b").orderBy("line"))).filter("rn = 1").select("p", "a", "b", "lift")
+
+
+def degree_normalised(pairs: DataFrame, alpha: float) -> DataFrame:
+    """``p, a, b, lift`` with the lift divided by ``(da * db) ** alpha``, a rule's degree being the pairs of its relation that it is in."""
+    ends = pairs.select("p", F.explode(F.array_distinct(F.array("a", "b"))).alias("r")).groupBy("p", "r").agg(F.count("*").alias("d"))
+    da, db = (ends.select("p", F.col("r").alias(x), F.col("d").alias(f"d{x}")) for x in "ab")
+    return pairs.join(da, ["p", "a"]).join(db, ["p", "b"]).select("p", "a", "b", (F.col("lift") / F.pow(F.col("da") * F.col("db"), F.lit(alpha))).alias("lift"))

@@ -67,3 +67,47 @@ def rule_index(texts: DataFrame, column: str = "value") -> DataFrame:
     lines = blocks.select(F.trim(F.substring_index("b", "\n", 1)).alias("rel"), F.explode(F.filter(F.split("b", "\n"), lambda x: F.size(F.split(x, "\t")) >= 5)).alias("line"))
     f = F.split("line", "\t")
     return lines.select("rel", f[0].cast("int").alias("local_idx"), f[1].cast("long").alias("num_preds"), f[2].cast("long").alias("num_true"), f[4].alias("rule"))
+
+
+def rankings(spark: SparkSession, path: str, top: int = 100, name: str = "*") -> DataFrame:
+    """``file, s, p, o, direction, pos, cand, conf`` of the ranking files whose name fits ``name``.
+
+    A record is a triple and its lines ``Heads:`` and ``Tails:`` of candidates and
+    confidences in turn; the first ``top`` candidates count, and blank lines do not.
+    """
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter=name)
+    lines = texts.select(F.input_file_name().alias("file"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines")).filter(F.size("lines") >= 3)
+    records = lines.select("file", F.explode(F.sequence(F.lit(0), F.floor(F.size("lines") / 3).cast("int") - 1)).alias("n"), "lines")
+
+    def side(direction, label, at):
+        fields = F.split(F.trim(F.regexp_replace(F.col("lines")[3 * F.col("n") + at], f"^{label}:", "")), r"\s+")
+        return F.struct(F.lit(direction).alias("direction"), fields.alias("fields"))
+
+    triple = F.split(F.trim(F.col("lines")[3 * F.col("n")]), r"\s+")
+    sides = records.select("file", *[triple[k].alias(c) for k, c in enumerate("spo")], F.explode(F.array(side("head", "Heads", 1), side("tail", "Tails", 2))).alias("x"))
+    sides = sides.select("file", "s", "p", "o", "x.direction", "x.fields").withColumn("many", F.least(F.floor(F.size("fields") / 2).cast("int"), F.lit(top))).filter("many > 0")
+    ranked = sides.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    return ranked.select("file", "s", "p", "o", "direction", "pos", F.col("fields")[2 * F.col("pos")].alias("cand"), F.col("fields")[2 * F.col("pos") + 1].cast("double").alias("conf"))
+
+
+def metric_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each ``metric-*.json`` of a folder, with its path as ``file``."""
+    return spark.read.json(folder, multiLine=True, pathGlobFilter="metric-*.json").withColumn("file", F.input_file_name())
+
+
+def write_weights(fitted: DataFrame, hits: DataFrame, path: str) -> None:
+    """Weights ``ruleID, original, trained, train_hit_count`` as CSV by relation; weights have seven digits."""
+    rows = fitted.join(hits.select("p", "rule_id", "train_hit_count"), ["p", "rule_id"], "left")
+    rows = rows.select("p", F.col("rule_id").alias("ruleID"), F.round("original", 7).alias("original"), F.round("trained", 7).alias("trained"), F.coalesce("train_hit_count", F.lit(0).cast("long")).alias("train_hit_count"))
+    rows.repartition("p").sortWithinPartitions("p", "ruleID").write.partitionBy("p").csv(path, header=True)
+
+
+def dataset_counts(splits: dict[str, DataFrame]) -> DataFrame:
+    """``split, triples, entities, relations`` of tables ``s, p, o``, and of all together as ``all``."""
+    rows = None
+    for name, df in splits.items():
+        part = df.select(F.lit(name).alias("split"), "s", "p", "o")
+        rows = part if rows is None else rows.unionByName(part)
+    both = rows.select(F.explode(F.array("split", F.lit("all"))).alias("split"), "s", "p", "o")
+    ends = both.select("split", F.explode(F.array("s", "o")).alias("e")).groupBy("split").agg(F.countDistinct("e").alias("entities"))
+    return both.groupBy("split").agg(F.count("*").alias("triples"), F.countDistinct("p").alias("relations")).join(ends, "split").select("split", "triples", "entities", "relations")
