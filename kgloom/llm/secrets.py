@@ -36,12 +36,21 @@ class Rule:
     least: int = 1
 
 
+_LABEL = r"[A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+#: A key from BEGIN to END; without END its header lines and the base64 that follows, to a short last line and a checksum.
+#: Loops over groups are possessive, which Java runs without recursion; none passes a further ``-----``.
+PRIVATE = (
+    rf"-----BEGIN {_LABEL}(?:(?:[^-]++|-(?!----))*+-----END {_LABEL}"
+    r"|(?:(?:[\s>]|\\[nr])*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+)*+"
+    r"(?:(?:[\s>]|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++"
+    r"(?:(?:\r?\n|\\n)[\x20>]*+[A-Za-z0-9+/]{1,15}+(?=\x20*+[\r\n\\]|(?![\s\S])))?+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{0,15}+={1,2}+[A-Za-z0-9+/]{0,4}+){0,2}+)?"
+)
 #: The base rules first, in the order of their kinds (fixed patterns), then those the method adds.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
-    Rule("private", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private", PRIVATE),
     Rule("repo", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),

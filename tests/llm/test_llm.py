@@ -154,6 +154,29 @@ def test_trigram_queries_are_implied_by_their_rules():
                 assert not secrets.trigram_query(rule.pattern) or any(all(g in text.lower() for g in c) for c in secrets.trigram_query(rule.pattern))
 
 
+def test_private_keys_are_masked_whole(spark):
+    line = lambda k: base64.b64encode(hashlib.sha512(str(k).encode()).digest()[:48]).decode()
+    body = "\n".join(line(k) for k in range(25)) + "\nQUJD\n"
+    given = []
+    for label in ("", "RSA ", "OPENSSH ", "ENCRYPTED "):
+        given.append(f"a -----BEGIN {label}PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}-----END {label}PRIVATE KEY-----\n after it")
+        given.append(f"a -----BEGIN {label}PRIVATE KEY-----\n{body}\n after it")  # no END
+        given.append(f"a -----BEGIN {label}PRIVATE KEY-----\r\n" + body.replace("\n", "\r\n") + " after it")
+    given.append("a " + f"-----BEGIN PRIVATE KEY-----\n{body}-----END PRIVATE KEY-----".replace("\n", "\\n") + " after it")
+    given.append(f"a -----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x - y\n\n{body}=aB3d\n-----END PGP PRIVATE KEY BLOCK-----\n after it")
+    given.append(f"a -----BEGIN PGP PRIVATE KEY BLOCK-----\n\n{body}=aB3d\n after it")
+    given.append("a -----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(line(k) for k in range(20_000)) + "\n-----END RSA PRIVATE KEY----- after it")
+    given.append(f"a -----BEGIN PRIVATE KEY-----\n{body}-----BEGIN PRIVATE KEY-----\n{body}-----END PRIVATE KEY----- after it")
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    for r in secrets.redacted(df).collect():
+        assert re.fullmatch(r"a (\[SECRET\]\s*)+ after it", r.text), r
+    kept = ["-----BEGIN PRIVATE KEY-----\nIt is a heading only. -----", "-----BEGIN PUBLIC KEY-----\nQUJD\n-----END PUBLIC KEY-----"]
+    got = {r.doc_id: r.text for r in secrets.redacted(spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string")).collect()}
+    assert got == {0: kept[0].replace("-----BEGIN PRIVATE KEY-----", "[SECRET]"), 1: kept[1]}
+    grams = secrets.trigram_query(next(r.pattern for r in secrets.RULES if r.kind == "private"))
+    assert grams and all({"pri", "key"} <= set(c) for c in grams)
+
+
 def test_exact_dedup(docs, clashing, empty, rows):
     groups = defaultdict(list)
     for i, t in rows:
