@@ -30,10 +30,19 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more the one with the least id stays."""
+    """Of documents linked by five-word shingles at 0.8 or more the one with the least id stays.
+
+    Rows are decided by id and text, as ids may repeat or be null; of rows equal in both one stays.
+    """
     found = saved(jaccard.near_duplicates(docs), "near")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    twice = found.filter("kept and repeats").groupBy(F.col("doc_id").alias("_twice"), F.col("text_sha256").alias("_twice_sha")).count().filter("count > 1").drop("count")
+    sha = F.sha2("text", 256)
+    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (sha == gone["_gone_sha"]), "left_anti")
+    if not twice.isEmpty():
+        again = stay["doc_id"].eqNullSafe(twice["_twice"]) & (sha == twice["_twice_sha"])
+        stay = stay.join(twice, again, "left_anti").unionByName(stay.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return stay.select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

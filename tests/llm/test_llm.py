@@ -365,3 +365,28 @@ def test_pipeline(spark, tmp_path, rows):
     assert dict(four)[990] == "hello [SECRET]' world of words and more"
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {i for i, _ in four}
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    def group(seed, n):
+        base = words(seed, 80)
+        return [" ".join([*base[: 80 - k], f"x{seed}{k}"]) for k in range(n)]
+
+    a, b, c, d, e = (group(700 + k, 3) for k in range(5))
+    alone = " ".join(words(720, 80))
+    given = [(1, a[0]), (9, a[1]), (9, alone)]  # a clean text shares the id of a near copy
+    given += [(2, b[0]), (2, b[1]), (3, b[2])]  # a near copy has the least id itself
+    given += [(None, c[0]), (None, c[1]), (4, c[2]), (None, d[0]), (None, d[1])]  # null ids, and only null ids
+    given += [(2, e[0]), (5, e[1])]  # another group with the same least id
+    given += [(6, "same words in this text"), (6, "same words in this text"), (7, None), (7, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in given], SCHEMA).repartition(4)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    count = lambda texts, ids: sum(t in texts and i in ids for i, t in got)
+    assert sorted(map(repr, [x for x in got if x[1] in (*a, alone)])) == sorted(map(repr, [(1, a[0]), (9, alone)]))
+    assert count(b, {2}) == 1 and count(b, {3}) == 0
+    assert [x for x in got if x[1] in c] == [(4, c[2])] and count(d, {None}) == 1
+    assert [x for x in got if x[1] in e] == [(2, e[0])]
+    assert got.count((6, "same words in this text")) == 1 and got.count((7, None)) == 2 and got.count((None, "")) == 1
+    assert len(got) == 10
