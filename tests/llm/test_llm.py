@@ -390,3 +390,31 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     assert [x for x in got if x[1] in e] == [(2, e[0])]
     assert got.count((6, "same words in this text")) == 1 and got.count((7, None)) == 2 and got.count((None, "")) == 1
     assert len(got) == 10
+
+
+@pytest.mark.parametrize("many, elements", [(64, 1_000_000), (4, 300)])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, many, elements):
+    monkeypatch.setattr(jaccard, "BLOCKS_FROM", many)
+    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", elements)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, n in enumerate((40, 12, 3, 2)):  # groups in which most sets are similar to each other
+        base = words(800 + g, 60)
+        for k in range(n):
+            w = list(base)
+            for _ in range(rng.integers(0, 2)):
+                w[rng.integers(0, len(w))] = f"z{rng.integers(0, 9)}"
+            rows.append((len(rows) % 50, " ".join(w[rng.integers(0, 3) :])))  # ids repeat
+    rows += [(None, rows[0][1].upper()), (7, rows[0][1]), (90, ""), (91, None), (92, "alone")]
+    sets = [frozenset(x) for x in brute_sets(rows)]
+    similar = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    classes = sorted({x for x in sets if x}, key=sorted)
+    links = {x: sum(x != y and similar(x, y) for y in classes) for x in classes}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.near_duplicates(docs, counted=True).select("doc_id", "n_shingles", "n_links").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, len(x), links.get(x, 0))) for (i, _), x in zip(rows, sets, strict=True))
+    least = {x: min(i for (i, _), y in zip(rows, sets, strict=True) if x == y and i is not None) for x in classes}
+    want = sorted(tuple(sorted((least[x], least[y]))) for n, x in enumerate(classes) for y in classes[:n] if similar(x, y))
+    pairs = jaccard.similar_pairs(docs).collect()
+    assert sorted(tuple(sorted((r.key_a, r.key_b))) for r in pairs) == want and len({(r.node_a, r.node_b) for r in pairs}) == len(pairs)
+    assert sum(links.values()) == 2 * len(want) > 2 * len(classes)
