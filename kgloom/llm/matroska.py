@@ -6,8 +6,8 @@ cues, to one row for each frame with track, timestamp and byte range.
 ``mux_samples`` writes bytes as a track of unsigned 8-bit PCM samples, which
 ``packets`` reads back without loss.  ``store_texts`` does both for a text column.
 
-Defined results: a null or broken file gives no packets (``strict`` makes it an
-error); null text counts as empty; repeated rows and null keys pass through; the
+Defined results: a null file gives no packets, a broken one those before the break, the
+last of them with an error (``strict`` makes it an error of the query); null text counts as empty; repeated rows and null keys pass through; the
 bytes of equal texts are equal.  Memory is bounded by one Arrow batch of rows
 and the largest single value.
 """
@@ -18,6 +18,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
@@ -28,14 +29,17 @@ from pyspark.sql import functions as F
 # Element ids of the Matroska specification (fixed values).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
+DEFAULT_DURATION, TAGS, CHAPTERS, ATTACHMENTS, SEEK_HEAD = 0x23E383, 0x1254C367, 0x1043A770, 0x1941A469, 0x114D9B74
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, FLAG_LACING, AUDIO = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0xE1
 SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
+#: Elements that end a cluster of unknown size.
+LEVEL_1 = {INFO, TRACKS, CLUSTER, CUES, TAGS, CHAPTERS, ATTACHMENTS, SEEK_HEAD, SEGMENT, EBML}
 MASTERS = {SEGMENT, TRACKS, INFO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS, TRACK_ENTRY, AUDIO, EBML}
 
-PACKET = "track long, timestamp_ns long, start long, length long, keyframe boolean, lacing string, cued boolean"
+PACKET = "track long, timestamp_ns long, start long, length long, keyframe boolean, lacing string, cued boolean, codec string, error string"
 
 
 class Packet(NamedTuple):
@@ -46,6 +50,8 @@ class Packet(NamedTuple):
     keyframe: bool
     lacing: str
     cued: bool
+    codec: str | None = None
+    error: str | None = None
 
 
 # Reading
@@ -65,19 +71,85 @@ def vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int, boo
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
     """Id, body start and body end of the elements between two places.
 
-    A segment or cluster of unknown size reaches to the end of its parent; the
-    reader then meets the next cluster inside it and treats it as a sibling.
+    A segment of unknown size reaches to the end of its parent, a cluster of
+    unknown size to the next element that cannot be inside one.
     """
     while at < end:
         ident, at, _ = vint(data, at, keep_marker=True)
         size, at, unknown = vint(data, at)
         stop = end if unknown else at + size
+        if unknown and ident == CLUSTER:
+            stop = cluster_end(data, at, end)
         if stop > end:
             raise ValueError(f"element {ident:x} ends beyond its parent")
         yield ident, at, stop
         at = stop
 
 
+def cluster_end(data: bytes, at: int, end: int) -> int:
+    """Where a cluster of unknown size ends whose body begins at ``at``; a broken element is left to its reader."""
+    while at < end:
+        try:
+            ident, body, _ = vint(data, at, keep_marker=True)
+            if ident in LEVEL_1:
+                return at
+            size, body, unknown = vint(data, body)
+        except (ValueError, IndexError):
+            return end
+        if unknown or body + size > end:
+            return end
+        at = body + size
+    return end
+
+
+@dataclass
+class Track:
+    """What a track's entry says about the time of its frames."""
+
+    codec: str | None = None
+    duration_ns: int | None = None
+    rate: float = 8000.0
+    channels: int = 1
+    bits: int | None = None
+
+    def spans(self, sizes: list[int], block_ns: int | None) -> list[int]:
+        """When each frame of a block begins after the first, in nanoseconds.
+
+        By the frames' default duration, for PCM by their samples, else by an even
+        part of the block's own duration; 0 where the file says nothing of these.
+        """
+        if self.duration_ns:
+            return [n * self.duration_ns for n in range(len(sizes))]
+        width = (self.bits or 0) * self.channels
+        if (self.codec or "").startswith("A_PCM/") and width and self.rate > 0:
+            before, out = 0, []
+            for size in sizes:
+                out.append(round(before * 8 * 1_000_000_000 / (width * self.rate)))
+                before += size
+            return out
+        return [n * block_ns // len(sizes) if block_ns else 0 for n in range(len(sizes))]
+
+
+def read_track(data: bytes, at: int, end: int) -> tuple[int, Track]:
+    number, track = 0, Track()
+    for ident, x, y in elements(data, at, end):
+        if ident == TRACK_NUMBER:
+            number = unsigned(data, x, y)
+        elif ident == CODEC_ID:
+            track.codec = data[x:y].rstrip(b"\0").decode("ascii", "replace")
+        elif ident == DEFAULT_DURATION:
+            track.duration_ns = unsigned(data, x, y)
+        elif ident == AUDIO:
+            for i, a, b in elements(data, x, y):
+                if i == SAMPLING_FREQUENCY and b - a in (4, 8):
+                    track.rate = struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0]
+                elif i == CHANNELS:
+                    track.channels = unsigned(data, a, b)
+                elif i == BIT_DEPTH:
+                    track.bits = unsigned(data, a, b)
+    return number, track
+
+
 def unsigned(data: bytes, at: int, end: int) -> int:
     return int.from_bytes(data[at:end], "big")
 
@@ -110,23 +182,46 @@ def laced_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], i
     return [*sizes, end - at - sum(sizes)], at
 
 
-def read_packets(data: bytes) -> list[Packet]:
-    """The frames of a file in the order of their bytes."""
-    scale, out, cues, segment_at = 1_000_000, [], set(), 0
+def read_packets(data: bytes, strict: bool = True) -> list[Packet]:
+    """The frames of a file in the order of their bytes.
+
+    Where the file breaks off, an error; without ``strict`` the frames before the
+    break, the last of them with the ``error``.
+    """
+    scale, out, cues, tracks = 1_000_000, [], set(), {}
     places: list[int] = []  # the cluster of each packet, from the segment's body on
 
-    def block(at: int, end: int, cluster_at: int, cluster_time: int, key: bool | None) -> None:
-        track, at, _ = vint(data, at)
+    def block(at: int, end: int, cluster_at: int, cluster_time: int, key: bool | None, lasts: int | None = None) -> None:
+        number, at, _ = vint(data, at)
         offset, flags = struct.unpack_from(">hB", data, at)
         kind = flags >> 1 & 3
         sizes, at = laced_sizes(data, at + 3, end, kind)
         if min(sizes) < 0:
             raise ValueError("a laced frame ends before it begins")
-        for size in sizes:
-            out.append(Packet(track, (cluster_time + offset) * scale, at, size, bool(flags & 0x80) if key is None else key, ("none", "xiph", "fixed", "ebml")[kind], False))
+        track = tracks.get(number, Track())
+        for size, after in zip(sizes, track.spans(sizes, None if lasts is None else lasts * scale), strict=True):
+            out.append(Packet(number, (cluster_time + offset) * scale + after, at, size, bool(flags & 0x80) if key is None else key, ("none", "xiph", "fixed", "ebml")[kind], False, track.codec))
             places.append(cluster_at)
             at += size
 
+    def open_end(ident: int, at: int, end: int) -> tuple[int, bool]:
+        """The end of an element's body, cut at its parent's, and whether it was cut."""
+        size, body, unknown = vint(data, at)
+        stop = cluster_end(data, body, end) if unknown and ident == CLUSTER else end if unknown else body + size
+        return min(stop, end), stop > end
+
+    def children(at: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """Elements, of which the last may be a cluster or segment that is cut off; its own good elements come before the error."""
+        while at < end:
+            ident, after, _ = vint(data, at, keep_marker=True)
+            stop, cut = open_end(ident, after, end)
+            if cut and ident not in (SEGMENT, CLUSTER):
+                raise ValueError(f"element {ident:x} ends beyond its parent")
+            yield ident, vint(data, after)[1], stop
+            if cut:
+                raise ValueError(f"element {ident:x} ends beyond its parent")
+            at = stop
+
     def cluster(at: int, end: int, own: int) -> None:
         time = 0
         for ident, x, y in elements(data, at, end):
@@ -137,28 +232,39 @@ def read_packets(data: bytes) -> list[Packet]:
             elif ident == BLOCK_GROUP:
                 parts = {i: (a, b) for i, a, b in elements(data, x, y)}
                 if BLOCK in parts:
-                    block(*parts[BLOCK], own, time, REFERENCE_BLOCK not in parts)
-            elif ident == CLUSTER:  # after a cluster of unknown size
-                cluster(x, y, x)
-
-    for ident, at, end in elements(data, 0, len(data)):
-        if ident != SEGMENT:
-            continue
-        segment_at, from_here = at, at
-        for child, x, y in elements(data, at, end):
+                    block(*parts[BLOCK], own, time, REFERENCE_BLOCK not in parts, unsigned(data, *parts[BLOCK_DURATION]) if BLOCK_DURATION in parts else None)
+
+    def segment(at: int, end: int) -> None:
+        nonlocal scale
+        from_here = begin = at
+        for child, x, y in children(at, end):
             if child == INFO:
                 scale = next((unsigned(data, a, b) for i, a, b in elements(data, x, y) if i == TIMESTAMP_SCALE), scale)
+            elif child == TRACKS:
+                tracks.update(read_track(data, a, b) for i, a, b in elements(data, x, y) if i == TRACK_ENTRY)
             elif child == CLUSTER:
-                cluster(x, y, from_here - segment_at)
+                cluster(x, y, from_here - begin)
             elif child == CUES:
                 for i, a, b in elements(data, x, y):
                     if i == CUE_POINT:
-                        cues |= {unsigned(data, c, d) for j, e, f in elements(data, a, b) if j == CUE_TRACK_POSITIONS for k, c, d in elements(data, e, f) if k == CUE_CLUSTER_POSITION}
+                        cues.update(unsigned(data, c, d) for j, e, f in elements(data, a, b) if j == CUE_TRACK_POSITIONS for k, c, d in elements(data, e, f) if k == CUE_CLUSTER_POSITION)
             from_here = y
+
+    error = None
+    try:
+        for ident, at, end in children(0, len(data)):
+            if ident == SEGMENT:
+                segment(at, end)
+    except (ValueError, IndexError, struct.error) as e:
+        if strict:
+            raise
+        error = str(e) or type(e).__name__
     firsts = {p: n for n, p in reversed(list(enumerate(places)))}
     for p, n in firsts.items():
         if p in cues:
             out[n] = out[n]._replace(cued=True)
+    if error and out:
+        out[-1] = out[-1]._replace(error=error)
     return out
 
 
@@ -226,7 +332,8 @@ def packets(df: DataFrame, media: str = "media", key: str = "doc_id", strict: bo
     """``key, packet`` and the fields of ``PACKET``: one row for each frame of each file.
 
     ``start`` and ``length`` are the frame's bytes in the file, ``packet`` counts
-    from 0 in a file.
+    from 0 in a file.  ``codec`` is the track's; ``error`` says on the last packet
+    before it why the file could not be read on.
     """
 
     @F.pandas_udf(f"array<struct<{PACKET.replace(' ', ':').replace(',:', ', ')}>>")
@@ -235,12 +342,7 @@ def packets(df: DataFrame, media: str = "media", key: str = "doc_id", strict: bo
 
         out = []
         for data in files:
-            try:
-                out.append([] if data is None else [p._asdict() for p in read_packets(data)])
-            except (ValueError, IndexError, struct.error):
-                if strict:
-                    raise
-                out.append([])
+            out.append([] if data is None else [p._asdict() for p in read_packets(data, strict)])
         return pd.Series(out, dtype=object)
 
     rows = df.select(F.col(key).alias("_key"), parse(F.col(media)).alias("_p"))

@@ -418,3 +418,39 @@ def test_jaccard_join_counts_every_link(spark, monkeypatch, many, elements):
     pairs = jaccard.similar_pairs(docs).collect()
     assert sorted(tuple(sorted((r.key_a, r.key_b))) for r in pairs) == want and len({(r.node_a, r.node_b) for r in pairs}) == len(pairs)
     assert sum(links.values()) == 2 * len(want) > 2 * len(classes)
+
+
+def test_matroska_times_of_laced_frames():
+    found = matroska.read_packets(matroska.mux_samples(bytes(20 * 1024 + 64)))
+    assert [p.timestamp_ns for p in found] == [n * 128_000_000 for n in range(21)] and {p.codec for p in found} == {"A_PCM/INT/LIT"}
+    entry = matroska.uint(matroska.TRACK_NUMBER, 1) + matroska.element(matroska.CODEC_ID, b"A_OPUS") + matroska.uint(matroska.DEFAULT_DURATION, 20_000_000)
+    body = matroska.element(matroska.TRACKS, matroska.element(matroska.TRACK_ENTRY, entry)) + matroska.element(matroska.CLUSTER, matroska.uint(matroska.TIMESTAMP, 7) + matroska.simple_block(1, 3, [b"a", b"bb", b"c"]))
+    found = matroska.read_packets(matroska.element(matroska.SEGMENT, body))
+    assert [(p.timestamp_ns, p.codec) for p in found] == [(10_000_000, "A_OPUS"), (30_000_000, "A_OPUS"), (50_000_000, "A_OPUS")]
+
+
+def test_matroska_clusters_of_unknown_size():
+    head = lambda ident: ident.to_bytes(4, "big") + b"\x01" + b"\xff" * 7
+    body, places = b"", []
+    for n in range(3000):
+        places.append(len(body))
+        body += head(matroska.CLUSTER) + matroska.uint(matroska.TIMESTAMP, n) + matroska.simple_block(1, 0, [b"x"])
+    points = b"".join(matroska.element(matroska.CUE_POINT, matroska.uint(matroska.CUE_TIME, n) + matroska.element(matroska.CUE_TRACK_POSITIONS, matroska.uint(matroska.CUE_CLUSTER_POSITION, places[n]))) for n in (0, 2999))
+    found = matroska.read_packets(head(matroska.SEGMENT) + body + matroska.element(matroska.CUES, points))
+    assert [p.timestamp_ns for p in found] == [n * 1_000_000 for n in range(3000)]
+    assert [n for n, p in enumerate(found) if p.cued] == [0, 2999]
+
+
+def test_matroska_keeps_the_packets_before_a_break(spark):
+    whole = matroska.mux_samples(bytes(range(256)) * 1000)
+    good = matroska.read_packets(whole)
+    for cut in (len(whole) - 10, len(whole) - 3000, len(whole) // 2):
+        found = matroska.read_packets(whole[:cut], strict=False)
+        ends = [p for p in good if p.start + p.length <= cut]
+        assert found and [p.start for p in found] == [p.start for p in good[: len(found)]] and len(ends) - len(found) < 8
+        assert found[-1].error and not any(p.error for p in found[:-1])
+        with pytest.raises(ValueError):
+            matroska.read_packets(whole[:cut])
+    df = spark.createDataFrame([(1, whole[:-10]), (2, whole)], "doc_id long, media binary")
+    rows = lists(matroska.packets(df))
+    assert len(rows[1]) == len(rows[2]) == len(good) and [sum(r.error is not None for r in rows[k]) for k in (1, 2)] == [1, 0]
