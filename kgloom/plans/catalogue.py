@@ -116,6 +116,32 @@ def kg_eval_keys(spark, d):
     return graph.answers(graph.project(spark, d, SMALL)).select("direction", "p", "q").distinct().groupBy("direction", "p").agg(F.count("*").alias("keys"))
 
 
+# The same over all relations
+
+
+@query(", e as (select row_number() over (order by token) - 1 as id, token from (select s as token from triples union select o from triples)), r as (select row_number() over (order by p) - 1 as id, p from (select distinct p from triples)) select a.id as s, r.id as p, b.id as o from triples t join e a on a.token = t.s join r on r.p = t.p join e b on b.token = t.o")
+def kg_encode_all(spark, d):
+    t = graph.project(spark, d)
+    relations = graph.numbered(t.select("p").distinct(), [F.col("p")], "id").withColumnRenamed("p", "token")
+    return graph.encode(t, graph.sorted_dictionary(t), relations, strict=True)
+
+
+@query(", a as (select 'tail' as direction, p, s as q, o as a from triples union select 'head', p, o, s from triples) select direction, p, q, count(*) as n from a group by all")
+def kg_sp_index_all(spark, d):
+    return graph.answers(graph.project(spark, d)).groupBy("direction", "p", "q").agg(F.count("*").alias("n"))
+
+
+@query(", a as (select 'tail' as direction, p, s as q from triples union select 'head', p, o from triples) select direction, p, count(*) as keys from a group by all")
+def kg_eval_keys_all(spark, d):
+    return graph.answers(graph.project(spark, d)).select("direction", "p", "q").distinct().groupBy("direction", "p").agg(F.count("*").alias("keys"))
+
+
+@query("select r.p, count(t.q) as n from (select distinct p from triples) r left join (select 'shipped_by' as p, q from golds) t using (p) group by r.p")
+def kg_relation_counts_of_split(spark, d):
+    """The test split of shipped_by against all relations."""
+    return graph.relation_counts(golds(spark, d).select(F.lit("shipped_by").alias("p")), graph.project(spark, d).select("p").distinct())
+
+
 # Rules
 
 _RULE = """case p_partkey % 6 when 0 then 'r' || cast(p_partkey % 7 as {S}) || '(X,Y) <= r' || cast(p_partkey % 5 as {S}) || '(Y,X)'

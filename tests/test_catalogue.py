@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from kgloom.plans import catalogue
 
@@ -43,3 +44,10 @@ def test_flagship_values(spark):
 def test_fit_lowers_the_loss(spark, name):
     found = catalogue.QUERIES[name](spark, DATA).collect()
     assert found and all(r.last_loss < r.first_loss and r.trained >= 0 for r in found)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_graph_queries_over_all_relations(spark):
+    projected = {r.p: r.n for r in catalogue.QUERIES["kg_projection_counts"](spark, DATA).collect()}
+    encoded = {r.p: r.n for r in catalogue.QUERIES["kg_encode_all"](spark, DATA).groupBy("p").agg(F.count("*").alias("n")).collect()}
+    assert encoded == dict(enumerate(projected[p] for p in sorted(projected))) and len(encoded) == 10
