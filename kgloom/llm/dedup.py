@@ -1,16 +1,21 @@
 """Exact deduplication with two passes over a Bloom filter.
 
-Pass one sets, for every text hash, ``HASHES`` positions of a filter and keeps
-the positions that were set more than once.  Pass two looks every hash up: if
-any of its positions was set once only, the text is unique and its row passes
-straight through.  Only the rows left, the repeated texts and a few false
-positives, are shuffled by the strong digest and grouped.  Digests decide, so a
-false positive costs a shuffled row and never changes a result.
-
-The filter has ``BITS_PER_ROW`` bits a row up to ``MAX_BITS``, which bounds what
-is broadcast (64 MB); beyond that more rows are shuffled, with the same result.
-A text that a third of the rows share is counted by partial aggregation, and the
-join back leaves that key to the skew-join splitting of adaptive execution.
+Pass one: every task sets ``HASHES`` positions of a filter for each text's
+digest, in two bitmaps (set, and set again), and sends these on as the lists of
+its positions, two bytes each; merged, they tell the positions that were set more
+than once.  Pass two looks every digest up: if any of its positions was set once
+only, the text is unique and its row passes straight through.  Only the rows
+left, the repeated texts and a few false positives, shuffle and are grouped by
+the strong digest.  Digests decide, so a false positive costs a shuffled row and
+never changes a result.
+
+The filter has ``BITS_PER_ROW`` bits a row at any size.  It covers one range of
+the digests at a time, of about ``RANGE_BITS`` bits, which bounds what a task
+holds and what is broadcast (64 MB); more rows are more ranges.
+
+A text that a third of the rows share sets its positions once a task, is counted
+by partial aggregation, and its rows are left to the skew-join splitting of
+adaptive execution.
 
 Defined results: null text counts as empty; rows that share key and text are all
 kept or all dropped together by :func:`exact_dedup` and leave one row in
@@ -30,78 +35,180 @@ from .common import saved
 
 BITS_PER_ROW = 16
 HASHES = 2
-MAX_BITS = 2**29
+RANGE_BITS = 2**29
+#: Positions that a task holds before it sends them on.
+FLUSH = 2_000_000
+BUCKET = 2**16
 
 
-def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``k, text_sha256`` of each row's text after lower-casing A-Z."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            digests = [hashlib.sha256(t.lower() if t else b"").hexdigest() for t in batch.column(1).to_pylist()]  # bytes.lower() knows A-Z only
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["k", "text_sha256"])
-
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).mapInArrow(run, f"k {kind}, text_sha256 string")
-
+def digests(texts: pa.Array) -> list[str]:
+    """The SHA-256 of each text (binary) after lower-casing A-Z."""
+    return [hashlib.sha256(t.lower() if t else b"").hexdigest() for t in texts.to_pylist()]  # bytes.lower() knows A-Z only
 
-def bloom(positions: list, rows: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Pass one: the bits that the rows set at least ``least`` times."""
-    often = rows.select(F.explode(F.array(*positions)).alias("p")).groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    buckets = often.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    out = np.zeros(bits // 8 + 4096, np.uint8)
-    for b, m in buckets.collect():  # at most bits / 32768 rows of 4 KB
-        out[(b - 1) * 4096 :][: len(m)] = np.frombuffer(m, np.uint8)
-    return out
 
+def folded_sha256(text):
+    """A column: the SHA-256 of a text column after lower-casing A-Z, null counted as empty."""
 
-def _looked_up(bits: int, table: np.ndarray, spark, digest_columns):
-    """A column that is true where all positions of a digest are set in the broadcast filter."""
-    shared = spark.sparkContext.broadcast(table)
+    @F.arrow_udf("string")
+    def digest(texts):
+        return pa.array(digests(texts), pa.string())
 
-    @F.pandas_udf("boolean")
-    def look_up(first, second):
-        import pandas as pd
+    return digest(F.col(text).cast("binary"))
 
-        held, out = shared.value, True
-        for p in (first.to_numpy() - 1, second.to_numpy() - 1):
-            out = out & ((held[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
-        return pd.Series(out)
 
-    return lambda col: look_up(*_positions(F.col(col), bits))
+def _words(column: pa.Array) -> np.ndarray:
+    """The first three 64-bit words of each hex digest."""
+    return np.frombuffer(bytes.fromhex("".join(x[:48] for x in column.to_pylist())), ">u8").astype(np.uint64).reshape(-1, 3)
 
 
-def _positions(col, bits: int) -> list:
-    """Positions of a value in the filter, from 1, as ``bitmap_bucket_number`` counts."""
-    return [F.pmod(F.xxhash64(col, F.lit(n)), F.lit(bits)) + 1 for n in range(HASHES)]
+class Filter:
+    """The filter of one range of the digests (hex columns) of a table.
 
+    ``among`` and ``maybe`` make boolean columns: whether a digest is in the range, and
+    whether all its positions were set at least ``least`` times.
+    """
 
-def _bits(rows: int, max_bits: int) -> int:
-    return min(max_bits, max(2**15, 1 << (BITS_PER_ROW * rows).bit_length()))
-
+    def __init__(self, rows: DataFrame, digest: str, number: int, ranges: int, bits: int, least: int):
+        self.number, self.ranges, self.bits = number, ranges, bits
+        self.table = rows.sparkSession.sparkContext.broadcast(self._built(rows, digest, least))
+
+    def _built(self, rows: DataFrame, digest: str, least: int) -> np.ndarray:
+        number, ranges, bits = self.number, self.ranges, self.bits
+
+        def place(batches):
+            held, size = [], 0
+
+            def flush():
+                p, n = np.unique(np.concatenate(held), return_counts=True)
+                for at, part in ((0, p), (1, p[n > 1])):
+                    bucket = part // BUCKET
+                    for b, x, y in zip(*_runs(bucket), strict=True):
+                        yield b, at, (part[x:y] % BUCKET).astype("<u2").tobytes()
+
+            for batch in batches:
+                words = _words(batch.column(0))
+                words = words[words[:, 2] % np.uint64(ranges) == number]
+                held.append(_positions(words, bits).reshape(-1))
+                size += len(held[-1])
+                if size > FLUSH:
+                    yield from _rows(flush())
+                    held, size = [], 0
+            if size:
+                yield from _rows(flush())
+
+        def merge(batches):
+            once: dict[int, np.ndarray] = {}
+            twice: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for b, again, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    seen = once.setdefault(b, np.zeros(BUCKET, bool))
+                    low = np.frombuffer(low, "<u2")
+                    if again:
+                        twice.setdefault(b, np.zeros(BUCKET, bool))[low] = True
+                    else:
+                        twice.setdefault(b, np.zeros(BUCKET, bool))[low[seen[low]]] = True
+                        seen[low] = True
+            out = once if least == 1 else twice
+            for b, m in out.items():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.array([np.packbits(m, bitorder="little").tobytes()], pa.binary())], ["b", "again", "low"])
+
+        schema = "b int, again int, low binary"
+        placed = rows.select(digest).mapInArrow(place, schema)
+        buckets = -(-bits // BUCKET)
+        merged = placed.repartition(max(1, min(buckets, buckets // 64 + 8)), "b").mapInArrow(merge, schema)
+        table = np.zeros(buckets * BUCKET // 8, np.uint8)
+        for b, _, low in merged.toLocalIterator() if buckets > 1024 else merged.collect():  # at most RANGE_BITS bits
+            table[b * BUCKET // 8 :][: len(low)] = np.frombuffer(low, np.uint8)
+        return table
+
+    def among(self, digest):
+        """Whether the digest is in the range."""
+        if self.ranges == 1:
+            return F.lit(True)
+        number, ranges = self.number, self.ranges
+
+        @F.arrow_udf("boolean")
+        def inside(column):
+            return pa.array(_words(column)[:, 2] % np.uint64(ranges) == number)
+
+        return inside(digest)
+
+    def maybe(self, digest):
+        shared, bits = self.table, self.bits
+
+        @F.arrow_udf("boolean")
+        def look_up(column):
+            return pa.array(_held(shared.value, _words(column), bits))
+
+        return look_up(digest)
+
+
+def _runs(sorted_values: np.ndarray):
+    """The values of runs of equal ones, and where each begins and ends."""
+    cuts = np.flatnonzero(np.diff(sorted_values)) + 1
+    starts = np.concatenate([[0], cuts]).astype(int) if len(sorted_values) else np.empty(0, int)
+    return sorted_values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_values)][: len(starts)]
+
+
+def _rows(found, many: int = 1000):
+    held = []
+    for row in found:
+        held.append(row)
+        if len(held) == many:
+            yield _batch(held)
+            held = []
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows):
+    b, again, low = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(again, pa.int32()), pa.array(low, pa.binary())], ["b", "again", "low"])
+
+
+def _positions(words: np.ndarray, bits: int) -> np.ndarray:
+    return (words[:, :HASHES] % np.uint64(bits)).astype(np.int64)
+
+
+def _held(table: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    p = _positions(words, bits)
+    return ((table[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+
+
+def filters(rows: DataFrame, digest: str, least: int = 2, range_bits: int = RANGE_BITS) -> list[Filter]:
+    """Pass one over a saved table: a filter for each range of its digests."""
+    need = BITS_PER_ROW * max(1, rows.count())
+    ranges = -(-need // range_bits)
+    bits = -(-need // ranges // BUCKET) * BUCKET
+    return [Filter(rows, digest, n, ranges, bits, least) for n in range(ranges)]
+
+
+def split(df: DataFrame, digest, found: list[Filter]) -> tuple[DataFrame, DataFrame]:
+    """Pass two: the rows of ``df`` whose digest may be repeated, and those whose digest is not."""
+    maybe = once = None
+    for f in found:
+        one, two = df.filter(f.among(digest) & f.maybe(digest)), df.filter(f.among(digest) & ~f.maybe(digest))
+        maybe, once = one if maybe is None else maybe.unionByName(one), two if once is None else once.unionByName(two)
+    return maybe, once
 
-def possibly_repeated(rows: DataFrame, digest: str, max_bits: int = MAX_BITS):
-    """A function from a digest column to whether the digest may occur more than once in ``rows``.
 
-    Both passes: the filter is built from ``rows`` now, and looked up where the
-    returned column is used.
-    """
-    bits = _bits(rows.count(), max_bits)
-    return _looked_up(bits, bloom(_positions(F.col(digest), bits), rows, bits, 2), rows.sparkSession, digest)
+def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``k, text_sha256`` of each row's text after lower-casing A-Z."""
+    kind = docs.schema[key].dataType.simpleString()
 
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests(batch.column(1)), pa.string())], ["k", "text_sha256"])
 
-def possibly_among(rows: DataFrame, value: str, max_bits: int = MAX_BITS):
-    """A function from a column to whether its value may be among those of ``rows``."""
-    bits = _bits(rows.count(), max_bits)
-    return _looked_up(bits, bloom(_positions(F.col(value), bits), rows, bits, 1), rows.sparkSession, value)
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).mapInArrow(run, f"k {kind}, text_sha256 string")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bits: int = RANGE_BITS) -> DataFrame:
     """``key, keep_id, group_size, kept, text_sha256`` of every row; see the module's text."""
     rows = saved(fingerprints(docs, key, text), "fingerprints")
-    seen = rows.withColumn("maybe", possibly_repeated(rows, "text_sha256", max_bits)("text_sha256"))
-    once = seen.filter(~F.col("maybe")).select("k", F.col("k").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    possible = seen.filter("maybe").select("k", "text_sha256")
+    possible, unique = split(rows, F.col("text_sha256"), filters(rows, "text_sha256", range_bits=range_bits))
+    once = unique.select("k", F.col("k").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    possible = saved(possible, "possible")
     groups = saved(possible.groupBy("text_sha256").agg(F.max("k").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "copies")
     joined = possible.join(groups, "text_sha256", "left").select(
         "k",
@@ -113,19 +220,17 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bi
     return once.unionByName(joined).withColumnRenamed("k", key)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bits: int = RANGE_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of equal texts that with the largest key.
 
-    Only the decisions against a row travel to the join, so unique documents are
-    not touched by copies of others.  Rows that share key and text leave one.
+    Unique rows pass from the scan to the result without a shuffle.  Possibly
+    repeated ones are reduced to one row a text in each task, and these are
+    grouped.  Of rows that share key and text, one with the largest original text
+    stays.
     """
-    found = saved(exact_dedup(docs, key, text), "decisions")
-    gone = found.filter("not kept").select(F.col(key).alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    twice = found.filter("kept and group_size > 1").groupBy(F.col(key).alias("_twice"), F.col("text_sha256").alias("_twice_sha")).count().filter("count > 1").drop("count")
-    sha = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    stay = docs.join(gone, docs[key].eqNullSafe(gone["_gone"]) & (sha == gone["_gone_sha"]), "left_anti")
-    if twice.isEmpty():
-        return stay
-    single = stay.join(twice, stay[key].eqNullSafe(twice["_twice"]) & (sha == twice["_twice_sha"]), "left_anti")
-    many = stay.join(twice, stay[key].eqNullSafe(twice["_twice"]) & (sha == twice["_twice_sha"]), "left_semi")
-    return single.unionByName(many.dropDuplicates([key, text]))
+    rows = saved(fingerprints(docs, key, text).select("text_sha256"), "fingerprints")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    given = docs.select(row.alias("row"), folded_sha256(text).alias("digest"))
+    possible, unique = split(given, F.col("digest"), filters(rows, "text_sha256", range_bits=range_bits))
+    first = possible.groupBy("digest").agg(F.max_by("row", F.struct(F.col(f"row.`{key}`").alias("k"), F.col(f"row.`{text}`").alias("t"))).alias("row"))
+    return unique.select("row.*").unionByName(first.select("row.*"))

@@ -35,6 +35,8 @@ SAMPLE_DOCS = 2_000
 MIN_RATE = 0.004
 SHARE = 0.2
 SLOTS_PER_GRAM = 16
+#: Bytes of the texts that are looked up at a time.
+SLICE = 400_000
 #: Odd multipliers of the hash functions.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -131,7 +133,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     def count(batches):
         for batch in batches:
             langs = batch.column(0).to_numpy()
-            for at, part in chunks(batch.column(1), 1_000_000):
+            for at, part in chunks(batch.column(1), SLICE):
                 of = langs[at : at + len(part)]
                 seen = [np.unique(row.astype(np.uint64) << np.uint64(32) | g) for row, g in grams(part)]
                 pairs = np.unique(np.concatenate(seen))  # once for each document; an n-gram has 32 bits
@@ -153,23 +155,29 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     return Model(languages, [(r.g, sorted(r.ls)) for r in held.orderBy("g").toLocalIterator()])
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """``key``, the columns in ``keep``, ``lang_pred`` and ``score`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def judgement(spark, model: Model, text):
+    """A column ``lang_pred, score`` of the text column ``text``; only the texts go to Python, in small slices."""
+    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(series):
-        import pandas as pd
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(texts):
         import regex
 
         letter, m = regex.compile(r"\p{L}"), shared.value
         names, scores = [], []
-        for _, part in chunks(pa.array(series, pa.string()), 1_000_000):
+        for _, part in chunks(texts, SLICE):
             known = np.array([bool(m.languages and t and letter.search(t)) for t in part], bool)
             shares = m.shares(part) if m.languages else np.zeros((len(part), 1))
             best = shares.argmax(axis=1)
             names += [m.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
             scores += np.where(known, shares.max(axis=1), 0.0).tolist()
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        pa.default_memory_pool().release_unused()
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    return judge(F.col(text) if isinstance(text, str) else text)
 
-    return docs.select(F.col(key), *keep, judge(F.col(text)).alias("_j")).select(key, *keep, "_j.lang_pred", "_j.score")
+
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
+    """``key``, the columns in ``keep``, ``lang_pred`` and ``score`` of every row."""
+    judged = docs.select(F.struct(F.col(key), *keep).alias("_row"), judgement(docs.sparkSession, model, text).alias("_j"))
+    return judged.select(*[F.col(f"_row.`{c}`").alias(c) for c in (key, *keep)], "_j.lang_pred", "_j.score")

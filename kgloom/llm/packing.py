@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _UNSURE, chunks, default_vocabulary, vocabulary
+from .bpe import _UNSURE, PairIndexBPE, chunks, default_vocabulary
 from .common import saved
 
 TASK_ITEMS = 50_000
@@ -36,22 +36,28 @@ SLACK = 1 / 128
 
 
 class FastIds:
-    """Ids as the tokenizers library gives them, by a faster encoder where both agree."""
+    """Ids as the tokenizers library gives them, by a faster encoder where both agree.
+
+    One vocabulary is held: the library's is loaded only when a text needs it.
+    """
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        bpe = vocabulary(path)
-        self.library = Tokenizer.from_file(path)
-        self.fast = None
-        plain = {b: i for i, b in enumerate(bpe.bytes_of) if i not in bpe.added.values()}
+        bpe = PairIndexBPE(path)
+        self.path, self.library, self.fast = path, None, None
         if [m[2] for m in bpe.merged] == sorted(m[2] for m in bpe.merged):  # ids are in the order of the merges
+            added = set(bpe.added.values())
+            plain = {b: i for i, b in enumerate(bpe.bytes_of) if i not in added}
             self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens=bpe.added)
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or _UNSURE.search(text):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
             return self.library.encode(text, add_special_tokens=False).ids
         return self.fast.encode(text, allowed_special="all")
 
@@ -68,7 +74,7 @@ def pieces(docs: DataFrame, length: int = 1024, end_id: int = 2, key: str = "doc
         if path not in _fast:
             _fast[path] = FastIds(path)
         for batch in batches:
-            for at, part in chunks(batch.column(1)):
+            for at, part in chunks(batch.column(1), 2_000_000):
                 rows, cols = [], [[], [], [], []]
                 for n, t in enumerate(part):
                     ids = np.array([*(_fast[path](t) if t else ()), end_id], "<u4")

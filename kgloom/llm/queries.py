@@ -41,7 +41,7 @@ def op7_language_id(spark, sf_dir):
 
 
 def op8_jaccard_join(spark, sf_dir):
-    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), counted=True).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op8_jaccard_links(spark, sf_dir):

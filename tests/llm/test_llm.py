@@ -185,9 +185,11 @@ def test_exact_dedup(docs, clashing, empty, rows):
     for t, ids in groups.items():
         keep = max([i for i in ids if i is not None], default=None)
         want += [(i, keep if len(ids) > 1 else i, len(ids), i == keep if len(ids) > 1 else True, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
-    for bits in (dedup.MAX_BITS, 2**15):
-        assert sorted(map(repr, map(tuple, dedup.exact_dedup(clashing, max_bits=bits).collect()))) == sorted(map(repr, want))
-    assert dedup.deduplicated(clashing).count() == len(groups)
+    for bits in (dedup.RANGE_BITS, 2**9):  # one range of the digests, and several
+        assert sorted(map(repr, map(tuple, dedup.exact_dedup(clashing, range_bits=bits).collect()))) == sorted(map(repr, want))
+        stay = dedup.deduplicated(clashing, range_bits=bits)
+        assert stay.columns == clashing.columns
+        assert sorted(map(repr, ((r.doc_id, low(r.text)) for r in stay.collect()))) == sorted(map(repr, ((max([i for i in ids if i is not None], default=None), t) for t, ids in groups.items())))
     assert dedup.exact_dedup(empty).count() == 0 and dedup.deduplicated(empty).count() == 0
 
 
@@ -392,10 +394,10 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     assert len(got) == 10
 
 
-@pytest.mark.parametrize("many, elements", [(64, 1_000_000), (4, 300)])
-def test_jaccard_join_counts_every_link(spark, monkeypatch, many, elements):
-    monkeypatch.setattr(jaccard, "BLOCKS_FROM", many)
-    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", elements)
+@pytest.mark.parametrize("least, held", [(jaccard.LEAST_BLOCK, jaccard.HELD_LINKS), (300, 20)])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, least, held):
+    monkeypatch.setattr(jaccard, "LEAST_BLOCK", least)
+    monkeypatch.setattr(jaccard, "HELD_LINKS", held)
     rng = np.random.default_rng(8)
     rows = []
     for g, n in enumerate((40, 12, 3, 2)):  # groups in which most sets are similar to each other
@@ -411,7 +413,7 @@ def test_jaccard_join_counts_every_link(spark, monkeypatch, many, elements):
     classes = sorted({x for x in sets if x}, key=sorted)
     links = {x: sum(x != y and similar(x, y) for y in classes) for x in classes}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = jaccard.near_duplicates(docs, counted=True).select("doc_id", "n_shingles", "n_links").collect()
+    got = jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "n_links").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, len(x), links.get(x, 0))) for (i, _), x in zip(rows, sets, strict=True))
     least = {x: min(i for (i, _), y in zip(rows, sets, strict=True) if x == y and i is not None) for x in classes}
     want = sorted(tuple(sorted((least[x], least[y]))) for n, x in enumerate(classes) for y in classes[:n] if similar(x, y))
