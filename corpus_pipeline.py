@@ -19,14 +19,13 @@ LEAST_SCORE = 0.25
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay: not ``und``, and a score of ``LEAST_SCORE``."""
-    columns = docs.columns
-    judged = langid.predict(docs, langid.train(docs), keep=[c for c in columns if c != "doc_id"])
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    found = langid.judgement(spark, langid.train(docs), "text")
+    return docs.filter((found["lang_pred"] != "und") & (found["score"] >= LEAST_SCORE))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z the row with the largest id stays."""
-    return dedup.deduplicated(docs).select(*docs.columns)
+    return dedup.deduplicated(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are decided by id and text, as ids may repeat or be null; of rows equal in both one stays.
     """
-    found = saved(jaccard.near_duplicates(docs), "near")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    twice = found.filter("kept and repeats").groupBy(F.col("doc_id").alias("_twice"), F.col("text_sha256").alias("_twice_sha")).count().filter("count > 1").drop("count")
-    sha = F.sha2("text", 256)
-    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (sha == gone["_gone_sha"]), "left_anti")
-    if not twice.isEmpty():
-        again = stay["doc_id"].eqNullSafe(twice["_twice"]) & (sha == twice["_twice_sha"])
-        stay = stay.join(twice, again, "left_anti").unionByName(stay.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return stay.select(*docs.columns)
+    return jaccard.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
