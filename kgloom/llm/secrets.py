@@ -1,11 +1,14 @@
 """Secret scanning through a trigram inverted index, in DataFrame functions only.
 
 For every rule, a Boolean query of trigrams is derived from its expression: an
-OR over its alternatives of an AND over the trigrams that each must hold.  The
-index has a posting ``(trigram, document)`` for each trigram of the queries that
-a document's lower-cased text contains.  Postings of a query are intersected by
-counting, the candidates are joined back to their texts, and only there the
-expressions run.  Rules without a mandatory trigram scan every text.
+OR over its alternatives of an AND over the trigrams that each must hold.  Of
+each AND the trigram that is rarest in English is its pivot, whose posting list
+is taken first: a document in no pivot's list is a candidate of no rule, and its
+row passes straight through.  For the others the index has a posting ``(trigram,
+document)`` for each trigram of the queries that the lower-cased text contains.
+Postings of a query are intersected by counting, the candidates are joined back to
+their texts, and only there the expressions run.  Rules without a mandatory
+trigram scan every text where it stands.
 
 Spans are in code points with an exclusive end, leftmost and non-overlapping in
 each kind.  The positions are the running sums of the lengths of what
@@ -58,8 +61,11 @@ RULES = (
     Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
 )
 BASE = ("assign", "access", "hex")
-#: A derived query has at most so many alternatives; beyond, runs are dropped from it.
+#: A derived query has at most so many alternatives; beyond, a part of the expression counts as unknown text, which can only
+#: add candidates.  No rule above has so many.
 MOST_ALTERNATIVES = 64
+#: The letters of English from the most frequent on (fixed values).
+FREQUENCY = "etaoinsrhldcumfpgwybvkxjqz"
 
 
 def literals(pattern: str) -> list[list[str]] | None:
@@ -121,6 +127,24 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return sorted(sorted(c) for c in clauses if not any(d < c for d in clauses))
 
 
+def pivot(clause: list[str]) -> str:
+    """The trigram of a clause that should have the shortest posting list; the choice changes the cost only."""
+    return max(clause, key=lambda g: (sum(FREQUENCY.index(c) if c in FREQUENCY else 40 for c in g), g))
+
+
+def in_a_pivots_list(text, rules: tuple[Rule, ...]):
+    """Whether the text is in the posting list of a pivot."""
+    pivots = sorted({pivot(c) for rule in rules for c in trigram_query(rule.pattern)})
+
+    def any_of(low):
+        out = F.lit(False)
+        for g in pivots:
+            out = out | F.contains(low, F.lit(g))
+        return out
+
+    return F.exists(F.array(F.lower(text)), any_of)  # an array, so that the text is lower-cased once
+
+
 def postings(docs: DataFrame, trigrams: list[str], key: str = "k", text: str = "t") -> DataFrame:
     """The index: ``trigram, key`` for each of ``trigrams`` in each lower-cased text."""
     lowered = docs.select(key, F.lower(text).alias("_low"))
@@ -192,10 +216,19 @@ def with_spans(df: DataFrame, rule: Rule, n: int, wanted) -> DataFrame:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, t, found``: every row as a struct, its text, and its spans by start and then by the order of the rules."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].alias("k"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    out = rows.join(candidates(rows, rules), "k", "left").withColumn("rules", F.when(F.col("k").isNull(), F.lit(-1).cast("long")).otherwise(F.coalesce("rules", F.lit(0).cast("long"))))
-    for n, rule in enumerate(rules):
-        out = with_spans(out, rule, n, F.col("rules").bitwiseAND(1 << n) != 0 if trigram_query(rule.pattern) else F.lit(True))
-    return out.select("doc", "t", F.array_sort(F.concat(*[F.col(f"s{n}") for n in range(len(rules))])).alias("found"))
+    listed = F.col("k").isNotNull() & in_a_pivots_list(F.col("t"), rules)
+    some = rows.filter(listed)
+    some = some.join(candidates(some, rules), "k", "left").select("doc", "t", F.coalesce("rules", F.lit(0).cast("long")).alias("rules"))
+    others = rows.filter(~listed).select("doc", "t", F.when(F.col("k").isNull(), F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long")).alias("rules"))
+    everywhere = sum(1 << n for n, rule in enumerate(rules) if not trigram_query(rule.pattern))
+
+    def spans(out):
+        out = out.withColumn("rules", F.col("rules").bitwiseOR(everywhere))
+        for n, rule in enumerate(rules):
+            out = with_spans(out, rule, n, F.col("rules").bitwiseAND(1 << n) != 0)
+        return out.select("doc", "t", F.array_sort(F.concat(*[F.col(f"s{n}") for n in range(len(rules))])).alias("found"))
+
+    return spans(some).unionByName(spans(others))
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
