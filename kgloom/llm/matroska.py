@@ -200,6 +200,8 @@ def read_packets(data: bytes, strict: bool = True) -> list[Packet]:
             raise ValueError("a laced frame ends before it begins")
         track = tracks.get(number, Track())
         for size, after in zip(sizes, track.spans(sizes, None if lasts is None else lasts * scale), strict=True):
+            if not -(1 << 63) <= (cluster_time + offset) * scale + after < 1 << 63:
+                raise ValueError("a time has more than 64 bits")
             out.append(Packet(number, (cluster_time + offset) * scale + after, at, size, bool(flags & 0x80) if key is None else key, ("none", "xiph", "fixed", "ebml")[kind], False, track.codec))
             places.append(cluster_at)
             at += size
@@ -255,7 +257,7 @@ def read_packets(data: bytes, strict: bool = True) -> list[Packet]:
         for ident, at, end in children(0, len(data)):
             if ident == SEGMENT:
                 segment(at, end)
-    except (ValueError, IndexError, struct.error) as e:
+    except (ValueError, IndexError, OverflowError, struct.error) as e:
         if strict:
             raise
         error = str(e) or type(e).__name__

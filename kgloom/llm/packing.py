@@ -2,10 +2,10 @@
 
 1. Each partition packs its pieces best-fit, longest first.
 2. Bins that are full but for ``slack`` tokens are emitted.
-3. The underfull bins become items of fewer, larger partitions (a merge tree of
-   fan-in ``FAN_IN``) and are packed again, until one partition is left or the
-   tree cannot shrink because so many bins are left that a task would hold more
-   than ``TASK_ITEMS``; the bins left then are emitted as they are.
+3. The underfull bins become items of fewer partitions (a merge tree of fan-in
+   ``FAN_IN``, at most about ``TASK_ITEMS`` items each), dealt anew, and are packed again,
+   until one partition is left, or a round closes or merges less than the share
+   ``PROGRESS`` of its bins; the bins left then are emitted as they are.
 
 Every round is written to the shared folder, so that bins do not change when a
 task is repeated.  A task holds at most about ``TASK_ITEMS`` items; nothing is
@@ -33,6 +33,8 @@ TASK_ITEMS = 50_000
 FAN_IN = 8
 #: A round emits the bins that lack at most this share of a sequence.
 SLACK = 1 / 128
+#: A round that leaves more than all but this share of its bins is the last.
+PROGRESS = 0.01
 
 
 class FastIds:
@@ -169,13 +171,13 @@ def pack(cut: DataFrame, capacity: int = 1024, key: str = "doc_id", task_items:
     left, parts, number, out = items.count(), None, 0, whole
     while left:
         least = -(-left // task_items)
-        fewer = least if parts is None else max(least, -(-parts // FAN_IN))
-        last = fewer == 1 or parts is not None and fewer >= parts
-        parts = fewer
-        packed = saved(_pack(items.repartition(parts), number, capacity, capacity if last else capacity * slack), f"packed{number}")
-        out = out.unionByName(packed.filter("done").select("sequence_id", F.explode("members").alias("m")).select("m.*", "sequence_id"))
+        parts = least if parts is None else max(least, -(-parts // FAN_IN))
+        packed = saved(_pack(items.repartition(parts), number, capacity, capacity if parts == 1 else capacity * slack), f"packed{number}")
         items = packed.filter("not done")
-        left, number = 0 if last else items.count(), number + 1
+        before, left, number = left, items.count(), number + 1
+        still = left > (1 - PROGRESS) * before  # a round that merges next to nothing: other rounds would not either
+        out = out.unionByName((packed if still else packed.filter("done")).select("sequence_id", F.explode("members").alias("m")).select("m.*", "sequence_id"))
+        left = 0 if still else left
     return out.withColumnRenamed("k", key)
 
 
