@@ -11,9 +11,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _edges(triples: DataFrame) -> DataFrame:
-    """Both readings of each triple: ``rel, inv, a, b``."""
-    return triples.select(F.col("p").alias("rel"), F.lit(False).alias("inv"), F.col("s").alias("a"), F.col("o").alias("b")).unionByName(triples.select(F.col("p").alias("rel"), F.lit(True).alias("inv"), F.col("o").alias("a"), F.col("s").alias("b")))
+def _edges(triples: DataFrame, used: DataFrame) -> DataFrame:
+    """The readings ``rel, inv, a, b`` of the triples that the rules' ``rel, inv`` in ``used`` ask for.
+
+    The rules' relations cut the triples before any shuffle; Spark broadcasts them if they are few.
+    """
+    both = triples.select(F.col("p").alias("rel"), F.explode(F.array(F.struct(F.lit(False).alias("inv"), F.col("s").alias("a"), F.col("o").alias("b")), F.struct(F.lit(True).alias("inv"), F.col("o").alias("a"), F.col("s").alias("b")))).alias("x"))
+    return both.select("rel", "x.inv", "x.a", "x.b").join(used.distinct(), ["rel", "inv"], "left_semi")
+
+
+def _of(triples: DataFrame, rules: DataFrame, columns: list[str]) -> DataFrame:
+    """The triples of the relations that the rules name in ``columns``."""
+    named = rules.select(F.explode(F.array(*columns)).alias("p")).distinct()
+    return triples.join(named, "p", "left_semi")
 
 
 def cyclic(rules: DataFrame, triples: DataFrame, length: int, queries: DataFrame | None = None) -> DataFrame:
@@ -22,28 +32,32 @@ def cyclic(rules: DataFrame, triples: DataFrame, length: int, queries: DataFrame
     ``rules``: ``rule_id, rel1, inv1, ..., reln, invn``; ``inv`` says that an atom is
     written from right to left.  ``queries``: the values ``x`` to start from.
     """
-    edges = _edges(triples)
+    triples = _of(triples, rules, [f"rel{n}" for n in range(1, length + 1)])
     out = None
     for n in range(1, length + 1):
+        edges = _edges(triples, rules.select(F.col(f"rel{n}").alias("rel"), F.col(f"inv{n}").alias("inv")))
         step = edges.select(F.col("rel").alias(f"rel{n}"), F.col("inv").alias(f"inv{n}"), F.col("a").alias("x" if n == 1 else "_at"), F.col("b").alias("_to"))
         if n == 1:
             step = step if queries is None else step.join(queries.select("x").distinct(), "x", "left_semi")
             out = rules.join(step, ["rel1", "inv1"])
         else:
             out = out.withColumnRenamed("_to", "_at").join(step, [f"rel{n}", f"inv{n}", "_at"])
-        out = out.select("rule_id", *[c for m in range(n + 1, length + 1) for c in (f"rel{m}", f"inv{m}")], "x", "_to").distinct()
-    return out.select("rule_id", "x", F.col("_to").alias("y"))
+        out = out.select("rule_id", *[c for m in range(n + 1, length + 1) for c in (f"rel{m}", f"inv{m}")], "x", "_to")
+        if n > 1:
+            out = out.distinct()  # several groundings
+    return out.select("rule_id", "x", F.col("_to").alias("y")).distinct()
 
 
 def with_constant(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,c) <= b(X,d)``; ``rules``: ``rule_id, rel, inv, const, answer``."""
-    edges = _edges(triples)
+    edges = _edges(_of(triples, rules, ["rel"]), rules.select("rel", "inv"))
     return rules.join(edges.withColumnRenamed("b", "const"), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
 
 
 def dangling(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,c) <= b(X,A)``; ``rules``: ``rule_id, rel, inv, answer``."""
-    return rules.join(_edges(triples).select("rel", "inv", "a").distinct(), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
+    edges = _edges(_of(triples, rules, ["rel"]), rules.select("rel", "inv"))
+    return rules.join(edges.select("rel", "inv", "a").distinct(), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
 
 
 def zero(rules: DataFrame, queries: DataFrame) -> DataFrame:
@@ -53,10 +67,16 @@ def zero(rules: DataFrame, queries: DataFrame) -> DataFrame:
 
 def reflexive(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,X) <= b(X,d)``: the candidate is the query itself."""
-    edges = _edges(triples)
+    edges = _edges(_of(triples, rules, ["rel"]), rules.select("rel", "inv"))
     return rules.join(edges.withColumnRenamed("b", "const"), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
 
 
+def reflexive_dangling(rules: DataFrame, triples: DataFrame) -> DataFrame:
+    """``rule_id, x, y`` of rules ``h(X,X) <= b(X,A)``; ``rules``: ``rule_id, rel, inv``."""
+    edges = _edges(_of(triples, rules, ["rel"]), rules.select("rel", "inv"))
+    return rules.join(edges, ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
+
+
 def support(fired: DataFrame, known: DataFrame) -> DataFrame:
     """``rule_id, num_preds, num_true`` of fired rules ``rule_id, p, x, y`` against known triples."""
     true = known.select("p", F.col("s").alias("x"), F.col("o").alias("y"), F.lit(1).alias("hit")).distinct()
@@ -101,3 +121,15 @@ def reflexive_named(applied: DataFrame, q: str = "q", cand: str = "cand", name:
 def positive_ids(applied: DataFrame, column: str = "rule_ids") -> DataFrame:
     """Rule ids of 0 and less removed; the row stays even when none is left."""
     return applied.withColumn(column, F.filter(column, lambda x: x > 0))
+
+
+def first_unknown(scored: DataFrame, known: DataFrame, keys: list[str], k: int = 100, before: int = 3000, target: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first ``k`` candidates by score that no known triple answers, of the first ``before`` of all, and keys with fewer.
+
+    ``scored``: keys, ``cand, score``; ties go by ``cand``.  Returns keys, ``cand, score, pos`` from 1, and keys, ``n``.
+    """
+    best = lambda: Window.partitionBy(*keys).orderBy(F.desc("score"), "cand")
+    first = scored.withColumn("_n", F.row_number().over(best())).filter(F.col("_n") <= before).drop("_n")
+    top = unknown_only(first, known, keys, target).withColumn("pos", F.row_number().over(best())).filter(F.col("pos") <= k).select(*keys, "cand", "score", "pos")
+    many = scored.select(*keys).distinct().join(top.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"))
+    return top, many.filter(F.col("n") < k)

@@ -61,3 +61,56 @@ def with_fallback(relations: DataFrame, best: DataFrame, counts: DataFrame, keys
 def mean_of_top(confs, n: int = 10):
     """The sum of the first n confidences divided by n, however many there are."""
     return F.aggregate(F.slice(confs, 1, n), F.lit(0.0), lambda s, x: s + x) / n
+
+
+def counts_by_level(a: DataFrame) -> DataFrame:
+    """``level, entries, keys``: for the levels direction, relation, query and candidate, the entries and the distinct keys."""
+    rolled = a.rollup(*KEY).agg(F.count("*").alias("n"), F.grouping_id().alias("g")).filter("direction is not null")
+    name = F.create_map(*[F.lit(x) for pair in ((7, "direction"), (3, "relation"), (1, "query"), (0, "candidate")) for x in pair])
+    return rolled.groupBy(name[F.col("g").cast("int")].alias("level")).agg(F.sum("n").alias("entries"), F.count("*").alias("keys"))
+
+
+def summary(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a, b, common``: how many keys each table has, and both."""
+    sides = a.select(*KEY).distinct().withColumn("s", F.lit(1)).unionByName(b.select(*KEY).distinct().withColumn("s", F.lit(2)))
+    of = sides.groupBy(*KEY).agg(F.sum("s").alias("s"))
+    count = lambda *s: F.count(F.when(F.col("s").isin(*s), 1))
+    return of.agg(count(1, 3).alias("a"), count(2, 3).alias("b"), count(3).alias("common"))
+
+
+def first_of(rows: DataFrame, n: int, order: list) -> DataFrame:
+    """The first ``n`` rows in an order, for display."""
+    return rows.orderBy(*order).limit(n)
+
+
+def sample_differences(a: DataFrame, b: DataFrame, at: str = "sample") -> DataFrame:
+    """Samples of two datasets that are not the same: ``sample, what``, by position.
+
+    Both: ``sample, rule_ids, gold``.  ``what`` is missing (only in a), extra (only in b), gold, length or rules,
+    the first of these that differs; equal datasets give no row.  Rule lists are compared in their order, and nulls as values.
+    """
+    x = a.select(at, F.col("rule_ids").alias("ra"), F.col("gold").alias("ga"), F.lit(1).alias("_a"))
+    y = b.select(at, F.col("rule_ids").alias("rb"), F.col("gold").alias("gb"), F.lit(1).alias("_b"))
+    what = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").when(~F.col("ga").eqNullSafe(F.col("gb")), "gold").when(~F.size("ra").eqNullSafe(F.size("rb")), "length").when(~F.col("ra").eqNullSafe(F.col("rb")), "rules")
+    return x.join(y, at, "full_outer").select(at, what.alias("what")).filter("what is not null")
+
+
+def report(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``section, direction, p, q, cand, only_a, only_b, same_multiset``: all that differs between two applied-rules tables, a row each.
+
+    Sections: missing_query, extra_query, missing, extra, rules.
+    """
+    none = F.lit(None).cast("string")
+    rules = F.expr("cast(null as array<int>)")
+    queries = query_key_differences(a, b).select(F.when(F.col("side") == "a", "missing_query").otherwise("extra_query").alias("section"), "direction", "p", "q", F.lit(None).cast(dict(a.dtypes)["cand"]).alias("cand"), rules.alias("only_a"), rules.alias("only_b"), F.lit(None).cast("boolean").alias("same_multiset"))
+    keys = differences(a, b).filter("status <> 'same'").select(F.when(F.col("status") == "mismatch", "rules").otherwise(F.col("status")).alias("section"), *KEY, "only_a", "only_b", "same_multiset")
+    return queries.unionByName(keys)
+
+
+def report_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``target_keys_a, target_keys_b, query_keys_a, query_keys_b, query_keys_both, covers_a``: the head of a comparison report."""
+    keys = summary(a, b)
+    queries = a.select("direction", "p", "q").distinct().withColumn("s", F.lit(1)).unionByName(b.select("direction", "p", "q").distinct().withColumn("s", F.lit(2))).groupBy("direction", "p", "q").agg(F.sum("s").alias("s"))
+    count = lambda *s: F.count(F.when(F.col("s").isin(*s), 1))
+    both = queries.agg(count(1, 3).alias("query_keys_a"), count(2, 3).alias("query_keys_b"), count(3).alias("query_keys_both"))
+    return keys.crossJoin(both).select(F.col("a").alias("target_keys_a"), F.col("b").alias("target_keys_b"), "query_keys_a", "query_keys_b", "query_keys_both", (F.col("common") == F.col("a")).alias("covers_a"))  # one row each

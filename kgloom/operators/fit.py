@@ -1,17 +1,36 @@
-"""Fitting one weight a rule for each relation, with sign constraint, by Adam.
+"""Fitting weights of rules and rule pairs by relation, with Adam over all samples.
 
-One task fits one relation.  Its samples are aggregated by distinct rule list
-before they reach it (the loss of a list depends on its counts of both labels
-only), so a relation costs memory by its distinct lists and not by its samples.
+The loss of a sample hangs on its rule list and label only, so samples are reduced to
+distinct lists with their counts of both labels, and these are kept as one distributed
+table.  In each epoch every task adds up the gradient of its own lists, the sums meet
+by feature, and one step is taken for all relations at once.  No relation is ever
+brought to one task; the driver holds one number a rule or pair and optimiser state,
+at most ``MAX_FEATURES``.
+
+Models: ``linear`` (a logistic model over fired rules) and ``surprisal`` (a noisy-or:
+``1 - exp(-z)`` of the summed weights, ``gamma`` times those of fired pairs, and the
+squared bias).  ``constrained`` weights are squares of what is fitted, so they are not
+negative; otherwise a weight is what is fitted, and the surprisal model takes the
+softplus of its sum.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import product
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "p string, rule_id int, original double, trained double, bias double, first_loss double, last_loss double"
+from ..store import saved
+
+MODELS = ("linear", "surprisal")
+REDUCTIONS = ("mean", "sum", "class_mean")
+MAX_FEATURES = 5_000_000
+EPSILON = 1e-7
 
 
 def phase_lengths(epochs: int, phases: int) -> list[int]:
@@ -22,50 +41,209 @@ def phase_lengths(epochs: int, phases: int) -> list[int]:
     return [epochs // phases + (k < epochs % phases) for k in range(phases)]
 
 
-def fit(samples: DataFrame, rules: DataFrame, model: str = "linear", epochs: int = 60, rates: tuple[float, ...] = (0.01, 0.005, 0.001), positive_weight: float = 5.0) -> DataFrame:
-    """Weights of the rules of each relation; ``model`` is linear or surprisal.
+@dataclass
+class Fitted:
+    """``rules``: ``p, rule_id, original, trained``; ``pairs``: ``p, a, b, original, trained``; ``relations``: ``p, bias, gamma, first_loss, last_loss, epochs, status``; ``history``: ``p, direction, epoch`` and metrics."""
 
-    ``samples``: ``p, rule_ids, gold``; ``rules``: ``p, rule_id, conf``.  Weights are
-    squares of what is fitted, so they are not negative, and start at the
-    confidence (linear) or ``-log(1 - conf)``.
-    """
+    rules: DataFrame
+    pairs: DataFrame
+    relations: DataFrame
+    history: DataFrame | None = None
+
+
+def _features(rules: DataFrame, pairs: DataFrame | None, model: str) -> list[tuple]:
+    """``p, rule, second rule or None, initial effective weight`` of every feature, in order."""
+    start = F.col("conf") if model == "linear" else -F.log1p(-F.least("conf", F.lit(1 - EPSILON)))
+    rows = rules.select("p", F.col("rule_id").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), start.alias("w"))
+    if pairs is not None:
+        rows = rows.unionByName(pairs.select("p", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("lift").alias("w")))
+    found = rows.limit(MAX_FEATURES + 1).collect()
+    if len(found) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} rules and pairs")
+    return sorted(((r.p, r.a, r.b, max(0.0, r.w)) for r in found), key=lambda f: (f[0], f[1], f[2] is not None, f[2] or 0))
+
+
+def _prepared(samples: DataFrame, features: list[tuple], relations: list[str]) -> DataFrame:
+    """``rel, rules, pairs, pos, neg``: the distinct lists as numbers of features; ids that a relation does not have are ignored."""
     lists = samples.groupBy("p", F.sort_array("rule_ids").alias("rule_ids")).agg(F.sum("gold").cast("double").alias("pos"), F.sum(1 - F.col("gold")).cast("double").alias("neg"))
-    listed = lists.select("p", "rule_ids", "pos", "neg", F.lit(None).cast("int").alias("rule_id"), F.lit(None).cast("double").alias("conf"))
-    both = listed.unionByName(rules.select("p", F.lit(None).cast("array<int>").alias("rule_ids"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.col("rule_id").cast("int").alias("rule_id"), F.col("conf").cast("double").alias("conf")))
-
-    def one(pdf):
-        import pandas as pd
-
-        known = pdf[pdf.rule_id.notna()].sort_values("rule_id")
-        data = pdf[pdf.rule_id.isna()]
-        ids = known.rule_id.to_numpy().astype(int)
-        conf = known.conf.to_numpy()
-        start = conf if model == "linear" else -np.log1p(-np.minimum(conf, 1 - 1e-7))
-        at = {r: n for n, r in enumerate(ids.tolist())}
-        pairs = [(row, at[r]) for row, rs in enumerate(data.rule_ids) for r in rs if r in at]
-        row, col = (np.array(x, int) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, int), np.empty(0, int))
-        pos, neg = data.pos.to_numpy() * positive_weight, data.neg.to_numpy()
-        total = max(1.0, (data.pos + data.neg).sum())
-        x = np.append(np.sqrt(start), 0.0)  # the bias is last
-        m, v, first, loss = np.zeros_like(x), np.zeros_like(x), None, 0.0
-        step = 0
-        for rate, length in zip(rates, phase_lengths(epochs, len(rates)), strict=True):
-            for _ in range(length):
-                step += 1
-                w = x[:-1] ** 2
-                z = np.bincount(row, w[col], len(data)) + (x[-1] if model == "linear" else x[-1] ** 2)
-                if model == "linear":
-                    pred = 1 / (1 + np.exp(-z))
-                    pred_c = np.clip(pred, 1e-7, 1 - 1e-7)
-                    dz = neg * pred - pos * (1 - pred)
-                else:
-                    pred_c = np.clip(1 - np.exp(-z), 1e-7, 1 - 1e-7)
-                    dz = neg - pos * (1 - pred_c) / pred_c
-                loss = float(-(pos * np.log(pred_c) + neg * np.log(1 - pred_c)).sum() / total)
-                first = loss if first is None else first
-                g = np.append(np.bincount(col, dz[row], len(ids)) * 2 * x[:-1], dz.sum() * (1 if model == "linear" else 2 * x[-1])) / total
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        return pd.DataFrame({"p": pdf.p.iloc[0], "rule_id": ids.astype("int32"), "original": start, "trained": x[:-1] ** 2, "bias": x[-1], "first_loss": first or 0.0, "last_loss": loss})
-
-    return both.groupBy("p").applyInPandas(one, SCHEMA)
+    at, second, number = {}, {}, {p: n for n, p in enumerate(relations)}
+    for n, (p, a, b, _) in enumerate(features):
+        if b is None:
+            at[p, a] = n
+        else:
+            second.setdefault((p, a), []).append((b, n))
+    shared = samples.sparkSession.sparkContext.broadcast((at, second, number))
+
+    def run(batches):
+        at, second, number = shared.value
+        for batch in batches:
+            p, ids, pos, neg = (c.to_pylist() for c in batch.columns)
+            rows = [k for k in range(len(p)) if p[k] in number]
+            one = [[at[p[k], r] for r in ids[k] if (p[k], r) in at] for k in rows]
+            two = []
+            for k in rows:
+                held = set(ids[k])
+                two.append([n for a in held for b, n in second.get((p[k], a), ()) if b in held])
+            yield pa.RecordBatch.from_arrays([pa.array([number[p[k]] for k in rows], pa.int32()), pa.array(one, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32())), pa.array([pos[k] for k in rows], pa.float64()), pa.array([neg[k] for k in rows], pa.float64())], ["rel", "rules", "pairs", "pos", "neg"])
+
+    return saved(lists.select("p", "rule_ids", "pos", "neg").mapInArrow(run, "rel int, rules array<int>, pairs array<int>, pos double, neg double"), "lists")
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and values of a list column."""
+    sizes = np.diff(np.asarray(column.offsets))
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy()
+
+
+def _gradient(lists: DataFrame, state: tuple, size: int, relations: int, model: str, constrained: bool) -> np.ndarray:
+    """The summed gradient by what is fitted: features, then biases, gammas and, last, losses by relation."""
+    shared = lists.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches):
+        x, bias, gamma, scale_pos, scale_neg = shared.value
+        w = x * x if constrained else x
+        total = np.zeros(size + 3 * relations)
+        for batch in batches:
+            rel = batch.column(0).to_numpy()
+            (row, f), (prow, pf) = _flat(batch.column(1)), _flat(batch.column(2))
+            pos, neg = batch.column(3).to_numpy() * scale_pos[rel], batch.column(4).to_numpy() * scale_neg[rel]
+            pair_sum = np.bincount(prow, w[pf], len(rel))
+            b = bias[rel]
+            z = np.bincount(row, w[f], len(rel)) + gamma[rel] * pair_sum + (b * b if constrained and model == "surprisal" else b)
+            if model == "linear":
+                pred = 1 / (1 + np.exp(-z))
+                dz = neg * pred - pos * (1 - pred)
+            else:
+                slope = 1.0
+                if not constrained:
+                    slope, z = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)
+                pred = np.clip(1 - np.exp(-z), EPSILON, 1 - EPSILON)
+                dz = (neg - pos * (1 - pred) / pred) * slope
+            pred = np.clip(pred, EPSILON, 1 - EPSILON)
+            np.add.at(total, f, dz[row])
+            np.add.at(total, pf, (dz * gamma[rel])[prow])
+            np.add.at(total, size + rel, dz * (2 * b if constrained and model == "surprisal" else 1.0))
+            np.add.at(total, size + relations + rel, dz * pair_sum)
+            np.add.at(total, size + 2 * relations + rel, -(pos * np.log(pred) + neg * np.log(1 - pred)))
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 100_000):
+            part = some[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype("int32")), pa.array(total[part])], ["f", "g"])
+
+    out = np.zeros(size + 3 * relations)
+    for r in lists.mapInArrow(run, "f int, g double").groupBy("f").agg(F.sum("g").alias("g")).collect():  # a row for each feature at most
+        out[r.f] = r.g
+    shared.destroy()
+    out[:size] *= 2 * state[0] if constrained else 1.0
+    return out
+
+
+def train(
+    samples: DataFrame,
+    rules: DataFrame,
+    model: str = "linear",
+    epochs: int = 60,
+    rates: tuple[float, ...] = (0.01, 0.005, 0.001),
+    positive_weight: float = 5.0,
+    constrained: bool = True,
+    pairs: DataFrame | None = None,
+    reduction: str = "mean",
+    bias: float = 0.0,
+    evaluate: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    every: int = 5,
+    patience: int = 0,
+) -> Fitted:
+    """Fit ``samples`` (``p, rule_ids, gold``) over ``rules`` (``p, rule_id, conf``) and ``pairs`` (``p, a, b, lift``; surprisal only).
+
+    ``evaluate`` takes the tables ``p, rule_id, trained`` and ``p, bias, gamma`` every ``every`` epochs and at the end,
+    and returns ``p, direction, mrr``; the weights of a relation's best epoch (the mean over its
+    directions, the earliest of equals) are kept, and with ``patience`` training ends when no relation has
+    risen in so many evaluations.
+    """
+    if model not in MODELS:
+        raise ValueError(f"model must be one of {MODELS}, not {model!r}")
+    if reduction not in REDUCTIONS:
+        raise ValueError(f"reduction must be one of {REDUCTIONS}, not {reduction!r}")
+    spark = samples.sparkSession
+    features = _features(rules, pairs if model == "surprisal" else None, model)
+    relations = sorted({f[0] for f in features})
+    rel_of = np.array([relations.index(f[0]) for f in features], int) if len(relations) < 50 else np.searchsorted(np.array(relations), np.array([f[0] for f in features]))
+    size, many = len(features), len(relations)
+    lists = _prepared(samples, features, relations).persist()
+    counted = {r.rel: (r.pos, r.neg) for r in lists.groupBy("rel").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()}
+    pos, neg = (np.array([counted.get(n, (0.0, 0.0))[k] for n in range(many)]) for k in (0, 1))
+    one = np.maximum(1.0, {"mean": pos + neg, "sum": np.ones(many), "class_mean": 2 * pos}[reduction])
+    two = np.maximum(1.0, {"mean": pos + neg, "sum": np.ones(many), "class_mean": 2 * neg}[reduction])
+    start = np.array([f[3] for f in features])
+    x = np.concatenate([np.sqrt(start) if constrained else start, np.full(many, bias), np.ones(many)])
+    m, v, step, losses, history = np.zeros_like(x), np.zeros_like(x), 0, [], []
+    best, kept, waited = np.full(many, -1.0), {}, 0
+
+    def tables(x):
+        w = x[:size] ** 2 if constrained else x[:size]
+        own = [(p, a, float(s), float(t)) for (p, a, b, s), t in zip(features, w, strict=True) if b is None]
+        both = [(p, a, b, float(s), float(t)) for (p, a, b, s), t in zip(features, w, strict=True) if b is not None]
+        return spark.createDataFrame(own, "p string, rule_id long, original double, trained double"), spark.createDataFrame(both, "p string, a long, b long, original double, trained double")
+
+    ended = 0
+    for rate, length in zip(rates, phase_lengths(epochs, len(rates)), strict=True):
+        for _ in range(length):
+            if ended:
+                break
+            step += 1
+            g = _gradient(lists, (x[:size], x[size : size + many], x[size + many :], positive_weight / one, 1 / two), size, many, model, constrained)
+            losses.append(g[size + 2 * many :])
+            g = g[: size + 2 * many]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            if evaluate is not None and (step % every == 0 or step == epochs):
+                biases = spark.createDataFrame([(p, float(x[size + n]), float(x[size + many + n])) for n, p in enumerate(relations)], "p string, bias double, gamma double")
+                found = evaluate(tables(x)[0].select("p", "rule_id", "trained"), biases).collect()  # a row for each relation and direction
+                history += [(r.p, r.direction, step, float(r.mrr)) for r in found]
+                mean = np.full(many, -1.0)
+                for n, p in enumerate(relations):
+                    if got := [r.mrr for r in found if r.p == p]:
+                        mean[n] = sum(got) / len(got)
+                rise = mean > best
+                for n in np.flatnonzero(rise):
+                    kept[n] = x.copy()
+                best, waited = np.maximum(best, mean), 0 if rise.any() else waited + 1
+                ended = patience > 0 and waited >= patience
+    lists.unpersist()
+    for n, at in kept.items():
+        mine = np.concatenate([rel_of == n, np.arange(many) == n, np.arange(many) == n])
+        x = np.where(mine, at, x)
+    own, both = tables(x)
+    first, last = (losses[0], losses[-1]) if losses else (np.zeros(many), np.zeros(many))
+    status = ["ok" if pos[n] + neg[n] else "no samples" for n in range(many)]
+    rows = [(p, float(x[size + n]), float(x[size + many + n]), float(first[n]), float(last[n]), step, status[n]) for n, p in enumerate(relations)]
+    summary = spark.createDataFrame(rows, "p string, bias double, gamma double, first_loss double, last_loss double, epochs int, status string")
+    return Fitted(own, both, summary, spark.createDataFrame(history, "p string, direction string, epoch int, mrr double") if evaluate is not None else None)
+
+
+def fit(samples: DataFrame, rules: DataFrame, model: str = "linear", **options) -> DataFrame:
+    """``p, rule_id, original, trained, bias, first_loss, last_loss``: the rules' weights of :func:`train` with their relation's figures."""
+    fitted = train(samples, rules, model, **options)
+    return fitted.rules.join(F.broadcast(fitted.relations), "p").select("p", "rule_id", "original", "trained", "bias", "first_loss", "last_loss")  # a row for each relation
+
+
+def failed(fitted: Fitted, expected: DataFrame) -> DataFrame:
+    """``p, error`` of the relations in ``expected`` (``p``) that have no fit, and why."""
+    known = fitted.relations.select("p", "status")
+    return expected.select("p").distinct().join(known, "p", "left").select("p", F.coalesce("status", F.lit("no rules")).alias("error")).filter("error <> 'ok'")
+
+
+def grid(options: dict[str, list]) -> list[dict]:
+    """Every combination of the options' values, the last option changing first."""
+    return [dict(zip(options, values, strict=True)) for values in product(*options.values())]
+
+
+def tuned(samples: DataFrame, rules: DataFrame, options: dict[str, list], **fixed) -> DataFrame:
+    """``run, options, p`` and the figures of each relation, for each combination of a grid of :func:`train`'s options."""
+    import json
+
+    out = None
+    for n, chosen in enumerate(grid(options)):
+        one = train(samples, rules, **chosen, **fixed).relations.select(F.lit(n).alias("run"), F.lit(json.dumps(chosen, sort_keys=True)).alias("options"), "p", "bias", "gamma", "first_loss", "last_loss", "epochs", "status")
+        out = one if out is None else out.unionByName(one)
+    return out

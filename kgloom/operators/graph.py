@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..store import saved
+
 #: Relation, table, prefix and column of the subject, prefix and column of the object.
 PROJECTION = (
     ("in_region", "nation", "n:", "n_nationkey", "r:", "n_regionkey"),
@@ -23,18 +25,36 @@ PROJECTION = (
     ("has_type", "part", "p:", "p_partkey", "t:", "p_type"),
 )
 
+#: What orders the rows of each relation's table.
+ROW_ORDER = (("n_nationkey",), ("c_custkey",), ("s_suppkey",), ("c_custkey",), ("o_orderkey",), *[("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")] * 3, ("p_partkey",), ("p_partkey",))
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def project(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] | None = None) -> DataFrame:
-    """``s, p, o`` of the driver tables; distinct within each relation."""
+def projected(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """``s, p, o`` of the driver tables as they stand, with repetitions."""
     out = None
     for p, table, sp, s, op, o in PROJECTION:
         if relations and p not in relations:
             continue
-        part = read(spark, sf_dir, table).select(F.concat(F.lit(sp), F.col(s).cast("string")).alias("s"), F.lit(p).alias("p"), F.concat(F.lit(op), F.col(o).cast("string")).alias("o")).distinct()
+        part = read(spark, sf_dir, table).select(F.concat(F.lit(sp), F.col(s).cast("string")).alias("s"), F.lit(p).alias("p"), F.concat(F.lit(op), F.col(o).cast("string")).alias("o"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def project(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """``s, p, o`` of the driver tables, each once; one shuffle for all relations."""
+    return projected(spark, sf_dir, relations).distinct()
+
+
+def in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``s, p, o, rel, at`` of the tables' rows: the number of the relation, and what orders its rows."""
+    out = None
+    for n, ((p, table, sp, s, op, o), keys) in enumerate(zip(PROJECTION, ROW_ORDER, strict=True)):
+        at = F.array(*[F.col(k).cast("long") for k in keys])
+        part = read(spark, sf_dir, table).select(F.concat(F.lit(sp), F.col(s).cast("string")).alias("s"), F.lit(p).alias("p"), F.concat(F.lit(op), F.col(o).cast("string")).alias("o"), F.lit(n).alias("rel"), at.alias("at"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -45,8 +65,13 @@ def tokens(triples: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """``df`` with a dense number from 0 in the given total order."""
+    """``df`` with a dense number from 0 in the given total order.
+
+    The rows are dealt by range, sorted and written once, so that the partitions whose
+    rows are counted are those whose rows are numbered.
+    """
     cut = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % F.lit(2**33)})
+    cut = saved(cut, "numbered")
     counts = cut.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each partition
     base = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return cut.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
@@ -57,10 +82,11 @@ def sorted_dictionary(triples: DataFrame) -> DataFrame:
     return numbered(tokens(triples), [F.col("token")], "id").select("id", "token")
 
 
-def first_seen_dictionary(rows: DataFrame, order: str) -> DataFrame:
-    """``id, token`` by first appearance over ``order``, subject before object; ``order`` is unique."""
-    seen = rows.select(F.explode(F.array(F.struct((2 * F.col(order)).alias("at"), F.col("s").alias("token")), F.struct((2 * F.col(order) + 1).alias("at"), F.col("o").alias("token")))).alias("x"))
-    first = seen.groupBy("x.token").agg(F.min("x.at").alias("at"))
+def first_seen_dictionary(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``id, token`` by first appearance over the columns ``order``, subject before object; together they are unique."""
+    at = F.struct(*order)
+    seen = rows.select(F.explode(F.array(F.struct(at.alias("at"), F.lit(0).alias("side"), F.col("s").alias("token")), F.struct(at.alias("at"), F.lit(1).alias("side"), F.col("o").alias("token")))).alias("x"))
+    first = seen.groupBy("x.token").agg(F.min(F.struct("x.at", "x.side")).alias("at"))
     return numbered(first, [F.col("at")], "id").select("id", "token")
 
 
@@ -95,3 +121,23 @@ def relation_counts(test: DataFrame, relations: DataFrame) -> DataFrame:
     """``p, n`` for every relation, 0 where ``test`` has none."""
     counts = test.groupBy("p").agg(F.count("*").alias("n"))
     return relations.join(counts, "p", "left").select("p", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def split_parts(splits: dict[str, DataFrame], sample_seed: int = 0) -> dict[str, DataFrame]:
+    """The tables of a split writer from ``train``, ``valid`` and ``test`` (``s, p, o``).
+
+    Beside the splits: ``valid_without_unseen`` and ``test_without_unseen``, and
+    ``train_sample``, as many rows of train as valid has, drawn by a seeded hash.
+    """
+    out = dict(splits)
+    for name in ("valid", "test"):
+        out[f"{name}_without_unseen"] = without_unseen(splits[name], splits["train"])
+    out["train_sample"] = sample_of(splits["train"], splits["valid"].count(), sample_seed)
+    return out
+
+
+def sample_of(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows without replacement, the first by a seeded hash of all columns; equal rows are told apart by their place."""
+    columns = rows.columns
+    drawn = rows.withColumn("_h", F.xxhash64(F.lit(seed), *columns))
+    return numbered(drawn, [F.col("_h"), *[F.col(c) for c in columns]], "_n").filter(F.col("_n") < n).select(*columns)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import saved
+
 #: Added to the predictions of a rule before dividing.
 UNSEEN = 5
 ATOM = r"^(.+)\((.*),(.*)\)$"
@@ -44,14 +46,37 @@ def confidence(preds: Column, true: Column, unseen: int = UNSEEN) -> Column:
     return F.when(preds > 0, true / (preds + unseen)).otherwise(F.lit(0.0))
 
 
-def from_lines(files: DataFrame) -> DataFrame:
-    """Rules of whole files (``value``): ``rule_id, num_preds, num_true, conf, rule, head_rel``; lines of less than 4 fields are skipped but counted."""
-    lines = files.select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    tabs, blanks = F.split("line", "\t"), F.split(F.trim("line"), r"\s+", 4)
+def from_lines(lines: DataFrame) -> DataFrame:
+    """Rules of the lines of rule files (``line`` from 1, ``value``, as of :func:`kgloom.sources.formats.numbered_lines`).
+
+    ``rule_id, num_preds, num_true, conf, rule, head_rel``; other columns stay.  Lines of less than 4 fields are skipped but counted.
+    """
+    tabs, blanks = F.split("value", "\t"), F.split(F.trim("value"), r"\s+", 4)
     fields = F.when(F.size(tabs) >= 4, tabs).otherwise(blanks)
-    rows = lines.select((F.col("at") + 1).alias("rule_id"), fields.alias("f")).filter(F.size("f") >= 4)
-    out = rows.select("rule_id", count_of(F.col("f")[0]).alias("num_preds"), count_of(F.col("f")[1]).alias("num_true"), F.col("f")[3].alias("rule"))
-    return out.select("rule_id", "num_preds", "num_true", confidence(F.col("num_preds"), F.col("num_true")).alias("conf"), "rule", head_relation(F.col("rule")).alias("head_rel"))
+    others = [c for c in lines.columns if c not in ("line", "value")]
+    rows = lines.select(F.col("line").alias("rule_id"), fields.alias("f"), *others).filter(F.size("f") >= 4)
+    out = rows.select("rule_id", count_of(F.col("f")[0]).alias("num_preds"), count_of(F.col("f")[1]).alias("num_true"), F.col("f")[3].alias("rule"), *others)
+    return out.select("rule_id", "num_preds", "num_true", confidence(F.col("num_preds"), F.col("num_true")).alias("conf"), "rule", head_relation(F.col("rule")).alias("head_rel"), *others)
+
+
+def signatures(rules: DataFrame) -> DataFrame:
+    """``rel, rule_id, full, rule``: what rules are matched by, the counts and the text, or the text alone."""
+    return rules.select(F.col("head_rel").alias("rel"), "rule_id", F.concat_ws("\t", "num_preds", "num_true", "rule").alias("full"), "rule")
+
+
+def statistics(rules: DataFrame) -> DataFrame:
+    """``n, max_id``: how many rules there are, and the largest id."""
+    return rules.agg(F.count("*").alias("n"), F.max("rule_id").alias("max_id"))
+
+
+def allowed(rules: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rules whose id is in ``ids`` (``rule_id``)."""
+    return rules.join(ids.select("rule_id").distinct(), "rule_id", "left_semi")
+
+
+def ids_by_relation(rules: DataFrame) -> DataFrame:
+    """``p, rule_ids``: the ids of each head relation in order.  A relation has as many entries as the rule files give it."""
+    return rules.groupBy(F.col("head_rel").alias("p")).agg(F.sort_array(F.collect_list("rule_id")).alias("rule_ids"))
 
 
 def is_trivial(rule: Column) -> Column:
@@ -68,21 +93,36 @@ def is_trivial(rule: Column) -> Column:
 
 
 def shape(rule: Column) -> Column:
-    """cyclic, u_c (a constant in the body), u_d (a dangling variable), zero or xx (reflexive head)."""
+    """cyclic, u_c (a constant in the body), u_d (a dangling variable), zero, u_xxc or u_xxd (the same with a reflexive head); null without an arrow."""
     h, b = head(rule), body(rule)
     constant = lambda c: ~c.rlike("^[A-Z]$")
     last = F.element_at(b, -1)
     bound = F.when(constant(h["y"]), h["x"]).otherwise(h["y"])
     free = F.when(last["x"] == bound, last["y"]).otherwise(last["x"])
     return (
-        F.when(h["x"] == h["y"], "xx")
+        F.when(b.isNull(), F.lit(None).cast("string"))
         .when((F.size(b) == 1) & (F.split(rule, " <= ")[1] == ""), "zero")
+        .when(h["x"] == h["y"], F.when(constant(free), "u_xxc").otherwise("u_xxd"))
         .when(~constant(h["x"]) & ~constant(h["y"]), "cyclic")
         .when(constant(free), "u_c")
         .otherwise("u_d")
     )
 
 
+SHAPES = ("cyclic", "u_c", "u_d", "zero", "u_xxc", "u_xxd")
+
+
+def is_active(rule: Column, num_true: Column, shapes: tuple[str, ...] = SHAPES, least_cyclic: int = 5, least_constant: int = 5, longest: int = 3) -> Column:
+    """Whether a rule is to be applied: its shape is switched on, its support and the length of its body fit.
+
+    ``least_cyclic`` and ``longest`` hold for cyclic rules, ``least_constant`` for rules with a constant in the head or a zero body.
+    To be asked of the rule table, before anything is joined to it.
+    """
+    kind = shape(rule)
+    fits = F.when(kind == "cyclic", (num_true >= least_cyclic) & (F.size(body(rule)) <= longest)).otherwise(num_true >= least_constant)
+    return F.coalesce(kind.isin(*shapes) & fits, F.lit(False))
+
+
 def renumbered(rules: DataFrame) -> DataFrame:
     """``old_id, new_id`` (from 0) of the rules that are not trivial, by head relation and id."""
     from .graph import numbered
@@ -92,18 +132,67 @@ def renumbered(rules: DataFrame) -> DataFrame:
 
 
 def local_to_global(index: DataFrame, rules: DataFrame) -> DataFrame:
-    """Map rules of an index (``rel, local_idx, num_preds, num_true, rule``) to ids of the rule file.
+    """``rel, local_idx, rule_id``: rules of an index (``rel, local_idx, num_preds, num_true, rule``) as ids of the rule file.
+
+    In a relation the entries of the index, in their order, take the first line that is
+    not taken yet with their full signature, else with their text, else the line at
+    their position if it is free, else the first free one; none left is an error.
 
-    Ordered one-to-one matching in a relation: by the full signature, then of what
-    is left by the text, then in order.
+    Relations whose entries all find their full signature, each occurrence its own, are matched by a join.
+    The others, where what an entry takes hangs on those before it, are walked through one by one;
+    such a walk holds the rules of one relation.
     """
     left = index.select("rel", "local_idx", F.concat_ws("\t", "num_preds", "num_true", "rule").alias("full"), "rule")
-    right = rules.select(F.col("head_rel").alias("rel"), "rule_id", F.concat_ws("\t", "num_preds", "num_true", "rule").alias("full"), "rule")
-    out = None
-    for by in (["full"], ["rule"], []):
-        w = lambda order, by=by: Window.partitionBy("rel", *by).orderBy(order)
-        a, b = left.withColumn("rn", F.row_number().over(w("local_idx"))), right.withColumn("rn", F.row_number().over(w("rule_id")))
-        found = a.join(b.select("rel", *by, "rn", "rule_id"), ["rel", *by, "rn"]).select("rel", "local_idx", "rule_id")
-        out = found if out is None else out.unionByName(found)
-        left, right = left.join(found, ["rel", "local_idx"], "left_anti"), right.join(found, ["rel", "rule_id"], "left_anti")
-    return out
+    right = signatures(rules)
+    w = lambda order: Window.partitionBy("rel", "full").orderBy(order)
+    a, b = left.withColumn("rn", F.row_number().over(w("local_idx"))), right.withColumn("rn", F.row_number().over(w("rule_id")))
+    found = saved(a.join(b.select("rel", "full", "rn", "rule_id"), ["rel", "full", "rn"], "left").select("rel", "local_idx", "rule_id"), "matched")
+    open_ones = found.filter("rule_id is null").select("rel").distinct()
+
+    def walk(key, entries, lines):
+        import pandas as pd
+
+        lines = lines.sort_values("rule_id")
+        ids, free = lines.rule_id.tolist(), dict.fromkeys(lines.rule_id.tolist())
+        queues = {}
+        for kind in ("full", "rule"):
+            for text, i in zip(lines[kind], ids, strict=True):
+                queues.setdefault((kind, text), []).append(i)
+        queues = {k: iter(v) for k, v in queues.items()}
+        first, out = iter(ids), []
+        for entry in entries.sort_values("local_idx").itertuples():
+            got = None
+            for name in (("full", entry.full), ("rule", entry.rule)):
+                got = next((i for i in queues.get(name, ()) if i in free), None)
+                if got is not None:
+                    break
+            if got is None and entry.local_idx < len(ids) and ids[entry.local_idx] in free:
+                got = ids[entry.local_idx]
+            if got is None:
+                got = next((i for i in first if i in free), None)
+            if got is None:
+                raise ValueError(f"no line is left for entry {entry.local_idx} of relation {key[0]}")
+            del free[got]
+            out.append((entry.rel, entry.local_idx, got))
+        return pd.DataFrame(out, columns=["rel", "local_idx", "rule_id"])
+
+    some = left.join(open_ones, "rel", "left_semi").groupBy("rel").cogroup(right.join(open_ones, "rel", "left_semi").groupBy("rel"))
+    kinds = {**dict(left.dtypes), **dict(right.dtypes)}
+    walked = some.applyInPandas(walk, ", ".join(f"{c} {kinds[c]}" for c in ("rel", "local_idx", "rule_id")))
+    return found.join(open_ones, "rel", "left_anti").unionByName(walked)
+
+
+def by_position(index: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rel, local_idx, rule_id``: the entry at a position takes the rule at the same position of its relation, null beyond."""
+    at = F.row_number().over(Window.partitionBy("rel").orderBy("rule_id")) - 1
+    listed = signatures(rules).select("rel", "rule_id").withColumn("local_idx", at)
+    return index.select("rel", "local_idx").join(listed, ["rel", "local_idx"], "left")
+
+
+def strictly_indexed(index: DataFrame) -> DataFrame:
+    """The index with ``global_idx`` from 0 over all relations in order; an error unless each relation's local ids are 0, 1, 2 and so on."""
+    from .graph import numbered
+
+    at = F.row_number().over(Window.partitionBy("rel").orderBy("local_idx")) - 1
+    good = F.when(F.col("local_idx") == at, F.col("local_idx")).otherwise(F.raise_error(F.concat(F.lit("local ids are not in order in relation "), "rel")).cast("int"))
+    return numbered(index.withColumn("local_idx", good), [F.col("rel"), F.col("local_idx")], "global_idx")

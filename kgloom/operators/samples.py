@@ -53,3 +53,32 @@ def degree_normalised(pairs: DataFrame, alpha: float) -> DataFrame:
     ends = pairs.select("p", F.explode(F.array_distinct(F.array("a", "b"))).alias("r")).groupBy("p", "r").agg(F.count("*").alias("d"))
     da, db = (ends.select("p", F.col("r").alias(x), F.col("d").alias(f"d{x}")) for x in "ab")
     return pairs.join(da, ["p", "a"]).join(db, ["p", "b"]).select("p", "a", "b", (F.col("lift") / F.pow(F.col("da") * F.col("db"), F.lit(alpha))).alias("lift"))
+
+
+def arrays_by_key(applied: DataFrame) -> DataFrame:
+    """``direction, p, q, cands, rules``: the candidates of each query in order, and their rule lists beside them."""
+    rows = F.sort_array(F.collect_list(F.struct("cand", "rule_ids")))
+    return applied.groupBy("direction", "p", "q").agg(rows.alias("x")).select("direction", "p", "q", F.col("x.cand").alias("cands"), F.col("x.rule_ids").alias("rules"))
+
+
+def first_position(cands: str, gold: str):
+    """Where the gold answer stands first among the candidates, from 0; -1 if it does not."""
+    return (F.array_position(F.col(cands), F.col(gold)) - 1).cast("int")
+
+
+def longest_list(applied: DataFrame):
+    """``longest``: the most rules that a candidate has; 0 without candidates."""
+    return applied.agg(F.coalesce(F.max(F.size("rule_ids")), F.lit(0)).alias("longest"))
+
+
+def synergy_lines(lines: DataFrame) -> DataFrame:
+    """``line, support, lift, rule1, rule2`` of the lines (``line``, ``value``) of a synergy file.
+
+    A line has a leading field and then these four, between tabs, or between blanks if it has less
+    than five by tabs; other lines are skipped.
+    """
+    tabs = F.split(F.trim("value"), "\t")
+    f = F.when(F.size(tabs) >= 5, tabs).otherwise(F.split(F.trim("value"), r"\s+"))
+    rows = lines.select("line", f.alias("f")).filter(F.size("f") >= 5)
+    at = lambda n, kind: F.trim(F.col("f")[n]).try_cast(kind)
+    return rows.select("line", at(1, "int").alias("support"), at(2, "double").alias("lift"), at(3, "int").alias("rule1"), at(4, "int").alias("rule2")).dropna()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Scores are compared after rounding, as sums depend on their order.
@@ -29,6 +29,70 @@ def noisy_or(weight: str = "weight", extra: Column | None = None) -> Column:
     return F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), 1 - F.exp(-total)))
 
 
+def sigmoid(x: Column) -> Column:
+    """The prediction of the linear model from its score."""
+    return 1 / (1 + F.exp(-x))
+
+
+def surprisal_score(bias: float = 0.0, gamma: float = 1.0, weight: str = "weight", pairs: Column | None = None) -> Column:
+    """The noisy-or of the fired rules' weights, ``gamma`` times the summed weights of their pairs, and the squared bias."""
+    extra = F.lit(bias * bias) if pairs is None else F.lit(gamma) * pairs + F.lit(bias * bias)
+    return noisy_or(weight, extra)
+
+
+def with_value(samples: DataFrame, values: DataFrame, value: str, what: str = "rule_ids") -> DataFrame:
+    """``samples`` exploded to one row a fired rule with its ``value``; ids that the relation does not have drop out.
+
+    ``values``: ``p, rule_id`` and ``value`` (a confidence, a weight).  Rule tables are small beside
+    samples, so Spark broadcasts them below its threshold and shuffles on ``(p, rule_id)`` above.
+    """
+    fired = samples.withColumn("rule_id", F.explode(what))
+    return fired.join(values.select("p", "rule_id", value), ["p", "rule_id"])
+
+
+def value_sums(samples: DataFrame, values: DataFrame, value: str, keys: list[str], what: str = "rule_ids") -> DataFrame:
+    """``keys, score``: the summed values of each sample's rules, 0 for a sample without a rule of its relation."""
+    sums = with_value(samples.select(*keys, what), values, value, what).groupBy(*keys).agg(F.sum(value).alias("score"))
+    return samples.select(*keys).join(sums, keys, "left").select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def accuracy(predicted: DataFrame, positive_weight: float = 5.0) -> DataFrame:
+    """``accuracy`` of ``pred > 0.5`` against ``gold``, and ``mean_loss`` as of :func:`losses`."""
+    right = predicted.agg(F.avg(((F.col("pred") > 0.5).cast("int") == F.col("gold")).cast("double")).alias("accuracy"))
+    return right.crossJoin(losses(predicted, positive_weight).select("mean_loss"))  # one row each
+
+
+def best_checkpoint(evaluated: DataFrame, keys: list[str], metric: str = "mrr") -> DataFrame:
+    """``keys, epoch, metric`` of the evaluation with the largest metric above -1, the earliest of equals.
+
+    ``evaluated``: keys, ``epoch`` and the metric.
+    """
+    best = evaluated.filter(F.col(metric) > -1).groupBy(*keys).agg(F.max(F.struct(F.col(metric), (-F.col("epoch")).alias("at"))).alias("b"))
+    return best.select(*keys, (-F.col("b.at")).alias("epoch"), F.col(f"b.{metric}").alias(metric))
+
+
+def stopping_epoch(evaluated: DataFrame, patience: int, metric: str = "mrr_raw") -> DataFrame:
+    """``p, epoch``: where early stopping ends, null if it never does.
+
+    ``evaluated``: ``p, direction, epoch`` and the metric.  Training stops after ``patience`` evaluations
+    in a row in which the mean over the directions of the best metric so far did not rise.
+    """
+    so_far = Window.partitionBy("p", "direction").orderBy("epoch")
+    best = evaluated.withColumn("_best", F.greatest(F.max(metric).over(so_far), F.lit(-1.0)))
+    mean = best.groupBy("p", "epoch").agg((F.sum("_best") / 2).alias("mean"))
+    by_epoch = Window.partitionBy("p").orderBy("epoch")
+    rise = mean.withColumn("rise", F.col("mean") > F.coalesce(F.lag("mean").over(by_epoch), F.lit(-1.0)))
+    runs = rise.withColumns({"run": F.sum(F.col("rise").cast("int")).over(by_epoch), "n": F.row_number().over(by_epoch)})
+    waited = runs.withColumn("waited", F.col("n") - F.max(F.when(F.col("rise"), F.col("n")).otherwise(0)).over(by_epoch))
+    ended = F.min(F.when(F.col("waited") >= patience, F.col("epoch")))
+    return waited.groupBy("p").agg((ended if patience > 0 else F.lit(None).cast("int")).alias("epoch"))
+
+
+def time_rollup(reports: DataFrame, columns: list[str]) -> DataFrame:
+    """The sums of the time fields of all relations, null as 0, and their number."""
+    return reports.agg(F.count("*").alias("relations"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns])
+
+
 def softplus(x: Column) -> Column:
     return F.log1p(F.exp(x))
 
@@ -40,24 +104,22 @@ def ranks(scored: DataFrame, golds: DataFrame, entities: int, keys: list[str], f
     ``cand`` that count with score 0.  With C the candidates of a positive score
     that are neither gold nor filtered: a gold of score s > 0 has rank #(C > s) +
     (#(C = s) + 2) / 2, any other |C| + (entities - |C| + 1) / 2.  A key without
-    candidates has a null rank.  Competitors are counted by score, so a query's
-    candidates join distinct scores only.
+    candidates has a null rank.  Competitors are counted by score level and summed up
+    once from the best level down; a gold joins its own level only.
     """
     scored = scored.select(*keys, "cand", F.round("score", DIGITS).alias("score"))
-    has = scored.select(*keys).distinct().withColumn("has_key", F.lit(True))
     others = scored.filter("score > 0").join(golds.select(*keys, F.col("gold").alias("cand")), [*keys, "cand"], "left_anti")
     if filtered is not None:
         others = others.join(filtered.select(*keys, "cand"), [*keys, "cand"], "left_anti")
-    levels = others.groupBy(*keys, "score").agg(F.count("*").alias("n"))
-    own = golds.join(scored.select(*keys, F.col("cand").alias("gold"), F.col("score").alias("s")), [*keys, "gold"], "left")
-    met = own.join(levels, keys, "left").groupBy(*keys, "gold").agg(
-        F.coalesce(F.first("s"), F.lit(0.0)).alias("s"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_cands"),
-        F.coalesce(F.sum(F.when(F.col("score") > F.col("s"), F.col("n"))), F.lit(0)).alias("more"),
-        F.coalesce(F.sum(F.when(F.col("score") == F.col("s"), F.col("n"))), F.lit(0)).alias("same"),
-    )
+    own = golds.join(scored.select(*keys, F.col("cand").alias("gold"), F.col("score").alias("s")), [*keys, "gold"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    # each score level of a key with its competitors; the golds' own levels and, at -1, every key with candidates, stand among them without any
+    level = lambda df, score, n: df.select(*keys, score.alias("score"), F.lit(n).alias("n"), F.lit(n != 0).alias("has"))
+    points = level(others, F.col("score"), 1).unionByName(level(own, F.col("s"), 0)).unionByName(scored.select(*keys, F.lit(-1.0).alias("score"), F.lit(0).alias("n"), F.lit(True).alias("has")))
+    points = points.groupBy(*keys, "score").agg(F.sum("n").alias("same"), F.max("has").alias("has"))
+    of_key = Window.partitionBy(*keys)
+    points = points.select(*keys, F.col("score").alias("s"), "same", F.coalesce(F.sum("same").over(of_key.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("more"), F.sum("same").over(of_key).alias("n_cands"), F.max("has").over(of_key).alias("has_key"))
     rank = F.when(F.col("s") > 0, F.col("more") + (F.col("same") + 2) / 2).otherwise(F.col("n_cands") + (F.lit(entities) - F.col("n_cands") + 1) / 2)
-    return met.join(has, keys, "left").select(*keys, "gold", "n_cands", F.when(F.col("has_key"), rank).alias("rank"))
+    return own.join(points, [*keys, "s"]).select(*keys, "gold", "n_cands", F.when(F.col("has_key"), rank).alias("rank"))
 
 
 def metrics(ranked: DataFrame, by: list[str]) -> DataFrame:
@@ -91,8 +153,6 @@ def dot_topk(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id"
     The queries are the small side by contract; every vector meets every query,
     and each partition keeps its first k of a query before the shuffle.
     """
-    from pyspark.sql import Window
-
     q, c = queries.select(F.col(key).alias("q"), F.col(vector).alias("a")), vectors.select(F.col(key).alias("cand"), F.col(vector).alias("b"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = c.join(q).select("q", "cand", F.round(dot, 6).alias("score"))

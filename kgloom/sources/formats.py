@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,18 +24,86 @@ def triples(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     return rows.filter(F.size("f") == 3).select(*[F.col("f")[n].alias(c) for n, c in enumerate("spo")])
 
 
+def numbered_lines(spark: SparkSession, path: str, blank: bool = True, name: str | None = None) -> DataFrame:
+    """``file, line, value``: the lines of text files with their numbers from 1, blank ones left out and not counted unless ``blank``.
+
+    Files are split among tasks; each split's lines are counted and the counts of the splits
+    before it in the file are added, so no file is read as one value.
+    """
+    reader = spark.read if name is None else spark.read.option("pathGlobFilter", name)
+    lines = reader.text(path)
+    others = [c for c in lines.columns if c != "value"]
+    lines = lines.select("value", *others, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    if not blank:
+        lines = lines.filter(F.trim("value") != "")
+    lines = lines.withColumn("_id", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))  # a row for each split
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return lines.join(blocks, ["file", "_block"]).select("file", (F.col("_base") + F.col("_id") - F.col("_first") + 1).alias("line"), "value", *others)
+
+
 def ids(spark: SparkSession, path: str) -> DataFrame:
-    """``id, token`` of an id map."""
-    return spark.read.csv(path, sep="\t", schema="id int, token string", quote="")
+    """``id, token`` of an id map: blank lines are skipped, the rest is cut at the first tab."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    cut = F.split("value", "\t", 2)
+    return lines.select(cut[0].cast("int").alias("id"), cut[1].alias("token"))
+
+
+def mapping(spark: SparkSession, path: str) -> DataFrame:
+    """``id, token`` of lines with two fields between blanks; other lines are dropped."""
+    f = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).select(f.alias("f")).filter(F.size("f") == 2).select(F.col("f")[0].alias("id"), F.col("f")[1].alias("token"))
+
+
+def unescaped(triples: DataFrame) -> DataFrame:
+    """``s, p, o`` with HTML character references replaced by their characters."""
+
+    @F.arrow_udf("string")
+    def plain(column):
+        import html
+
+        import pyarrow as pa
+
+        return pa.array([None if x is None else html.unescape(x) for x in column.to_pylist()], pa.string())
+
+    return triples.select(*[plain(F.col(c)).alias(c) for c in "spo"])
+
+
+def permuted(triples: DataFrame, order: str = "spo") -> DataFrame:
+    """``s, p, o`` of triples whose three columns came in another order, such as ``sop``."""
+    if sorted(order) != sorted("spo"):
+        raise ValueError(f"not an order of s, p and o: {order!r}")
+    return triples.toDF(*order).select("s", "p", "o")
+
+
+def write_triples(rows: DataFrame, path: str) -> None:
+    """Triples as lines of three fields between tabs."""
+    rows.select(F.concat_ws("\t", "s", "p", "o").alias("value")).write.text(path)
+
+
+def write_splits(splits: dict[str, DataFrame], path: str) -> DataFrame:
+    """Each table of :func:`kgloom.operators.graph.split_parts` as triples under ``path``, and beside them ``dataset.json``: ``split, file, triples, entities, relations``."""
+    for name, rows in splits.items():
+        write_triples(rows, f"{path}/{name}")
+    counts = dataset_counts(splits).withColumn("file", F.col("split"))
+    counts.select("split", "file", "triples", "entities", "relations").coalesce(1).write.json(f"{path}/dataset.json")  # a row for each split
+    return counts
 
 
 def write_ids(dictionary: DataFrame, path: str) -> None:
-    dictionary.select("id", "token").orderBy("id").write.csv(path, sep="\t", quote="")
+    """An id map as lines of id and token, in the order of the ids over the part files."""
+    dictionary.select("id", "token").orderBy("id").select(F.concat_ws("\t", F.col("id").cast("string"), "token").alias("value")).write.text(path)
 
 
 def rule_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rule files as whole texts, for :func:`kgloom.operators.rules.from_lines`."""
-    return spark.read.text(path, wholetext=True)
+    """``file, line, value`` of rule files, for :func:`kgloom.operators.rules.from_lines`."""
+    return numbered_lines(spark, path)
+
+
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Rules as lines of counts, confidence and text; with them goes nothing of their ids, as a line's number is its id."""
+    rules.select(F.concat_ws("\t", "num_preds", "num_true", "conf", "rule").alias("value")).write.text(path)
 
 
 def flattened(texts: DataFrame, column: str = "value") -> DataFrame:
@@ -47,9 +115,36 @@ def flattened(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def nested(applied: DataFrame) -> DataFrame:
-    """The JSON text of an applied-rules table by direction and relation, as ``direction, p, json``."""
-    by = applied.groupBy("direction", "p", "q").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("cand", "rule_ids")))).alias("m"))
-    return by.groupBy("direction", "p").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("q", F.to_json("m").alias("v")))))).alias("json"))
+    """``direction, p, q, json``: the JSON text of each query of an applied-rules table, which :func:`flattened` reads back.
+
+    A text holds the candidates of one query within its direction and relation, so none grows with the table.
+    """
+    by = applied.groupBy("direction", "p", "q").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("cand").cast("string").alias("cand"), "rule_ids")))).alias("m"))
+    return by.select("direction", "p", "q", F.to_json(F.create_map("direction", F.create_map("p", F.create_map(F.col("q").cast("string"), "m")))).alias("json"))
+
+
+def write_applied(applied: DataFrame, path: str) -> None:
+    """An applied-rules table as JSON, a query a line."""
+    nested(applied).select(F.col("json").alias("value")).write.text(path)
+
+
+def explained(targets: DataFrame, ranking: DataFrame, applied: DataFrame, most: int = 0) -> DataFrame:
+    """``s, p, o, value``: an explanation record for each target triple, with both directions, which :func:`explanations` reads back.
+
+    ``ranking``: ``direction, p, q, cand, score``; ``applied``: ``direction, p, q, cand, rule_ids``, of which
+    the first ``most`` count (all if 0), and only those with ids from 1 on.  Candidates stand by falling score, ties by name.
+    """
+    listed = F.filter(F.coalesce("rule_ids", F.expr("cast(array() as array<int>)")), lambda x: x > 0)
+    rows = ranking.join(applied.select("direction", "p", "q", "cand", "rule_ids"), ["direction", "p", "q", "cand"], "left").select("direction", "p", "q", F.struct((-F.col("score")).alias("at"), F.col("cand").cast("string").alias("cand"), (F.slice(listed, 1, most) if most else listed).alias("rules")).alias("x"))
+    sides = rows.groupBy("direction", "p", F.col("q").cast("string").alias("q")).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    sides = sides.select("direction", "p", "q", F.struct(F.col("x.cand").alias("candidates"), F.col("x.rules").alias("rules")).alias("side"))
+    empty = F.struct(F.expr("cast(array() as array<string>)").alias("candidates"), F.expr("cast(array() as array<array<int>>)").alias("rules"))
+    out = targets.select("s", "p", "o")
+    for direction, end in (("head", "o"), ("tail", "s")):
+        one = sides.filter(F.col("direction") == direction).select("p", F.col("q").alias(end), F.col("side").alias(f"{direction}s"))
+        out = out.join(one, ["p", end], "left").withColumn(f"{direction}s", F.coalesce(f"{direction}s", empty))
+    record = F.to_json(F.create_map(F.concat_ws(" ", "s", "p", "o"), F.struct("heads", "tails")))
+    return out.select("s", "p", "o", F.concat(record, F.lit(",")).alias("value"))
 
 
 def explanations(records: DataFrame, column: str = "value") -> DataFrame:
@@ -74,22 +169,33 @@ def rankings(spark: SparkSession, path: str, top: int = 100, name: str = "*") ->
 
     A record is a triple and its lines ``Heads:`` and ``Tails:`` of candidates and
     confidences in turn; the first ``top`` candidates count, and blank lines do not.
+    The lines of a record meet by its number in the file; each goes its way but for the triple.
     """
-    texts = spark.read.text(path, wholetext=True, pathGlobFilter=name)
-    lines = texts.select(F.input_file_name().alias("file"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines")).filter(F.size("lines") >= 3)
-    records = lines.select("file", F.explode(F.sequence(F.lit(0), F.floor(F.size("lines") / 3).cast("int") - 1)).alias("n"), "lines")
+    lines = numbered_lines(spark, path, blank=False, name=name)
+    record, at = F.floor((F.col("line") - 1) / 3), (F.col("line") - 1) % 3
+    rows = lines.select("file", record.alias("n"), at.cast("int").alias("at"), "value")
+    sides = rows.groupBy("file", "n").agg(*[F.max(F.when(F.col("at") == k, F.col("value"))).alias(c) for k, c in enumerate(("triple", "heads", "tails"))]).dropna()
+    triple = F.split(F.trim("triple"), r"\s+")
 
-    def side(direction, label, at):
-        fields = F.split(F.trim(F.regexp_replace(F.col("lines")[3 * F.col("n") + at], f"^{label}:", "")), r"\s+")
+    def side(direction, label):
+        fields = F.split(F.trim(F.regexp_replace(F.col(label.lower()), f"^{label}:", "")), r"\s+")
         return F.struct(F.lit(direction).alias("direction"), fields.alias("fields"))
 
-    triple = F.split(F.trim(F.col("lines")[3 * F.col("n")]), r"\s+")
-    sides = records.select("file", *[triple[k].alias(c) for k, c in enumerate("spo")], F.explode(F.array(side("head", "Heads", 1), side("tail", "Tails", 2))).alias("x"))
+    sides = sides.select("file", *[triple[k].alias(c) for k, c in enumerate("spo")], F.explode(F.array(side("head", "Heads"), side("tail", "Tails"))).alias("x"))
     sides = sides.select("file", "s", "p", "o", "x.direction", "x.fields").withColumn("many", F.least(F.floor(F.size("fields") / 2).cast("int"), F.lit(top))).filter("many > 0")
     ranked = sides.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     return ranked.select("file", "s", "p", "o", "direction", "pos", F.col("fields")[2 * F.col("pos")].alias("cand"), F.col("fields")[2 * F.col("pos") + 1].cast("double").alias("conf"))
 
 
+def ranking_records(targets: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``s, p, o, value``: the three lines of each target's record, from ``direction, s, p, o, pos, cand, conf``."""
+    sides = ranked.groupBy("s", "p", "o", "direction").agg(F.sort_array(F.collect_list(F.struct("pos", "cand", "conf"))).alias("xs"))
+    sides = sides.select("s", "p", "o", "direction", F.array_join(F.transform("xs", lambda x: F.concat(x["cand"].cast("string"), F.lit("\t"), x["conf"].cast("string"), F.lit("\t"))), "").alias("text"))
+    both = sides.groupBy("s", "p", "o").agg(*[F.max(F.when(F.col("direction") == d, F.col("text"))).alias(d) for d in ("head", "tail")])
+    lines = [F.concat_ws(" ", "s", "p", "o"), F.concat(F.lit("Heads: "), F.coalesce("head", F.lit(""))), F.concat(F.lit("Tails: "), F.coalesce("tail", F.lit("")))]
+    return targets.select("s", "p", "o").join(both, ["s", "p", "o"], "left").select("s", "p", "o", F.concat_ws("\n", *lines).alias("value"))
+
+
 def metric_files(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each ``metric-*.json`` of a folder, with its path as ``file``."""
     return spark.read.json(folder, multiLine=True, pathGlobFilter="metric-*.json").withColumn("file", F.input_file_name())
@@ -111,3 +217,49 @@ def dataset_counts(splits: dict[str, DataFrame]) -> DataFrame:
     both = rows.select(F.explode(F.array("split", F.lit("all"))).alias("split"), "s", "p", "o")
     ends = both.select("split", F.explode(F.array("s", "o")).alias("e")).groupBy("split").agg(F.countDistinct("e").alias("entities"))
     return both.groupBy("split").agg(F.count("*").alias("triples"), F.countDistinct("p").alias("relations")).join(ends, "split").select("split", "triples", "entities", "relations")
+
+
+def write_by_relation(rows: DataFrame, path: str, relation: str = "p") -> None:
+    """A table as Parquet in a folder for each relation; a relation of any size is written by many tasks."""
+    rows.write.partitionBy(relation).parquet(path)
+
+
+def write_synergy(fitted: DataFrame, hits: DataFrame, path: str) -> None:
+    """Pair weights ``rule1ID, rule2ID, original, trained, train_hit_count`` as CSV by relation; relations without a pair have no file."""
+    rows = fitted.join(hits.select("p", "a", "b", "train_hit_count"), ["p", "a", "b"], "left")
+    rows = rows.select("p", F.col("a").alias("rule1ID"), F.col("b").alias("rule2ID"), F.round("original", 7).alias("original"), F.round("trained", 7).alias("trained"), F.coalesce("train_hit_count", F.lit(0).cast("long")).alias("train_hit_count"))
+    rows.write.partitionBy("p").csv(path, header=True)
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """A JSON line for each relation, its fields as the columns of ``metrics`` (nested ones as structs), in ``metric-*.json`` folders by relation."""
+    metrics.select("p", F.to_json(F.struct(*metrics.columns)).alias("value")).withColumn("name", F.concat(F.lit("metric-"), F.col("p").cast("string"))).drop("p").write.partitionBy("name").text(path)
+
+
+def write_report(counts: DataFrame, rows: DataFrame, path: str) -> None:
+    """A comparison report of :mod:`kgloom.operators.compare`: its counts as one JSON row, and a JSON line for each difference by section."""
+    counts.coalesce(1).write.json(f"{path}/counts")  # one row
+    rows.write.partitionBy("section").json(f"{path}/differences")
+
+
+def write_config(spark: SparkSession, config: dict, path: str) -> None:
+    """The options of a run as one JSON object beside its output."""
+    import json
+
+    spark.createDataFrame([(json.dumps(config, sort_keys=True, default=str),)], "value string").coalesce(1).write.text(path)
+
+
+def write_removed(removed: DataFrame, path: str) -> None:
+    """The removed rules' texts, a line each."""
+    removed.select(F.col("rule").alias("value")).write.text(path)
+
+
+def schedule(text: str, kind: type = float) -> tuple:
+    """The values of a comma-separated schedule; an empty one, and a value that is not of its kind, are errors."""
+    parts = [x.strip() for x in str(text).split(",") if x.strip()]
+    if not parts:
+        raise ValueError("the schedule is empty")
+    try:
+        return tuple(kind(x) for x in parts)
+    except ValueError as e:
+        raise ValueError(f"not a schedule of {kind.__name__}: {text!r}") from e

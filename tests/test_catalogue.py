@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.plans import catalogue
+from kgloom.plans import catalogue, further  # noqa: F401 - registers its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings")
