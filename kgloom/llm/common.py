@@ -2,58 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import drop_tables, saved, shared_dir, tables_dir  # noqa: F401 - for the operators
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session leaves it unset, a session on one machine (tests) gets a
-    temporary folder; on a cluster that would be another disk for each executor, so it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
-    return base
-
-
-_own: dict[str, str] = {}
-
-
-def tables_dir(spark: SparkSession) -> str:
-    """Where this application's intermediate tables are."""
-    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application; results that read them must be written before."""
-    jvm, path = spark._jvm, tables_dir(spark)
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh Parquet table in the shared folder and read it back.
-
-    This cuts the lineage at a point that survives lost executors and fixes the
-    values of anything that depends on task order.
-    """
-    spark = df.sparkSession
-    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col):
     """Lower-case A-Z and leave every other character alone."""
     return F.translate(col, UPPER, LOWER)
@@ -61,3 +21,19 @@ def ascii_lower(col):
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def release() -> None:
+    """Give freed memory back to the system, as Python workers live on beyond a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def slices(batches, rows: int = 256):
+    """The columns of record batches as lists, a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield [c.to_pylist() for c in batch.slice(at, rows).columns]

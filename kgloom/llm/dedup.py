@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import release, saved
 
 BITS_PER_ROW = 16
 HASHES = 2
@@ -43,7 +43,7 @@ BUCKET = 2**16
 
 def digests(texts: pa.Array) -> list[str]:
     """The SHA-256 of each text (binary) after lower-casing A-Z."""
-    return [hashlib.sha256(t.lower() if t else b"").hexdigest() for t in texts.to_pylist()]  # bytes.lower() knows A-Z only
+    return [hashlib.sha256((t.as_py() or b"").lower()).hexdigest() for t in texts]  # bytes.lower() knows A-Z only
 
 
 def folded_sha256(text):
@@ -93,6 +93,7 @@ class Filter:
                 if size > FLUSH:
                     yield from _rows(flush())
                     held, size = [], 0
+                    release()
             if size:
                 yield from _rows(flush())
 
@@ -199,6 +200,7 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests(batch.column(1)), pa.string())], ["k", "text_sha256"])
+            release()
 
     return docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).mapInArrow(run, f"k {kind}, text_sha256 string")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import saved
+from .common import release, saved
 
 N = 4
 HASHES = 3
@@ -141,6 +141,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
                 both, n = np.unique(by_lang, return_counts=True)
                 both = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0].astype("int32")), pa.array(both[1].astype("int64")), pa.array(n)], ["l", "g", "n"])
+            release()
             docs = np.bincount(langs, minlength=len(languages))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages), dtype="int32")), pa.array(np.full(len(languages), -1)), pa.array(docs)], ["l", "g", "n"])
 
@@ -171,7 +172,7 @@ def judgement(spark, model: Model, text):
             best = shares.argmax(axis=1)
             names += [m.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
             scores += np.where(known, shares.max(axis=1), 0.0).tolist()
-        pa.default_memory_pool().release_unused()
+        release()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return judge(F.col(text) if isinstance(text, str) else text)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _UNSURE, PairIndexBPE, chunks, default_vocabulary
-from .common import saved
+from .common import release, saved
 
 TASK_ITEMS = 50_000
 FAN_IN = 8
@@ -87,6 +87,7 @@ def pieces(docs: DataFrame, length: int = 1024, end_id: int = 2, key: str = "doc
                         for c, v in zip(cols, (p, x, y - x, zlib.crc32(ids[x:y].tobytes())), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["k", "piece", "start", "length", "ids_crc32"])
+            release()
 
     out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long")
     return out.withColumnRenamed("k", key)
