@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions, without tables of their own."""

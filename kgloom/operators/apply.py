@@ -11,19 +11,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _edges(triples: DataFrame, used: DataFrame) -> DataFrame:
-    """The readings ``rel, inv, a, b`` of the triples that the rules' ``rel, inv`` in ``used`` ask for.
+#: Rule tables of at most so many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_RULES = 100_000
+#: Readings of relations of which at most so many become a filter of the scans.
+MAX_READINGS = 10_000
+
+
+def _few(rules: DataFrame) -> DataFrame:
+    return F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
 
-    The rules' relations cut the triples before any shuffle; Spark broadcasts them if they are few.
-    """
-    both = triples.select(F.col("p").alias("rel"), F.explode(F.array(F.struct(F.lit(False).alias("inv"), F.col("s").alias("a"), F.col("o").alias("b")), F.struct(F.lit(True).alias("inv"), F.col("o").alias("a"), F.col("s").alias("b")))).alias("x"))
-    return both.select("rel", "x.inv", "x.a", "x.b").join(used.distinct(), ["rel", "inv"], "left_semi")
 
+def _edges(triples: DataFrame, rules: DataFrame, rel: str = "rel", inv: str = "inv") -> DataFrame:
+    """The readings ``rel, inv, a, b`` of the triples that the rules ask for in their columns ``rel`` and ``inv``.
 
-def _of(triples: DataFrame, rules: DataFrame, columns: list[str]) -> DataFrame:
-    """The triples of the relations that the rules name in ``columns``."""
-    named = rules.select(F.explode(F.array(*columns)).alias("p")).distinct()
-    return triples.join(named, "p", "left_semi")
+    The relations that the rules name, a few, become a constant filter, which reaches the
+    scans and drops those of all other relations before any shuffle.
+    """
+    named = rules.select(F.col(rel).alias("rel"), F.col(inv).alias("inv")).distinct().limit(MAX_READINGS + 1).collect()
+    out = None
+    for turned, a, b in ((False, "s", "o"), (True, "o", "s")):
+        relations = sorted({r.rel for r in named if r.inv == turned and r.rel is not None})
+        part = triples if len(named) > MAX_READINGS else triples.filter(F.col("p").isin(relations))
+        if relations or turned and out is None or len(named) > MAX_READINGS:
+            part = part.select(F.col("p").alias("rel"), F.lit(turned).alias("inv"), F.col(a).alias("a"), F.col(b).alias("b"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def cyclic(rules: DataFrame, triples: DataFrame, length: int, queries: DataFrame | None = None) -> DataFrame:
@@ -32,49 +44,44 @@ def cyclic(rules: DataFrame, triples: DataFrame, length: int, queries: DataFrame
     ``rules``: ``rule_id, rel1, inv1, ..., reln, invn``; ``inv`` says that an atom is
     written from right to left.  ``queries``: the values ``x`` to start from.
     """
-    triples = _of(triples, rules, [f"rel{n}" for n in range(1, length + 1)])
     out = None
     for n in range(1, length + 1):
-        edges = _edges(triples, rules.select(F.col(f"rel{n}").alias("rel"), F.col(f"inv{n}").alias("inv")))
+        edges = _edges(triples, rules, f"rel{n}", f"inv{n}")
         step = edges.select(F.col("rel").alias(f"rel{n}"), F.col("inv").alias(f"inv{n}"), F.col("a").alias("x" if n == 1 else "_at"), F.col("b").alias("_to"))
         if n == 1:
             step = step if queries is None else step.join(queries.select("x").distinct(), "x", "left_semi")
-            out = rules.join(step, ["rel1", "inv1"])
+            out = step.join(_few(rules), ["rel1", "inv1"])
         else:
             out = out.withColumnRenamed("_to", "_at").join(step, [f"rel{n}", f"inv{n}", "_at"])
         out = out.select("rule_id", *[c for m in range(n + 1, length + 1) for c in (f"rel{m}", f"inv{m}")], "x", "_to")
-        if n > 1:
+        if 1 < n < length:
             out = out.distinct()  # several groundings
     return out.select("rule_id", "x", F.col("_to").alias("y")).distinct()
 
 
 def with_constant(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,c) <= b(X,d)``; ``rules``: ``rule_id, rel, inv, const, answer``."""
-    edges = _edges(_of(triples, rules, ["rel"]), rules.select("rel", "inv"))
-    return rules.join(edges.withColumnRenamed("b", "const"), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
+    return _edges(triples, rules).withColumnRenamed("b", "const").join(_few(rules), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
 
 
 def dangling(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,c) <= b(X,A)``; ``rules``: ``rule_id, rel, inv, answer``."""
-    edges = _edges(_of(triples, rules, ["rel"]), rules.select("rel", "inv"))
-    return rules.join(edges.select("rel", "inv", "a").distinct(), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
+    return _edges(triples, rules).select("rel", "inv", "a").join(_few(rules), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
 
 
 def zero(rules: DataFrame, queries: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,c) <=`` for the given queries ``p, x``; ``rules``: ``rule_id, head_rel, answer``."""
-    return rules.join(queries.withColumnRenamed("p", "head_rel"), "head_rel").select("rule_id", "x", F.col("answer").alias("y")).distinct()
+    return queries.withColumnRenamed("p", "head_rel").join(_few(rules), "head_rel").select("rule_id", "x", F.col("answer").alias("y")).distinct()
 
 
 def reflexive(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,X) <= b(X,d)``: the candidate is the query itself."""
-    edges = _edges(_of(triples, rules, ["rel"]), rules.select("rel", "inv"))
-    return rules.join(edges.withColumnRenamed("b", "const"), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
+    return _edges(triples, rules).withColumnRenamed("b", "const").join(_few(rules), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
 
 
 def reflexive_dangling(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,X) <= b(X,A)``; ``rules``: ``rule_id, rel, inv``."""
-    edges = _edges(_of(triples, rules, ["rel"]), rules.select("rel", "inv"))
-    return rules.join(edges, ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
+    return _edges(triples, rules).join(_few(rules), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
 
 
 def support(fired: DataFrame, known: DataFrame) -> DataFrame:

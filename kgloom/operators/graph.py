@@ -67,10 +67,10 @@ def tokens(triples: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """``df`` with a dense number from 0 in the given total order.
 
-    The rows are dealt by range, sorted and written once, so that the partitions whose
-    rows are counted are those whose rows are numbered.
+    The rows are written as they come, as dealing by range reads them twice; then they are dealt, sorted
+    and written once more, so that the partitions whose rows are counted are those whose rows are numbered.
     """
-    cut = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % F.lit(2**33)})
+    cut = saved(df, "unnumbered").repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % F.lit(2**33)})
     cut = saved(cut, "numbered")
     counts = cut.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each partition
     base = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))

@@ -55,7 +55,7 @@ def explanation_round_trip(spark, d):
     return found.select("s", "o", "cand", F.col("pos").cast("int").alias("pos"), joined("rule_ids").alias("ids"))
 
 
-@query(", t as (select p_partkey as line, p_size as support, cast(p_partkey % 90 as double) / 100 as lift, p_partkey % 50 + 1 as rule1, p_partkey * 7 % 50 + 1 as rule2 from part where p_partkey % 9 <> 0) select count(*) as n, sum(support) as support, round(sum(lift), 6) as lift, sum(rule1 * 100 + rule2) as ids from t")
+@query(", t as (select p_partkey as line, p_size as support, cast(p_partkey % 90 as double) / 100 as lift, p_partkey % 50 + 1 as rule1, p_partkey * 7 % 50 + 1 as rule2 from part where p_partkey % 9 <> 0) select count(*) as n, cast(sum(support) as bigint) as support, round(sum(lift), 6) as lift, cast(sum(rule1 * 100 + rule2) as bigint) as ids from t")
 def synergy_file_read(spark, d):
     """Lines by tabs and by blanks, some of them broken."""
     lines = _lift(spark, d)

@@ -65,3 +65,56 @@ def test_adding_a_rule_that_never_fires_changes_no_rank(spark):
 
 def test_entity_labels_of_lists(spark):
     assert spark.range(1).select(F.round(compare.mean_of_top(F.array(F.lit(0.5), F.lit(0.5))), 3).alias("m")).first().m == 0.1
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_rules_prune_the_scans_of_other_relations(spark):
+    from kgloom.operators import graph
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.createDataFrame([(1, "cust_nation", False, "in_region", False)], "rule_id int, rel1 string, inv1 boolean, rel2 string, inv2 boolean")
+    found = plan(apply.cyclic(rows, graph.project(spark, d), 2))
+    assert found.count("FileScan") == 2 and "BroadcastHashJoin" in found
+
+
+def test_topk_is_cut_before_the_shuffle(spark):
+    v = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(20)], "vec_id long, embedding array<double>")
+    found = plan(score.dot_topk(v.filter("vec_id < 2"), v, 3))
+    assert "WindowGroupLimit" in found and "Partial" in found
+
+
+def test_ranks_of_many_golds_and_levels(spark):
+    import random
+
+    rng = random.Random(3)
+    scored = [(q, c, rng.choice([0.0, 0.25, 0.5, 0.75])) for q in range(6) for c in rng.sample(range(30), rng.randint(0, 25))]
+    golds = [(q, g) for q in range(7) for g in rng.sample(range(35), rng.randint(1, 6))]
+    gone = [(q, c) for q in range(7) for c in rng.sample(range(30), 4)]
+    frames = (spark.createDataFrame(scored, "q int, cand int, score double"), spark.createDataFrame(golds, "q int, gold int"), 40, ["q"], spark.createDataFrame(gone, "q int, cand int"))
+    got = {(r.q, r.gold): (r.n_cands, r["rank"]) for r in score.ranks(*frames).collect()}
+    for q, g in golds:
+        own = dict((c, s) for k, c, s in scored if k == q)
+        others = [s for c, s in own.items() if s > 0 and (q, c) not in golds and (q, c) not in gone]
+        s = own.get(g, 0.0)
+        want = sum(o > s for o in others) + (sum(o == s for o in others) + 2) / 2 if s > 0 else len(others) + (40 - len(others) + 1) / 2
+        assert got[q, g] == (len(others), want if own else None)
+
+
+def test_strict_readers_reject(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "t").write_text("a\tr\tb\nx\ty\n")
+    with pytest.raises(Exception, match="not three fields"):
+        formats.triples(spark, str(tmp_path / "t"), strict=True).collect()
+    (tmp_path / "html").write_text("a &amp; b\tr\t&#233;\n")
+    assert tuple(formats.unescaped(formats.triples(spark, str(tmp_path / "html"))).first()) == ("a & b", "r", "\u00e9")
+
+
+def test_nested_json_is_read_back(spark):
+    rows = [(d, p, f"q{q}", c, list(range(q))) for d in ("head", "tail") for p in ("r", 'quo"te') for q in range(3) for c in ("x", "\u00e9 y")]
+    df = spark.createDataFrame(rows, "direction string, p string, q string, cand string, rule_ids array<int>")
+    back = formats.flattened(formats.nested(df).select(F.col("json").alias("value")))
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, rows))
