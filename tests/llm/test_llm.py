@@ -575,3 +575,69 @@ def test_packing_uses_few_sequences(spark):
     assert plain <= found <= 1.02 * plain + 2
     stuck = cut.withColumn("length", F.lit(40).cast("long"))
     assert packing.pack(stuck, 64, task_items=400).select("sequence_id").distinct().count() == 3000
+
+
+def physical(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_unique_documents_do_not_shuffle(docs):
+    """The exchanges of the plan stand below the aggregate of possibly repeated rows; the branch of unique rows has none."""
+    unique, repeated = None, None
+    for branch in re.split(r"\n   [:+]- ", physical(dedup.deduplicated(docs)).split("Union", 1)[1]):
+        if "Scan" in branch:
+            unique, repeated = (branch, repeated) if "Exchange" not in branch.split("Scan")[0] else (unique, branch)
+    assert unique and repeated and "Aggregate" in repeated
+
+
+def test_secret_scan_is_native_and_shuffles_listed_texts_only(spark):
+    given = spark.createDataFrame([(k, "plain words only " * 50 if k else "password = abcdef123") for k in range(200)], "doc_id long, text string")
+    plan = physical(secrets.report(given))
+    assert not re.search("Python|Arrow|Pandas", plan) and "Union" in plan
+    listed = given.filter(secrets.in_a_pivots_list(F.col("text"), secrets.RULES))
+    assert [r.doc_id for r in listed.collect()] == [0]
+
+
+def test_warc_records_are_rebuilt(spark):
+    """Every record's bytes are those that its row makes, with the response's id in its revisits."""
+    given = [(k, f"http://h/{k}", ("same" if k % 3 else f"page {k}") * 20) for k in range(40)]
+    path = warc.write_archive(spark.createDataFrame(given, "page_id long, url string, html string"))
+    rows = {r.k: bytes(r.record) for r in warc.record_bytes(warc.read_archive(spark, path)).collect()}
+    first = max(k for k in rows if k % 3)
+    for k, url, html in given:
+        head, _, rest = rows[k].partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n"
+        revisit = bool(k % 3) and k != first
+        body = http + ("" if revisit else html)
+        assert rest == (body + "\r\n\r\n").encode() and fields["Content-Length"] == str(len(body))
+        assert fields["WARC-Type"] == ("revisit" if revisit else "response") and fields["WARC-Target-URI"] == url
+        assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+        assert (":%d:" % first in fields["WARC-Refers-To"]) if revisit else "WARC-Refers-To" not in fields
+    assert len({x.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for x in rows.values()}) == 40
+
+
+CLASHES = ("k", "t", "n", "sha", "digest", "row", "node", "kept", "key", "doc", "found", "rules", "score", "lang_pred", "maybe", "block", "cluster", "a", "b", "text_sha256", "_row", "_j")
+
+
+def test_pipeline_stages_on_clashing_columns_null_and_shared_ids(spark, rows, empty):
+    import corpus_pipeline
+
+    base = " ".join(words(41, 90))
+    given = [(i, t, "en", "s", len(t or "")) for i, t in rows if t is None or len(t) < 5000]
+    given += [(1, base, "en", "s", 9), (1, base + " end", "en", "s", 9), (None, base + " fin", "en", "s", 9), (None, "password = abcdef99 and words", None, None, None), (1, "unlike anything " + " ".join(words(42, 50)), "en", "s", 9)]
+    plain = spark.createDataFrame(given, SCHEMA).repartition(3)
+    clash = plain.select("*", *[F.lit("clash").alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want, got = stage(spark, plain, ""), stage(spark, clash, "")
+        assert want.columns == plain.columns and got.columns == clash.columns, name
+        same = lambda df: sorted(map(repr, df.select(*plain.columns).collect()))
+        assert same(want) == same(got) and {r.k for r in got.select("k").collect()} <= {"clash"}, name
+        assert stage(spark, empty, "").count() == 0, name
+    packed = corpus_pipeline.pack(spark, clash, "")
+    assert packed.select("doc_id").distinct().count() == len({i for i, *_ in given}) and corpus_pipeline.pack(spark, empty, "").count() == 0
+    near = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, plain, "").collect()]
+    assert [x for x in near if x[1].startswith(base)] == [(1, base)] or [i for i, t in near if t and t.startswith(base)] == [1]
+    assert sum(bool(t) and t.startswith("unlike anything") for _, t in near) == 1
+    lang = corpus_pipeline.language(spark, plain, "").collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in lang))) == sorted(repr((i, t)) for i, t, *_ in given if t and re.search("[^\\W\\d_]", t))
