@@ -28,6 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -217,7 +219,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     """``doc, t, found``: every row as a struct, its text, and its spans by start and then by the order of the rules."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].alias("k"), F.coalesce(docs[text], F.lit("")).alias("t"))
     listed = F.col("k").isNotNull() & in_a_pivots_list(F.col("t"), rules)
-    some = rows.filter(listed)
+    some = saved(rows.filter(listed).select("doc", "k"), "listed").withColumn("t", F.coalesce(F.col(f"doc.`{text}`"), F.lit("")))
     some = some.join(candidates(some, rules), "k", "left").select("doc", "t", F.coalesce("rules", F.lit(0).cast("long")).alias("rules"))
     others = rows.filter(~listed).select("doc", "t", F.when(F.col("k").isNull(), F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long")).alias("rules"))
     everywhere = sum(1 << n for n, rule in enumerate(rules) if not trigram_query(rule.pattern))
