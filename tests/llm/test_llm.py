@@ -581,8 +581,9 @@ def physical(df):
     return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
 
 
-def test_unique_documents_do_not_shuffle(docs):
+def test_unique_documents_do_not_shuffle(spark):
     """The exchanges of the plan stand below the aggregate of possibly repeated rows; the branch of unique rows has none."""
+    docs = spark.createDataFrame([(k, f"text {k % 7}", "en", "s", 1) for k in range(20)], SCHEMA)
     unique, repeated = None, None
     for branch in re.split(r"\n   [:+]- ", physical(dedup.deduplicated(docs)).split("Union", 1)[1]):
         if "Scan" in branch:
@@ -637,7 +638,7 @@ def test_pipeline_stages_on_clashing_columns_null_and_shared_ids(spark, rows, em
     packed = corpus_pipeline.pack(spark, clash, "")
     assert packed.select("doc_id").distinct().count() == len({i for i, *_ in given}) and corpus_pipeline.pack(spark, empty, "").count() == 0
     near = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, plain, "").collect()]
-    assert [x for x in near if x[1].startswith(base)] == [(1, base)] or [i for i, t in near if t and t.startswith(base)] == [1]
+    assert [i for i, t in near if t and t.startswith(base)] == [1]
     assert sum(bool(t) and t.startswith("unlike anything") for _, t in near) == 1
     lang = corpus_pipeline.language(spark, plain, "").collect()
     assert sorted(map(repr, ((r.doc_id, r.text) for r in lang))) == sorted(repr((i, t)) for i, t, *_ in given if t and re.search("[^\\W\\d_]", t))
