@@ -100,7 +100,6 @@ def report(a: DataFrame, b: DataFrame) -> DataFrame:
 
     Sections: missing_query, extra_query, missing, extra, rules.
     """
-    none = F.lit(None).cast("string")
     rules = F.expr("cast(null as array<int>)")
     queries = query_key_differences(a, b).select(F.when(F.col("side") == "a", "missing_query").otherwise("extra_query").alias("section"), "direction", "p", "q", F.lit(None).cast(dict(a.dtypes)["cand"]).alias("cand"), rules.alias("only_a"), rules.alias("only_b"), F.lit(None).cast("boolean").alias("same_multiset"))
     keys = differences(a, b).filter("status <> 'same'").select(F.when(F.col("status") == "mismatch", "rules").otherwise(F.col("status")).alias("section"), *KEY, "only_a", "only_b", "same_multiset")

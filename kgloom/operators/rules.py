@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import ATOM, SHAPES, UNSEEN, atom, body, confidence, count_of, head, head_relation, is_active, is_trivial, shape  # noqa: F401 - beside the operators
+from ..functions.rules import confidence, count_of, head_relation, is_trivial
 from ..store import saved
 
+
 def from_lines(lines: DataFrame) -> DataFrame:
     """Rules of the lines of rule files (``line`` from 1, ``value``, as of :func:`kgloom.sources.formats.numbered_lines`).
 

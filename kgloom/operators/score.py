@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import linear, max_conf, noisy_or, sigmoid, softplus, surprisal, surprisal_score  # noqa: F401 - beside the operators
-
 #: Scores are compared after rounding, as sums depend on their order.
 DIGITS = 9
 

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import rules as rule
+from ..functions import scores
 from ..operators import apply, compare, fit, graph, rules, samples, score
 from ..sources import formats
 from ..store import saved, tables_dir
@@ -160,18 +162,18 @@ def rule_lines(spark, d):
 
 @query("{plain}select rule_id, case when position('(' in split_part(rule, ' <= ', 1)) > 0 then split_part(split_part(rule, ' <= ', 1), '(', 1) else '' end as head_rel from (" + PARSED + ")")
 def rule_parse_head(spark, d):
-    return rule_lines(spark, d).select("rule_id", rules.head_relation(F.col("rule")).alias("head_rel"))
+    return rule_lines(spark, d).select("rule_id", rule.head_relation(F.col("rule")).alias("head_rel"))
 
 
 @query("{plain}select rule_id, pos, regexp_extract(a, '^(.+)\\((.*),(.*)\\)$', 1) as rel, regexp_extract(a, '^(.+)\\((.*),(.*)\\)$', 2) as x, regexp_extract(a, '^(.+)\\((.*),(.*)\\)$', 3) as y from (select rule_id, unnest(str_split(split_part(rule, ' <= ', 2), ', ')) as a, generate_subscripts(str_split(split_part(rule, ' <= ', 2), ', '), 1) - 1 as pos from (" + PARSED + ") where rule like '% <= %')")
 def rule_parse_atoms(spark, d):
-    return rule_lines(spark, d).select("rule_id", F.posexplode(rules.body(F.col("rule"))).alias("pos", "a")).select("rule_id", long("pos"), "a.rel", "a.x", "a.y")
+    return rule_lines(spark, d).select("rule_id", F.posexplode(rule.body(F.col("rule"))).alias("pos", "a")).select("rule_id", long("pos"), "a.rel", "a.x", "a.y")
 
 
 @query("{plain}select rule_id, n as num_preds, round(case when n > 0 then num_true / (n + 5) else 0 end, 9) as conf from (select *, coalesce(cast(trunc(try_cast(preds as double)) as bigint), 0) as n from (" + PARSED + "))")
 def rule_confidence_laplace(spark, d):
-    n = rules.count_of(F.col("preds"))
-    return rule_lines(spark, d).select("rule_id", n.alias("num_preds"), F.round(rules.confidence(n, F.col("num_true")), 9).alias("conf"))
+    n = rule.count_of(F.col("preds"))
+    return rule_lines(spark, d).select("rule_id", n.alias("num_preds"), F.round(rule.confidence(n, F.col("num_true")), 9).alias("conf"))
 
 
 def _atom(text: str, n: int) -> str:
@@ -193,19 +195,19 @@ _HEAD = "case when position('(' in split_part(rule, ' <= ', 1)) > 0 then split_p
 
 @query("{plain}select rule_id, rule from (" + _TERMS_OF_PART + f") where not {TRIVIAL}")
 def rule_trivial_filter(spark, d):
-    return rule_lines(spark, d).filter(~rules.is_trivial(F.col("rule"))).select("rule_id", "rule")
+    return rule_lines(spark, d).filter(~rule.is_trivial(F.col("rule"))).select("rule_id", "rule")
 
 
 @query("{plain}select rule_id as old_id, row_number() over (order by " + _HEAD + ", rule_id) - 1 as new_id from (" + _TERMS_OF_PART + f") where not {TRIVIAL}")
 def rule_renumber(spark, d):
-    return rules.renumbered(rule_lines(spark, d).withColumn("head_rel", rules.head_relation(F.col("rule"))))
+    return rules.renumbered(rule_lines(spark, d).withColumn("head_rel", rule.head_relation(F.col("rule"))))
 
 
 @query("{plain}select rule_id, shape from (select *, " + SHAPE + " as shape from (" + _TERMS_OF_PART + ")) where shape in ('cyclic', 'u_c') and num_true >= case shape when 'cyclic' then 3 else 6 end and (shape <> 'cyclic' or n <= 1)")
 def rule_type_filter(spark, d):
     """Cyclic rules of one atom and rules with a constant, of enough support: what a rule loader is told to take."""
     lines = rule_lines(spark, d)
-    return lines.filter(rules.is_active(F.col("rule"), F.col("num_true"), ("cyclic", "u_c"), 3, 6, 1)).select("rule_id", rules.shape(F.col("rule")).alias("shape"))
+    return lines.filter(rule.is_active(F.col("rule"), F.col("num_true"), ("cyclic", "u_c"), 3, 6, 1)).select("rule_id", rule.shape(F.col("rule")).alias("shape"))
 
 
 @query("{plain}select p_brand as brand, 2 * row_number() over (partition by p_brand order by p_partkey) - 1 as rule_id, p_size as num_true, 'h' || cast(p_partkey % 3 as varchar) as head_rel from part")
@@ -285,7 +287,7 @@ def mined(train, contains):
     """Rules shipped_by(X,a) <= contains(X,v) with at least two true predictions."""
     true = train.join(contains, "q").groupBy("v", "a").agg(F.count("*").alias("num_true")).filter("num_true >= 2")
     preds = contains.groupBy("v").agg(F.count("*").alias("num_preds"))
-    return true.join(preds, "v").select("v", "a", "num_preds", "num_true", rules.confidence(F.col("num_preds"), F.col("num_true")).alias("conf"))
+    return true.join(preds, "v").select("v", "a", "num_preds", "num_true", rule.confidence(F.col("num_preds"), F.col("num_true")).alias("conf"))
 
 
 @query(f", {_SPLIT} select v, a, num_preds, num_true, round(conf, 9) as conf from ucr")
@@ -319,7 +321,7 @@ def shipped_by_completion(spark, d):
     known = shipped(spark, d).filter("part > 0").select("q", F.col("a").alias("a"))
     contains, supplied = saved(contains, "contains"), saved(supplied, "supplied")
     pairs = saved(contains.join(supplied, "v").select("q", "a").distinct(), "reached")
-    counts = pairs.join(train.withColumn("hit", F.lit(1)), ["q", "a"], "left").agg(rules.confidence(F.count("*"), F.count("hit")).alias("conf"))
+    counts = pairs.join(train.withColumn("hit", F.lit(1)), ["q", "a"], "left").agg(rule.confidence(F.count("*"), F.count("hit")).alias("conf"))
     asked = gold.select("q").distinct()
     by_constant = contains.join(asked, "q", "left_semi").join(mined(train, contains), "v").select("q", F.col("a").alias("cand"), "conf")
     by_path = pairs.join(asked, "q", "left_semi").select("q", F.col("a").alias("cand")).crossJoin(F.broadcast(counts))  # counts is one row
@@ -452,30 +454,30 @@ def synergy_pair_match(spark, d):
 
 @query("select q, cand, round(max(conf), 9) as score from fired group by q, cand")
 def score_max_conf(spark, d):
-    return fired(spark, d).groupBy("q", "cand").agg(F.round(score.max_conf(), 9).alias("score"))
+    return fired(spark, d).groupBy("q", "cand").agg(F.round(scores.max_conf(), 9).alias("score"))
 
 
 @query("select q, cand, round(sum(conf) + 0.1, 9) as score from fired group by q, cand")
 def score_linear_initial(spark, d):
-    return fired(spark, d).withColumn("weight", F.col("conf")).groupBy("q", "cand").agg(F.round(score.linear(0.1), 9).alias("score"))
+    return fired(spark, d).withColumn("weight", F.col("conf")).groupBy("q", "cand").agg(F.round(scores.linear(0.1), 9).alias("score"))
 
 
 @query("select q, cand, round(greatest(1e-7, least(1 - 1e-7, 1 - exp(sum(ln(1 - conf))))), 9) as score from fired group by q, cand")
 def score_noisy_or(spark, d):
-    return fired(spark, d).withColumn("weight", score.surprisal(F.col("conf"))).groupBy("q", "cand").agg(F.round(score.noisy_or(), 9).alias("score"))
+    return fired(spark, d).withColumn("weight", scores.surprisal(F.col("conf"))).groupBy("q", "cand").agg(F.round(scores.noisy_or(), 9).alias("score"))
 
 
 @query(_SYN + ", g as (select x.q, x.cand, sum(lift) as extra from sy join fired x on x.rule_id = sy.a join fired y on y.rule_id = sy.b and y.q = x.q and y.cand = x.cand group by all) select q, cand, round(greatest(1e-7, least(1 - 1e-7, 1 - exp(sum(ln(1 - conf)) - coalesce(any_value(extra), 0)))), 9) as score from fired left join g using (q, cand) group by q, cand")
 def score_noisy_or_synergy(spark, d):
     syn = samples.synergy_pairs(_lift(spark, d), _two_relations(spark)).withColumn("p", F.lit("shipped_by"))
     extra = samples.pairs_in(applied(spark, d), syn).groupBy("q", "cand").agg(F.sum("lift").alias("extra"))
-    f = fired(spark, d).withColumn("weight", score.surprisal(F.col("conf"))).join(extra, ["q", "cand"], "left")
-    return f.groupBy("q", "cand").agg(F.round(score.noisy_or(extra=F.coalesce(F.first("extra"), F.lit(0.0))), 9).alias("score"))
+    f = fired(spark, d).withColumn("weight", scores.surprisal(F.col("conf"))).join(extra, ["q", "cand"], "left")
+    return f.groupBy("q", "cand").agg(F.round(scores.noisy_or(extra=F.coalesce(F.first("extra"), F.lit(0.0))), 9).alias("score"))
 
 
 @query("select q, cand, round(ln(1 + exp(sum(conf))), 9) as score from fired group by q, cand")
 def score_softplus(spark, d):
-    return fired(spark, d).groupBy("q", "cand").agg(F.round(score.softplus(F.sum("conf")), 9).alias("score"))
+    return fired(spark, d).groupBy("q", "cand").agg(F.round(scores.softplus(F.sum("conf")), 9).alias("score"))
 
 
 @query(", x as (select round(1 - exp(sum(ln(1 - conf))), 9) as p, case when (q, cand) in (select (q, gold) from golds) then 1 else 0 end as gold from fired group by q, cand), l as (select gold, -(gold * ln(p) * 5 + (1 - gold) * ln(1 - p)) as l from x) select round(avg(l), 6) as mean_loss, round(sum(l), 3) as sum_loss, round((avg(case when gold = 1 then l end) + avg(case when gold = 0 then l end)) / 2, 6) as class_mean_loss from l")

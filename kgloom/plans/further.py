@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import rules as rule
+from ..functions import scores
 from ..operators import apply, compare, fit, graph, rules, samples, score
 from ..sources import formats
 from ..store import saved, tables_dir
@@ -101,13 +103,13 @@ def _more_rules(spark, d):
 
 @query("{plain}select rule_id, " + SHAPE + " as shape from (" + TERMS.format(rules=_MORE_LINES.format(S="varchar")) + ")")
 def rule_shapes(spark, d):
-    return _more_rules(spark, d).select("rule_id", rules.shape(F.col("rule")).alias("shape"))
+    return _more_rules(spark, d).select("rule_id", rule.shape(F.col("rule")).alias("shape"))
 
 
 @query("{plain}select rule_id, coalesce(case when shape = 'cyclic' then num_true >= 5 and n <= 3 else num_true >= 10 end, false) and shape not in ('zero', 'u_xxd') as active from (select *, " + SHAPE + " as shape from (" + TERMS.format(rules=_MORE_LINES.format(S="varchar")) + ")) where shape is not null union all select rule_id, false from (" + _MORE_LINES.format(S="varchar") + ") where rule not like '% <= %'")
 def rule_active(spark, d):
-    on = tuple(s for s in rules.SHAPES if s not in ("zero", "u_xxd"))
-    return _more_rules(spark, d).select("rule_id", rules.is_active(F.col("rule"), F.col("num_true"), on, 5, 10).alias("active"))
+    on = tuple(s for s in rule.SHAPES if s not in ("zero", "u_xxd"))
+    return _more_rules(spark, d).select("rule_id", rule.is_active(F.col("rule"), F.col("num_true"), on, 5, 10).alias("active"))
 
 
 @query("{plain}select p_brand as p, count(*) as n, string_agg(cast(p_partkey + 1 as varchar), ',' order by p_partkey) as ids from part group by 1")
@@ -190,15 +192,15 @@ def rule_weight_lookup(spark, d):
 def score_linear_sigmoid(spark, d):
     """The linear model's prediction; a candidate whose rules all have no weight gets that of the bias alone."""
     sums = score.value_sums(applied(spark, d), _weights(spark, d), "weight", ["p", "q", "cand"])
-    return sums.select("q", "cand", F.round(score.sigmoid(F.col("score") - 0.5), 9).alias("pred"))
+    return sums.select("q", "cand", F.round(scores.sigmoid(F.col("score") - 0.5), 9).alias("pred"))
 
 
 @query(_SYN + ", g as (select x.q, x.cand, sum(lift) as extra from sy join fired x on x.rule_id = sy.a join fired y on y.rule_id = sy.b and y.q = x.q and y.cand = x.cand group by all) select q, cand, round(greatest(1e-7, least(1 - 1e-7, 1 - exp(sum(ln(1 - conf)) - 0.7 * coalesce(any_value(extra), 0) - 0.09)))), 9) as score from fired left join g using (q, cand) group by q, cand".replace("0.09)))), 9)", "0.09))), 9)"))
 def score_surprisal_bias_gamma(spark, d):
     syn = samples.synergy_pairs(_lift(spark, d), _two_relations(spark)).withColumn("p", F.lit("shipped_by"))
     extra = samples.pairs_in(applied(spark, d), syn).groupBy("q", "cand").agg(F.sum("lift").alias("extra"))
-    f = fired(spark, d).withColumn("weight", score.surprisal(F.col("conf"))).join(extra, ["q", "cand"], "left")
-    return f.groupBy("q", "cand").agg(F.round(score.surprisal_score(0.3, 0.7, pairs=F.coalesce(F.first("extra"), F.lit(0.0))), 9).alias("score"))
+    f = fired(spark, d).withColumn("weight", scores.surprisal(F.col("conf"))).join(extra, ["q", "cand"], "left")
+    return f.groupBy("q", "cand").agg(F.round(scores.surprisal_score(0.3, 0.7, pairs=F.coalesce(F.first("extra"), F.lit(0.0))), 9).alias("score"))
 
 
 _PRED = "select q, cand, 1 - exp(sum(ln(1 - conf))) as pred, case when (q, cand) in (select (q, gold) from golds) then 1 else 0 end as gold from fired group by q, cand"
