@@ -33,3 +33,29 @@ def test_counts_and_degrees(spark):
     pairs = spark.createDataFrame([("r", 1, 2, 4.0), ("r", 1, 1, 4.0)], "p string, a int, b int, lift double")
     found = {(r.a, r.b): r.lift for r in samples.degree_normalised(pairs, 0.5).collect()}
     assert found == {(1, 2): pytest.approx(4 / 2**0.5), (1, 1): pytest.approx(2.0)}
+
+
+def test_a_folder_is_needed_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from kgloom import store
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(applicationId="app-x", master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_dir(session)
+    session.sparkContext.master = "local[2]"
+    assert store.shared_dir(session) == store.shared_dir(session)
+    session.conf.get = lambda key, default: "file:///shared"
+    assert store.tables_dir(session) == "file:///shared/tables/app-x"
+
+
+def test_tables_are_dropped_by_application(spark, monkeypatch, tmp_path):
+    import os
+
+    from kgloom import store
+
+    monkeypatch.setattr(store, "shared_dir", lambda spark: str(tmp_path))
+    assert store.saved(spark.range(5), "five").count() == 5 and len(os.listdir(store.tables_dir(spark))) == 1
+    (tmp_path / "tables" / "other").mkdir()
+    store.drop_tables(spark)
+    assert os.listdir(tmp_path / "tables") == ["other"]
