@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, jaccard, langid, matroska, packing, secrets, sharding, urls, warc
+from . import bpe, dedup, jaccard, langid, matroska, packing, resampling, secrets, sharding, urls, warc
 from .common import read
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -57,13 +57,17 @@ def op10_matroska(spark, sf_dir):
     return matroska.store_texts(read(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark, sf_dir):
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), share=25, seed=7, least_words=20)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_secret_scan, op4_exact_dedup, op5_warc_archive, op6_bpe, op7_language_id, op8_jaccard_join, op8_jaccard_links, op9_sharding, op10_matroska, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_secret_scan, op4_exact_dedup, op5_warc_archive, op6_bpe, op7_language_id, op8_jaccard_join, op8_jaccard_links, op9_sharding, op10_matroska, op13_importance_resampling, pipeline)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES = {
