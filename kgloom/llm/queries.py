@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, divergence, jaccard, langid, matroska, packing, resampling, secrets, sharding, urls, warc
+from . import bpe, dedup, divergence, jaccard, katz, langid, matroska, packing, resampling, secrets, sharding, urls, warc
 from .common import read
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -57,6 +57,13 @@ def op10_matroska(spark, sf_dir):
     return matroska.store_texts(read(spark, sf_dir, "documents"))
 
 
+def op11_katz_backoff(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
+    model = katz.train(docs.filter(~held_out))
+    return katz.score(docs, model).withColumn("held_out", held_out)
+
+
 def op12_source_divergence(spark, sf_dir):
     return divergence.audit(read(spark, sf_dir, "documents"), least_docs=10, top=10)
 
@@ -71,7 +78,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_secret_scan, op4_exact_dedup, op5_warc_archive, op6_bpe, op7_language_id, op8_jaccard_join, op8_jaccard_links, op9_sharding, op10_matroska, op12_source_divergence, op13_importance_resampling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_secret_scan, op4_exact_dedup, op5_warc_archive, op6_bpe, op7_language_id, op8_jaccard_join, op8_jaccard_links, op9_sharding, op10_matroska, op11_katz_backoff, op12_source_divergence, op13_importance_resampling, pipeline)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES = {
