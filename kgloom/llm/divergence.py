@@ -24,8 +24,6 @@ result; columns of the input other than these three are not read.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,9 +36,9 @@ ROWS = 2
 CELLS_A_DOC = 64
 LEAST_CELLS, MAX_CELLS = 2**16, 2**28
 BUCKET = 2**16
-#: Positions, and counts of terms, that a task holds before it sends them on.
+#: Positions, or occurrences of terms, that a task holds before it sends them on, and terms that it remembers beyond that.
 FLUSH = 2_000_000
-FLUSH_TERMS = 400_000
+FLUSH_TERMS = 600_000
 #: Odd multipliers of the rows' hash functions.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SCALE = 1_000_000_000
@@ -139,39 +137,48 @@ def _batch(rows, fields):
 def counted(docs: DataFrame, sketch: Sketch) -> DataFrame:
     """``lang, source, term, n, df``: occurrences and documents of the terms that the sketch leaves, exactly."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # ROWS * MAX_CELLS bits at most
-    fields = [("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())]
 
     def run(batches):
         sketch, number = shared.value, Numbers()
-        known: dict[str, dict[bytes, bool]] = {}
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        codes: dict[str, dict[bytes, int]] = {}  # of a language's terms; -1 if the sketch drops it
+        terms: list[bytes] = []
+        groups: dict[tuple[str, str], int] = {}
+        group_of, held, of, size = [], [], [], 0
 
         def flush():
-            for (lang, source), (n, df) in held.items():
-                yield from ((lang, source, term.decode(), count, df[term]) for term, count in n.items())
+            code, doc = np.concatenate(held), np.repeat(np.array(of), [len(x) for x in held])
+            key, n = np.unique(doc << 32 | code, return_counts=True)  # once a document
+            key = np.array(group_of)[key >> 32] << 32 | key & 0xFFFFFFFF
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            at = np.flatnonzero(np.diff(key, prepend=-1))
+            n, df, key = np.add.reduceat(n, at), np.diff([*at, len(key)]), key[at]
+            names, words_ = list(zip(*groups, strict=True)), pa.array(terms, pa.binary()).cast(pa.string())
+            group = pa.array(key >> 32)
+            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.string()).take(group) for x in names], words_.take(pa.array(key & 0xFFFFFFFF)), pa.array(n), pa.array(df)], ["lang", "source", "term", "n", "df"])
 
-        size = 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                count: Counter = Counter()
+                group_of.append(groups.setdefault((lang, source), len(groups)))
+                known = codes.setdefault(lang, {})
                 for found in words(text.as_py(), LETTERS):
-                    count.update(found)
-                passed = known.setdefault(lang, {})
-                if len(passed) > FLUSH_TERMS:
-                    passed.clear()
-                if new := [w for w in count if w not in passed]:
-                    passed.update(zip(new, sketch.possible(number(new, len(new)), lang).tolist(), strict=True))
-                n, df = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                kept = {w: c for w, c in count.items() if passed[w]}
-                n.update(kept)
-                df.update(kept.keys())
-                size += len(n) - before
-                if size > FLUSH_TERMS:
-                    yield from _batches(flush(), *fields, many=20_000)
-                    held, size = {}, 0
-            release()
-        yield from _batches(flush(), *fields, many=20_000)
+                    if new := list({w for w in found if w not in known}):
+                        for w, passed in zip(new, sketch.possible(number(new, len(new)), lang).tolist(), strict=True):
+                            known[w] = len(terms) if passed else -1
+                            if passed:
+                                terms.append(w)
+                    code = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+                    held.append(code[code >= 0])
+                    of.append(len(group_of) - 1)
+                    size += len(held[-1])
+                if size > FLUSH:
+                    yield flush()
+                    group_of, held, of, size = [], [], [], 0
+                    if sum(map(len, codes.values())) > FLUSH_TERMS:
+                        codes, terms, groups = {}, [], {}
+                    release()
+        if size:
+            yield flush()
 
     sums = docs.mapInArrow(run, "lang string, source string, term string, n long, df long")
     return sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
