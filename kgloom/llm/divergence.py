@@ -162,7 +162,7 @@ def counted(docs: DataFrame, sketch: Sketch) -> DataFrame:
                 group_of.append(groups.setdefault((lang, source), len(groups)))
                 known = codes.setdefault(lang, {})
                 for found in words(text.as_py(), LETTERS):
-                    if new := list({w for w in found if w not in known}):
+                    if new := list(set(found).difference(known)):
                         for w, passed in zip(new, sketch.possible(number(new, len(new)), lang).tolist(), strict=True):
                             known[w] = len(terms) if passed else -1
                             if passed:

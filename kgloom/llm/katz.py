@@ -144,7 +144,7 @@ class Ids(Numbers):
         if len(self.known) > 500_000:
             self.known.clear()
         known = self.known
-        if new := list({w for w in found if w not in known}):
+        if new := list(set(found).difference(known)):
             fresh = Numbers()
             known.update(zip(new, self.head.ids(fresh(new, len(new))).tolist(), strict=True))
         return np.fromiter(map(known.__getitem__, found), np.uint64, many)
@@ -162,7 +162,7 @@ class Model:
 class Block:
     """Tokens of some texts, each beside the one before, and their distinct pairs by part."""
 
-    def __init__(self, head: Head, ids: np.ndarray, before: np.ndarray):
+    def __init__(self, head: Head, ids: np.ndarray, before: np.ndarray, places: bool = False):
         rare = np.unique(np.concatenate([x[x >= RARE] for x in (ids, before)]))
         many = len(head.counts)
 
@@ -172,7 +172,11 @@ class Block:
             return out
 
         self.token, names = code(ids), np.concatenate([np.arange(many, dtype=np.uint64), rare])
-        keys, self.pair, self.times = np.unique(code(before) << 32 | self.token, return_inverse=True, return_counts=True)
+        keys = code(before) << 32 | self.token
+        if places:  # which distinct pair each token ends
+            keys, self.pair = np.unique(keys, return_inverse=True)
+        else:
+            keys, self.times = np.unique(keys, return_counts=True)
         u, w = keys >> 32, keys & 0xFFFFFFFF
         #: Tokens that the head lacks are asked for alone, after the pairs.
         self.alone = np.unique(self.token[self.token >= many])
@@ -181,7 +185,7 @@ class Block:
         u_ids = np.concatenate([names[u], np.full(len(self.alone), head.alone)])
         w_ids = names[self.w]
         part = head.parts_of(u_ids, w_ids)
-        order = np.lexsort((w_ids, u_ids, part))
+        order = np.argsort(part.astype(np.uint16) if head.parts <= 2**16 else part, kind="stable")  # they are sorted by context and word
         cut = np.flatnonzero(np.diff(part[order])) + 1
         #: By part: its number, which distinct pairs it holds, their contexts and words.
         self.by_part = [(int(part[x[0]]), x, u_ids[x], w_ids[x]) for x in np.split(order, cut)] if len(order) else []
@@ -381,7 +385,7 @@ def _answer(group):
     join = lambda rows, f, column, kind=np.uint64: np.concatenate([f(column[i].as_py()) for i in rows]) if rows else np.empty(0, kind)
     u, w, n = join(of(GRAMS), unpack_sorted, a), join(of(GRAMS), unpack, b), join(of(GRAMS), unpack, c)
     both = shuffled(shuffled(u) + w)
-    order = np.lexsort((w, u, both))
+    order = np.argsort(both)
     both, u, w, n = both[order], u[order], w[order], n[order]
     cu, whole, alpha = join(of(CONTEXTS), unpack, a), join(of(CONTEXTS), unpack, b), join(of(CONTEXTS), np.frombuffer, c, float)
     order = np.argsort(cu)
@@ -453,7 +457,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         head = shared.value
         row = block.to_pylist()[0]
         ids, before = _restored(head, row)
-        b = Block(head, ids, before)
+        b = Block(head, ids, before, places=True)
         replies = {r["part"]: r for r in found.to_pylist()}
         counts, whole, alpha = np.zeros(len(b.w), np.int64), np.ones(len(b.w)), np.ones(len(b.w))
         for p, x, u, _ in b.by_part:

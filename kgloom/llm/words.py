@@ -47,9 +47,8 @@ class Numbers:
             self.known.clear()
         known, seed = self.known, self.seed
         found = found if isinstance(found, list) else list(found)
-        for w in found:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w, seed)
+        for w in set(found).difference(known):  # a dict, so each word is looked up
+            known[w] = xxhash.xxh3_64_intdigest(w, seed)
         return np.fromiter(map(known.__getitem__, found), np.uint64, many)
 
 
