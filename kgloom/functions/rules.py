@@ -58,14 +58,13 @@ def shape(rule: Column) -> Column:
     h, b = head(rule), body(rule)
     constant = lambda c: ~c.rlike("^[A-Z]$")
     last = F.element_at(b, -1)
-    bound = F.when(constant(h["y"]), h["x"]).otherwise(h["y"])
-    free = F.when(last["x"] == bound, last["y"]).otherwise(last["x"])
+    fixed = constant(last["x"]) | constant(last["y"])
     return (
         F.when(b.isNull(), F.lit(None).cast("string"))
         .when((F.size(b) == 1) & (F.split(rule, " <= ")[1] == ""), "zero")
-        .when(h["x"] == h["y"], F.when(constant(free), "u_xxc").otherwise("u_xxd"))
+        .when(h["x"] == h["y"], F.when(fixed, "u_xxc").otherwise("u_xxd"))
         .when(~constant(h["x"]) & ~constant(h["y"]), "cyclic")
-        .when(constant(free), "u_c")
+        .when(fixed, "u_c")
         .otherwise("u_d")
     )
 

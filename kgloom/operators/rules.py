@@ -22,7 +22,7 @@ def from_lines(lines: DataFrame) -> DataFrame:
     fields = F.when(F.size(tabs) >= 4, tabs).otherwise(blanks)
     others = [c for c in lines.columns if c not in ("line", "value")]
     rows = lines.select(F.col("line").alias("rule_id"), fields.alias("f"), *others).filter(F.size("f") >= 4)
-    out = rows.select("rule_id", count_of(F.col("f")[0]).alias("num_preds"), count_of(F.col("f")[1]).alias("num_true"), F.col("f")[3].alias("rule"), *others)
+    out = rows.select("rule_id", count_of(F.get("f", F.lit(0))).alias("num_preds"), count_of(F.get("f", F.lit(1))).alias("num_true"), F.get("f", F.lit(3)).alias("rule"), *others)
     return out.select("rule_id", "num_preds", "num_true", confidence(F.col("num_preds"), F.col("num_true")).alias("conf"), "rule", head_relation(F.col("rule")).alias("head_rel"), *others)
 
 
