@@ -24,19 +24,21 @@ result; columns of the input other than these three are not read.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, saved
-from .words import LETTERS, Numbers, shuffled, words
+from .words import LETTERS, Numbers, Places, shuffled, words
 
 ROWS = 2
 CELLS_A_DOC = 64
 LEAST_CELLS, MAX_CELLS = 2**16, 2**28
 BUCKET = 2**16
-#: Positions, or occurrences of terms, that a task holds before it sends them on, and terms that it remembers beyond that.
+#: Occurrences of terms that a task holds before it sends them on, and terms that it remembers beyond that.
 FLUSH = 2_000_000
 FLUSH_TERMS = 600_000
 #: Odd multipliers of the rows' hash functions.
@@ -44,9 +46,9 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SCALE = 1_000_000_000
 
 
-def _cells(numbers: np.ndarray, language: int, bits: int) -> list[np.ndarray]:
+def _cells(numbers: np.ndarray, lang: str, bits: int) -> list[np.ndarray]:
     """The cell of each row for the numbers of terms of a language."""
-    h = shuffled(numbers + np.uint64(language))
+    h = shuffled(numbers + Numbers().of([lang.encode()]))
     return [(h * np.uint64(m)) >> np.uint64(64 - bits) for m in MULTIPLIERS[:ROWS]]
 
 
@@ -55,56 +57,98 @@ def _plain(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
 
 
+class Terms:
+    """What a task holds of one language: its terms in the order they were seen, and the terms of its latest documents."""
+
+    def __init__(self):
+        self.places, self.numbers = Places(), np.empty(0, np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.held, self.sizes, self.docs, self.groups = [], [], [], []
+
+    def put(self, text: str | None, group: int) -> int:
+        self.groups.append(group)
+        many = 0
+        for found in words(text, LETTERS):
+            self.held.append(self.places.of(found))
+            self.sizes.append(len(found))
+            self.docs.append(len(self.groups) - 1)
+            many += len(found)
+        return many
+
+    def once(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each document's group, each of its terms once, and how often it occurs; then they are forgotten."""
+        self.numbers = np.concatenate([self.numbers, Numbers().of(list(islice(self.places, len(self.numbers), None)))])
+        key = np.repeat(np.array(self.docs, np.int64), self.sizes) << 32 | np.concatenate([*self.held, np.empty(0, np.int64)])
+        key, n = np.unique(key, return_counts=True)
+        group = np.array(self.groups, np.int64)[key >> 32]
+        self.clear()
+        return group, key & 0xFFFFFFFF, n
+
+
+def gathered(batches):
+    """``language, terms, groups, group, place, n`` again and again: the terms of some documents, each once a document.
+
+    ``batches``: ``lang, source, text``; ``groups`` are the sources, ``group`` their numbers.  A text's words are held together.
+    """
+    known: dict[str, Terms] = {}
+    groups: dict[str, int] = {}
+    size = 0
+
+    def flush():
+        for lang, terms in known.items():
+            if terms.held:
+                yield lang, terms, list(groups), *terms.once()
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            size += known.setdefault(lang, Terms()).put(text.as_py(), groups.setdefault(source, len(groups)))
+            if size > FLUSH:
+                yield from flush()
+                size = 0
+                if sum(len(t.places) for t in known.values()) > FLUSH_TERMS:
+                    known, groups = {}, {}
+        release()
+    yield from flush()
+
+
 class Sketch:
     """The cells of a merged count-min sketch that have reached ``least`` documents, as bits."""
 
     def __init__(self, docs: DataFrame, least: int, cells: int):
         self.least, self.bits = least, cells.bit_length() - 1
-        self.language = Numbers(1)
         self.table = self._merged(docs)
 
     def _merged(self, docs: DataFrame) -> list[np.ndarray]:
-        least, bits, language = self.least, self.bits, Numbers(1)
-        number = Numbers()
+        least, bits = self.least, self.bits
         buckets = max(1, (1 << bits) // BUCKET)
+        fields = ("b", pa.int32()), ("at", pa.binary()), ("n", pa.binary())
 
         def touched(batches):
-            held, size = [[] for _ in range(ROWS)], 0
-
-            def flush():
-                for row, cells in enumerate(held):
-                    at, n = np.unique(np.concatenate(cells), return_counts=True)
-                    cut = np.flatnonzero(np.diff(at // BUCKET)) + 1
-                    for p, c in zip(np.split(at, cut), np.split(n, cut), strict=True):
-                        yield row * buckets + int(p[0]) // BUCKET, (p % BUCKET).astype("<u2").tobytes(), np.minimum(c, least).astype("<u4").tobytes()
-
-            for batch in batches:
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    seen = set()
-                    for found in words(text.as_py(), LETTERS):
-                        seen.update(found)
-                    if seen:
-                        for row, cells in enumerate(_cells(number(list(seen), len(seen)), int(language([lang.encode()], 1)[0]), bits)):
-                            held[row].append(cells.astype(np.int64))
-                        size += len(seen)
-                if size > FLUSH:
-                    yield from _batches(flush(), ("b", pa.int32()), ("at", pa.binary()), ("n", pa.binary()))
-                    held, size = [[] for _ in range(ROWS)], 0
-                    release()
-            if size:
-                yield from _batches(flush(), ("b", pa.int32()), ("at", pa.binary()), ("n", pa.binary()))
+            for lang, terms, _, _, place, _ in gathered(batches):
+                df = np.bincount(place, minlength=len(terms.places))
+                some = np.flatnonzero(df)
+                rows = []
+                for row, cells in enumerate(_cells(terms.numbers[some], lang, bits)):
+                    order = np.argsort(cells)
+                    cells, n = cells[order].astype(np.int64), df[some][order]
+                    first = np.flatnonzero(np.diff(cells, prepend=-1))
+                    cells, n = cells[first], np.add.reduceat(n, first)
+                    cut = np.flatnonzero(np.diff(cells // BUCKET)) + 1
+                    rows += [(row * buckets + int(p[0]) // BUCKET, (p % BUCKET).astype("<u2").tobytes(), np.minimum(c, least).astype("<u4").tobytes()) for p, c in zip(np.split(cells, cut), np.split(n, cut), strict=True)]
+                yield from _batches(rows, *fields)
 
         def merge(batches):
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 for b, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     sums.setdefault(b, np.zeros(BUCKET, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
-            full = ((b, np.packbits(n >= least, bitorder="little").tobytes(), b"") for b, n in sums.items())
-            yield from _batches(full, ("b", pa.int32()), ("at", pa.binary()), ("n", pa.binary()))
+            yield from _batches(((b, np.packbits(n >= least, bitorder="little").tobytes(), b"") for b, n in sums.items()), *fields)
 
         schema = "b int, at binary, n binary"
         tasks = max(1, min(ROWS * buckets, ROWS * buckets // 64 + 8))
-        merged = docs.select("lang", "text").mapInArrow(touched, schema).repartition(tasks, "b").mapInArrow(merge, schema)
+        merged = docs.mapInArrow(touched, schema).repartition(tasks, "b").mapInArrow(merge, schema)
         table = [np.zeros(buckets * BUCKET // 8, np.uint8) for _ in range(ROWS)]
         for b, at, _ in merged.toLocalIterator() if ROWS * buckets > 1024 else merged.collect():  # ROWS * MAX_CELLS bits at most
             table[b // buckets][b % buckets * BUCKET // 8 :][: len(at)] = np.frombuffer(at, np.uint8)
@@ -113,7 +157,7 @@ class Sketch:
     def possible(self, numbers: np.ndarray, lang: str) -> np.ndarray:
         """Whether terms of a language may be in enough documents."""
         out = np.ones(len(numbers), bool)
-        for table, cell in zip(self.table, _cells(numbers, int(self.language([lang.encode()], 1)[0]), self.bits), strict=True):
+        for table, cell in zip(self.table, _cells(numbers, lang, self.bits), strict=True):
             cell = cell.astype(np.int64)
             out &= (table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
         return out
@@ -139,46 +183,18 @@ def counted(docs: DataFrame, sketch: Sketch) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # ROWS * MAX_CELLS bits at most
 
     def run(batches):
-        sketch, number = shared.value, Numbers()
-        codes: dict[str, dict[bytes, int]] = {}  # of a language's terms; -1 if the sketch drops it
-        terms: list[bytes] = []
-        groups: dict[tuple[str, str], int] = {}
-        group_of, held, of, size = [], [], [], 0
-
-        def flush():
-            code, doc = np.concatenate(held), np.repeat(np.array(of), [len(x) for x in held])
-            key, n = np.unique(doc << 32 | code, return_counts=True)  # once a document
-            key = np.array(group_of)[key >> 32] << 32 | key & 0xFFFFFFFF
-            order = np.argsort(key, kind="stable")
+        sketch = shared.value
+        for lang, terms, groups, group, place, n in gathered(batches):
+            kept = sketch.possible(terms.numbers, lang)[place]
+            key, n = group[kept] << 32 | place[kept], n[kept]
+            order = np.argsort(key)
             key, n = key[order], n[order]
             at = np.flatnonzero(np.diff(key, prepend=-1))
-            n, df, key = np.add.reduceat(n, at), np.diff([*at, len(key)]), key[at]
-            names, words_ = list(zip(*groups, strict=True)), pa.array(terms, pa.binary()).cast(pa.string())
-            group = pa.array(key >> 32)
-            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.string()).take(group) for x in names], words_.take(pa.array(key & 0xFFFFFFFF)), pa.array(n), pa.array(df)], ["lang", "source", "term", "n", "df"])
-
-        for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                group_of.append(groups.setdefault((lang, source), len(groups)))
-                known = codes.setdefault(lang, {})
-                for found in words(text.as_py(), LETTERS):
-                    if new := list(set(found).difference(known)):
-                        for w, passed in zip(new, sketch.possible(number(new, len(new)), lang).tolist(), strict=True):
-                            known[w] = len(terms) if passed else -1
-                            if passed:
-                                terms.append(w)
-                    code = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-                    held.append(code[code >= 0])
-                    of.append(len(group_of) - 1)
-                    size += len(held[-1])
-                if size > FLUSH:
-                    yield flush()
-                    group_of, held, of, size = [], [], [], 0
-                    if sum(map(len, codes.values())) > FLUSH_TERMS:
-                        codes, terms, groups = {}, [], {}
-                    release()
-        if size:
-            yield flush()
+            n, df, key = np.add.reduceat(n, at) if len(at) else n, np.diff([*at, len(key)]), key[at]
+            some, place = np.unique(key & 0xFFFFFFFF, return_inverse=True)
+            names = list(terms.places)
+            term = pa.array([names[x] for x in some.tolist()], pa.binary()).cast(pa.string()).take(pa.array(place))
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(key)), pa.array(groups, pa.string()).take(pa.array(key >> 32)), term, pa.array(n), pa.array(df)], ["lang", "source", "term", "n", "df"])
 
     sums = docs.mapInArrow(run, "lang string, source string, term string, n long, df long")
     return sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))

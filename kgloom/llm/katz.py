@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,8 +100,7 @@ class Head:
         self.whole = tokens if left > 0 else tokens + 1
         self.unknown = (left if left > 0 else 1.0) / self.whole
         self.pair_d = self.d
-        number = Numbers()
-        self.end, self.begin, self.alone = self.ids(number([END, BEGIN, ALONE], 3))
+        self.end, self.begin, self.alone = self.ids(Numbers().of([END, BEGIN, ALONE]))
         self.ends = ends
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -138,16 +138,12 @@ class Ids(Numbers):
 
     def __init__(self, head: Head):
         super().__init__()
-        self.head = head
+        self.rank = dict(zip(head.hashes.tolist(), head.rank.tolist(), strict=True))
 
-    def __call__(self, found: list[bytes], many: int) -> np.ndarray:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        known = self.known
-        if new := list(set(found).difference(known)):
-            fresh = Numbers()
-            known.update(zip(new, self.head.ids(fresh(new, len(new))).tolist(), strict=True))
-        return np.fromiter(map(known.__getitem__, found), np.uint64, many)
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        self[word] = number = self.rank.get(h, h | 1 << 63)
+        return number
 
 
 @dataclass
@@ -200,7 +196,7 @@ def _runs(u: np.ndarray) -> np.ndarray:
 def _blocks(batches, number):
     """Texts of batches ``row, k, t`` as blocks: rows, keys, tokens of each, their numbers and what stands before each."""
     rows, keys, sizes, ids, before, held = [], [], [], [], [], 0
-    end, begin = number([END], 1), number([BEGIN], 1)
+    end, begin = number.of([END]), number.of([BEGIN])
 
     def put(x, last, row, key):
         if rows and rows[-1] == row:
@@ -221,7 +217,7 @@ def _blocks(batches, number):
                     yield rows, keys, sizes, np.concatenate(ids), np.concatenate(before)
                     rows, keys, sizes, ids, before, held = [], [], [], [], [], 0
                 if found:
-                    x = number(found, len(found))
+                    x = number.of(found)
                     held += put(x, last, row, key)
                     last = x[-1:]
             held += put(end, last, row, key)
@@ -242,7 +238,7 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
 
         def flush():
             found = list(count)
-            return pa.RecordBatch.from_arrays([pa.array(number(found, len(found)).view(np.int64)), pa.array(list(count.values()), pa.int64())], ["w", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(number.of(found).view(np.int64)), pa.array(list(count.values()), pa.int64())], ["w", "n"])
 
         for batch in batches:
             ends += batch.num_rows
@@ -252,7 +248,7 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
                     if len(count) > FLUSH_WORDS:
                         yield flush()
                         count.clear()
-                        number.known.clear()
+                        number.clear()
             release()
         count[END] = ends
         yield flush()
@@ -265,7 +261,7 @@ def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS, par
     spark = docs.sparkSession
     alone = saved(_word_counts(docs, text), "words")
     counted = alone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("v"), *[F.count(F.when(F.col("n") == r, 1)).alias(f"n{r}") for r in range(1, K + 2)]).first()
-    ends = alone.filter(F.col("w") == int(Numbers()([END], 1).view(np.int64)[0])).agg(F.max("n")).first()[0] or 0
+    ends = alone.filter(F.col("w") == int(Numbers().of([END]).view(np.int64)[0])).agg(F.max("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counted.tokens // part))
     # the most frequent words: as many whole classes of counts as fit
     size = F.floor(F.log2("n") * 16)

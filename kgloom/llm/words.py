@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -36,20 +36,28 @@ def words(text: str | None, table: bytes, piece: int = PIECE) -> Iterator[list[b
         at = end
 
 
-class Numbers:
+class Numbers(dict):
     """64-bit numbers of words, remembered for the next batch."""
 
-    def __init__(self, seed: int = 0):
-        self.seed, self.known = seed, {}
-
-    def __call__(self, found: Iterable[bytes], many: int) -> np.ndarray:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, seed = self.known, self.seed
-        found = found if isinstance(found, list) else list(found)
-        for w in set(found).difference(known):  # a dict, so each word is looked up
-            known[w] = xxhash.xxh3_64_intdigest(w, seed)
-        return np.fromiter(map(known.__getitem__, found), np.uint64, many)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = xxhash.xxh3_64_intdigest(word)
+        return number
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
+class Places(dict):
+    """Words by the order in which they were first seen, from 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
 
 def shuffled(numbers: np.ndarray) -> np.ndarray:
