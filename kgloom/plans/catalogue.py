@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as rule
 from ..functions import scores
-from ..operators import apply, compare, fit, graph, rules, samples, score
+from ..operators import answers, apply, compare, fit, graph, rules, samples, score
 from ..sources import formats
 from ..store import saved, tables_dir
 
@@ -299,8 +299,8 @@ def rule_mine_uc(spark, d):
 @query(f", {_SPLIT} select 1 as rule_id, num_preds, num_true from cyc")
 def rule_support_counts(spark, d):
     train, contains, supplied = _parts(spark, d)
-    f = contains.join(supplied, "v").select(F.lit(1).alias("rule_id"), F.lit("shipped_by").alias("p"), F.col("q").alias("x"), F.col("a").alias("y")).distinct()
-    return apply.support(f, train.select(F.lit("shipped_by").alias("p"), F.col("q").alias("s"), F.col("a").alias("o")))
+    path = answers.along(contains, answers.sets(supplied, "v", "a"), "q", "v")
+    return answers.support(path, answers.sets(train, "q", "a")).select(F.lit(1).alias("rule_id"), "num_preds", "num_true")
 
 
 _SLICE = f"""{_SPLIT},
@@ -316,17 +316,20 @@ _SLICE = f"""{_SPLIT},
 @query(f", {_SLICE} select count(*) as golds, round(sum(1 / rank) / count(*), 9) as mrr, round(count(case when rank = 1 then 1 end) / count(*), 9) as h1, round(count(case when rank <= 10 then 1 end) / count(*), 9) as h10 from rr")
 def shipped_by_completion(spark, d):
     """Mined constant rules and one cyclic rule, applied to the held-out orders, scored by noisy-or and ranked."""
-    train, contains, supplied = _parts(spark, d)
-    gold = saved(golds(spark, d), "golds")
-    known = shipped(spark, d).filter("part > 0").select("q", F.col("a").alias("a"))
-    contains, supplied = saved(contains, "contains"), saved(supplied, "supplied")
-    pairs = saved(contains.join(supplied, "v").select("q", "a").distinct(), "reached")
-    counts = pairs.join(train.withColumn("hit", F.lit(1)), ["q", "a"], "left").agg(rule.confidence(F.count("*"), F.count("hit")).alias("conf"))
+    every = saved(shipped(spark, d), "shipped")
+    train, gold = every.filter("part > 1").select("q", "a"), every.filter("part = 0").select("q", F.col("a").alias("gold"))
+    known = every.filter("part > 0").select("q", "a")
+    _, contains, supplied = _parts(spark, d)
+    contains = saved(contains, "contains")
+    path = answers.along(contains, answers.sets(supplied, "v", "a"), "q", "v")
+    path = answers.Answers(saved(path.light, "reached"), saved(path.heavy, "hubs"))
+    counts = answers.support(path, answers.sets(train, "q", "a")).select(rule.confidence(F.col("num_preds"), F.col("num_true")).alias("conf"))
     asked = gold.select("q").distinct()
     by_constant = contains.join(asked, "q", "left_semi").join(mined(train, contains), "v").select("q", F.col("a").alias("cand"), "conf")
-    by_path = pairs.join(asked, "q", "left_semi").select("q", F.col("a").alias("cand")).crossJoin(F.broadcast(counts))  # counts is one row
+    of_asked = answers.Answers(*(x.join(asked.withColumnRenamed("q", "node"), "node", "left_semi") for x in (path.light, path.heavy)))
+    by_path = answers.pairs(of_asked).select(F.col("node").alias("q"), F.col("answer").alias("cand")).crossJoin(F.broadcast(counts))  # counts is one row
     f = apply.unknown_only(by_constant.unionByName(by_path), known, ["q"])
-    scored = f.groupBy("q", "cand").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
+    scored = saved(f.groupBy("q", "cand").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score")), "scored")
     entities = graph.read(spark, d, "supplier").count()
     ranked = score.ranks(scored, gold, entities, ["q"])
     return score.metrics(ranked, []).select(F.col("n").alias("golds"), *[F.round(c, 9).alias(c) for c in ("mrr", "h1", "h10")])
