@@ -302,35 +302,68 @@ def comparison_report(spark, d):
 # Fits
 
 
-def _steps_sql(steps: int, linear: bool) -> str:
-    """Adam's first steps over all samples: ``rule_id, trained`` after each, from the definition."""
+def _steps_sql(steps: int, linear: bool, batches: bool = False, bias: str = "0.0") -> str:
+    """Adam's first steps from the definition: ``rule_id, trained`` after them; over all samples, or each over a batch of their order."""
+    batch = lambda k: f"where batch = {k - 1}" if batches else ""
     z0 = "sum(x * x) + any_value(b)" if linear else "sum(x * x) + any_value(b) * any_value(b)"
     pred = "1 / (1 + exp(-z))" if linear else "1 - exp(-z)"
     dz = "neg * pred - 5 * pos * (1 - pred)" if linear else "neg - 5 * pos * (1 - pred) / pred"
     start = "sqrt(conf)" if linear else "sqrt(-ln(1 - conf))"
     db = "sum(dz)" if linear else "2 * any_value(b) * sum(dz)"
     out = f""", sm as (select a.q, a.cand, case when s.part > 1 then 1 else 0 end as gold, f.rule_id from applied a join fired f on f.q = a.q and f.cand = a.cand join shipped s on s.q = a.q and s.a = a.cand where a.q in (select q from shipped where part > 1)),
- ex as (select rule_id, q, cand, gold as pos, 1 - gold as neg from sm), tot as (select count(distinct (q, cand)) as t from ex),
- x0 as (select distinct rule_id, {start} as x, 0.0::double as m, 0.0::double as v, 0.0::double as b, 0.0::double as bm, 0.0::double as bv from fired)"""
+ na as (select q, cand, (row_number() over (order by q, cand) - 1) // ((count(*) over () + {steps - 1}) // {steps}) as batch from (select distinct q, cand from sm)),
+ ex as (select rule_id, q, cand, gold as pos, 1 - gold as neg, batch from sm join na using (q, cand)),
+ x0 as (select distinct rule_id, {start} as x, 0.0::double as m, 0.0::double as v, ({bias})::double as b, 0.0::double as bm, 0.0::double as bv from fired)"""
     for k in range(1, steps + 1):
         out += f""",
- z{k} as (select q, cand, any_value(pos) as pos, any_value(neg) as neg, any_value(b) as b, {z0} as z from ex join x{k - 1} using (rule_id) group by q, cand),
+ z{k} as (select q, cand, any_value(pos) as pos, any_value(neg) as neg, any_value(b) as b, {z0} as z from ex join x{k - 1} using (rule_id) {batch(k)} group by q, cand), tot{k} as (select count(*) as t from z{k}),
  p{k} as (select *, {pred} as pred from z{k}), d{k} as (select *, {dz} as dz from p{k}),
- gb{k} as (select {db} / (select t from tot) as gb from d{k}),
+ gb{k} as (select {db} / (select t from tot{k}) as gb from d{k}),
  gr{k} as (select rule_id, sum(dz) as s from ex join d{k} using (q, cand) group by rule_id),
- y{k} as (select r.rule_id, x, b, 0.9 * m + 0.1 * g as m, 0.999 * v + 0.001 * g * g as v, 0.9 * bm + 0.1 * gb as bm, 0.999 * bv + 0.001 * gb * gb as bv from (select x{k - 1}.*, 2 * x * coalesce(s, 0) / (select t from tot) as g from x{k - 1} left join gr{k} using (rule_id)) r, gb{k}),
+ y{k} as (select r.rule_id, x, b, 0.9 * m + 0.1 * g as m, 0.999 * v + 0.001 * g * g as v, 0.9 * bm + 0.1 * gb as bm, 0.999 * bv + 0.001 * gb * gb as bv from (select x{k - 1}.*, 2 * x * coalesce(s, 0) / (select t from tot{k}) as g from x{k - 1} left join gr{k} using (rule_id)) r, gb{k}),
  x{k} as (select rule_id, x - 0.01 * (m / (1 - pow(0.9, {k}))) / (sqrt(v / (1 - pow(0.999, {k}))) + 1e-8) as x, m, v, b - 0.01 * (bm / (1 - pow(0.9, {k}))) / (sqrt(bv / (1 - pow(0.999, {k}))) + 1e-8) as b, bm, bv from y{k})"""
     return out + f" select rule_id::bigint as rule_id, round(x * x, 6) as trained from x{steps}"
 
 
 @query(_steps_sql(3, True))
 def fit_linear_three_steps(spark, d):
-    return fit.fit(_train(spark, d), _rule_table(spark, d), "linear", epochs=3, rates=(0.01,)).select("rule_id", F.round("trained", 6).alias("trained"))
+    return fit.fit(_train(spark, d), _rule_table(spark, d), "linear", epochs=3, rates=(0.01,)).select(long("rule_id"), F.round("trained", 6).alias("trained"))
 
 
 @query(_steps_sql(3, False))
 def fit_surprisal_three_steps(spark, d):
-    return fit.fit(_train(spark, d), _rule_table(spark, d), "surprisal", epochs=3, rates=(0.01,)).select("rule_id", F.round("trained", 6).alias("trained"))
+    return fit.fit(_train(spark, d), _rule_table(spark, d), "surprisal", epochs=3, rates=(0.01,)).select(long("rule_id"), F.round("trained", 6).alias("trained"))
+
+
+#: What a bias drawn by the seed 0 begins with: the same digits of the same digest.
+_DRAWN = "(2 * (('0x' || substr(sha256('0:shipped_by'), 1, 8))::bigint / 4294967296.0) - 1) / sqrt((select count(distinct rule_id) from fired))"
+
+
+def _batched(spark, d):
+    """The training samples in order, and a third of their number."""
+    rows = _train(spark, d).withColumn("ord", F.col("q") * 10_000_000 + F.col("cand"))
+    return rows, -(-rows.count() // 3)
+
+
+@query(_steps_sql(3, True, True, _DRAWN))
+def fit_linear_three_batches(spark, d):
+    """An epoch of three mini-batches in the order of the samples, from a bias drawn by a seed."""
+    rows, batch = _batched(spark, d)
+    return fit.fit(rows, _rule_table(spark, d), "linear", epochs=1, rates=(0.01,), bias=None, batch=batch).select(long("rule_id"), F.round("trained", 6).alias("trained"))
+
+
+@query(_steps_sql(3, False, True))
+def fit_surprisal_three_batches(spark, d):
+    """The same with the relation kept as a distributed table, a job a batch."""
+    rows, batch = _batched(spark, d)
+    return fit.fit(rows, _rule_table(spark, d), "surprisal", epochs=1, rates=(0.01,), batch=batch, whole_values=0).select(long("rule_id"), F.round("trained", 6).alias("trained"))
+
+
+@query()
+def fit_grid(spark, d):
+    """Forty settings of the linear model fitted in one scan of the samples."""
+    options = {"positive_weight": [5.0, 15.0, 30.0, 100.0, 400.0], "rates": [(0.001,), (0.01,)], "epochs": [10, 20], "constrained": [True, False]}
+    return fit.tuned(_train(spark, d), _rule_table(spark, d), options)
 
 
 @query()

@@ -99,6 +99,72 @@ def test_fit_options(spark, data):
             formats.schedule(bad, int)
 
 
+def rows_of(fitted):
+    close = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    return close(fitted.rules), close(fitted.pairs.select("p", "a", "b", "original", "trained")), close(fitted.relations)
+
+
+@pytest.mark.parametrize("options", [{}, {"batch": 2}, {"batch": 2, "reduction": "class_mean", "bias": None, "constrained": False}])
+@pytest.mark.parametrize("model", ["linear", "surprisal"])
+def test_distributed_fit_equals_whole_fit(spark, data, model, options):
+    samples = data[0].withColumn("ord", F.monotonically_increasing_id())
+    pairs = spark.createDataFrame([("r", 1, 2, 0.3)], "p string, a int, b int, lift double")
+    one, two = (rows_of(fit.train(samples, data[1], model, pairs, epochs=3, rates=(0.05, 0.01), whole_values=n, **options)) for n in (10**6, 0))
+    assert one == two
+
+
+def test_batches_take_a_step_each(spark):
+    """Two batches of one relation, by hand."""
+    rows = [("r", 2, [1], 0), ("r", 0, [1], 1), ("r", 1, [2], 1), ("r", 3, [1, 2], 0)]
+    rules_ = [("r", 1, 0.25), ("r", 2, 0.36)]
+    got = fit.train(spark.createDataFrame(rows, "p string, ord long, rule_ids array<int>, gold int"), spark.createDataFrame(rules_, "p string, rule_id int, conf double"), epochs=1, rates=(0.1,), batch=2)
+    x, m, v = np.array([0.5, 0.6, 0.0]), np.zeros(3), np.zeros(3)
+    for step, batch in enumerate(([([0], 1), ([1], 1)], [([0], 0), ([0, 1], 0)]), 1):
+        g = np.zeros(3)
+        for held, gold in batch:
+            pred = 1 / (1 + np.exp(-(sum(x[h] ** 2 for h in held) + x[2])))
+            dz = (pred if not gold else -5 * (1 - pred)) / 2
+            for h in held:
+                g[h] += dz * 2 * x[h]
+            g[2] += dz
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x = x - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    assert [r.trained for r in got.rules.orderBy("rule_id").collect()] == pytest.approx((x[:2] ** 2).tolist())
+    assert got.relations.first().bias == pytest.approx(x[2])
+
+
+@pytest.mark.parametrize("whole_values", [10**6, 0])
+def test_grid_equals_single_fits_in_one_scan(spark, data, whole_values):
+    options = {"positive_weight": [5.0, 30.0], "constrained": [True, False], "epochs": [2, 4]}
+    got = fit.tuned(*data, options, whole_values=whole_values, rates=(0.05,))
+    assert got.select("run").distinct().count() == 8
+    found = {(json.dumps(o, sort_keys=True), r.p): r for o in fit.grid(options) for r in fit.train(*data, rates=(0.05,), **o).relations.collect()}
+    for r in got.collect():
+        one = found[r.options, r.p]
+        assert (r.bias, r.first_loss, r.last_loss) == pytest.approx((one.bias, one.first_loss, one.last_loss)) and (r.epochs, r.status) == (one.epochs, one.status)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for n, grid in enumerate(({"positive_weight": [5.0]}, options | {"epochs": [4]})):
+        spark.sparkContext.setJobGroup(f"grid{n}", "")
+        fit.tuned(*data, grid, whole_values=whole_values, rates=(0.05,), **({"epochs": 4} if n == 0 else {})).collect()
+        jobs.append(len(tracker.getJobIdsForGroup(f"grid{n}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
+
+
+def test_fit_keeps_types(spark):
+    samples = spark.createDataFrame([(3, [10**12, 2], 1), (3, [2], 0)], "p int, rule_ids array<long>, gold int")
+    rules_ = spark.createDataFrame([(3, 10**12, 0.4), (3, 2, 0.2)], "p int, rule_id long, conf double")
+    for whole in (10**6, 0):
+        got = fit.train(samples, rules_, epochs=2, rates=(0.01,), whole_values=whole)
+        assert dict(got.rules.dtypes)["p"] == dict(got.relations.dtypes)["p"] == "int" and dict(got.rules.dtypes)["rule_id"] == "bigint"
+        assert sorted((r.p, r.rule_id) for r in got.rules.collect()) == [(3, 2), (3, 10**12)]
+
+
+def test_seeded_bias_lies_within_its_bound():
+    drawn = [fit.Setting(bias=None, seed=s).first_bias("r", 16) for s in range(200)]
+    assert max(drawn) <= 0.25 and min(drawn) >= -0.25 and len(set(drawn)) > 190 and abs(np.mean(drawn)) < 0.05
+
+
 def plain_mapping(index, lines):
     """An entry after the other takes its full signature, its text, its position or the first free line."""
     out, used = {}, set()
