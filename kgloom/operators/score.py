@@ -69,22 +69,26 @@ def ranks(scored: DataFrame, golds: DataFrame, entities: int, keys: list[str], f
     ``cand`` that count with score 0.  With C the candidates of a positive score
     that are neither gold nor filtered: a gold of score s > 0 has rank #(C > s) +
     (#(C = s) + 2) / 2, any other |C| + (entities - |C| + 1) / 2.  A key without
-    candidates has a null rank.  Competitors are counted by score level and summed up
-    once from the best level down; a gold joins its own level only.
+    candidates has a null rank.  Each candidate is marked once as gold or filtered, counted by
+    score level, and the levels are summed up from the best one down.
     """
-    scored = scored.select(*keys, "cand", F.round("score", DIGITS).alias("score"))
-    others = scored.filter("score > 0").join(golds.select(*keys, F.col("gold").alias("cand")), [*keys, "cand"], "left_anti")
+    mark = lambda df, cand, name: df.select(*keys, F.col(cand).alias("cand"), F.lit(True).alias(name)).distinct()
+    rows = scored.select(*keys, "cand", F.round("score", DIGITS).alias("s")).join(mark(golds, "gold", "_gold"), [*keys, "cand"], "left")
+    counts = (F.col("s") > 0) & F.col("_gold").isNull()
     if filtered is not None:
-        others = others.join(filtered.select(*keys, "cand"), [*keys, "cand"], "left_anti")
-    own = golds.join(scored.select(*keys, F.col("cand").alias("gold"), F.col("score").alias("s")), [*keys, "gold"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    # each score level of a key with its competitors; the golds' own levels and, at -1, every key with candidates, stand among them without any
-    level = lambda df, score, n: df.select(*keys, score.alias("score"), F.lit(n).alias("n"), F.lit(n != 0).alias("has"))
-    points = level(others, F.col("score"), 1).unionByName(level(own, F.col("s"), 0)).unionByName(scored.select(*keys, F.lit(-1.0).alias("score"), F.lit(0).alias("n"), F.lit(True).alias("has")))
-    points = points.groupBy(*keys, "score").agg(F.sum("n").alias("same"), F.max("has").alias("has"))
+        rows = rows.join(mark(filtered, "cand", "_filtered"), [*keys, "cand"], "left")
+        counts = counts & F.col("_filtered").isNull()
+    levels = rows.groupBy(*keys, "s").agg(F.count(F.when(counts, 1)).alias("same"))
     of_key = Window.partitionBy(*keys)
-    points = points.select(*keys, F.col("score").alias("s"), "same", F.coalesce(F.sum("same").over(of_key.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("more"), F.sum("same").over(of_key).alias("n_cands"), F.max("has").over(of_key).alias("has_key"))
+    levels = levels.select(*keys, "s", "same", F.coalesce(F.sum("same").over(of_key.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("more"), F.sum("same").over(of_key).alias("_all"), F.row_number().over(of_key.orderBy(F.desc("s"))).alias("_n"))
+    # a gold's own level, if it is a candidate, else a level -1 that each key's first one brings along for the number of candidates
+    level = lambda s, same, more: F.struct(s.alias("s"), same.alias("same"), more.alias("more"))
+    one, nil = level(F.col("s"), F.col("same"), F.col("more")), level(F.lit(-1.0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    levels = levels.select(*keys, F.col("_all").alias("n_cands"), F.explode(F.when(F.col("_n") == 1, F.array(one, nil)).otherwise(F.array(one))).alias("_l")).select(*keys, "n_cands", "_l.*")
+    own = golds.join(rows.filter("_gold and s > 0").select(*keys, F.col("cand").alias("gold"), "s"), [*keys, "gold"], "left").withColumn("s", F.coalesce("s", F.lit(-1.0)))
+    own = own.join(levels, [*keys, "s"], "left")
     rank = F.when(F.col("s") > 0, F.col("more") + (F.col("same") + 2) / 2).otherwise(F.col("n_cands") + (F.lit(entities) - F.col("n_cands") + 1) / 2)
-    return own.join(points, [*keys, "s"]).select(*keys, "gold", "n_cands", F.when(F.col("has_key"), rank).alias("rank"))
+    return own.select(*keys, "gold", F.coalesce("n_cands", F.lit(0)).alias("n_cands"), rank.alias("rank"))
 
 
 def metrics(ranked: DataFrame, by: list[str]) -> DataFrame:

@@ -81,7 +81,7 @@ def _known(triples):
  select direction, p, q, cand, pos, round(l[1], 9) as best, array_to_string(ids[1:5], ',') as ids from rk where pos <= 10""")
 def rule_apply_file(spark, d):
     """A rule file of all shapes, read, filtered and applied to every query of five relations, in both directions; the first ten candidates with five rules."""
-    triples = graph.project(spark, d)
+    triples = graph.projected(spark, d)
     loaded = rules.from_lines(rule_file(spark, d))
     found = ruleset.apply_rules(loaded, triples, _asked(triples), _known(triples), topk=10, top_rules=5, shapes=SHAPES, least_support=5, longest=3)
     return found.select("direction", "p", "q", "cand", long("pos"), F.round(F.col("confs")[0], 9).alias("best"), joined("rule_ids").alias("ids"))
@@ -90,7 +90,7 @@ def rule_apply_file(spark, d):
 @query(f", {_RULES} select direction, p, rule_id, count(*) as n, count(distinct q) as queries from fk group by all")
 def rule_apply_file_counts(spark, d):
     """How often each rule of the file fires in each direction, known answers and all."""
-    triples = graph.project(spark, d)
+    triples = graph.projected(spark, d)
     loaded = rules.from_lines(rule_file(spark, d)).filter("num_true >= 5")
     return ruleset.fired(loaded, triples, _asked(triples)).groupBy("direction", "p", "rule_id").agg(F.count("*").alias("n"), F.count_distinct("q").alias("queries"))
 
@@ -99,6 +99,6 @@ def rule_apply_file_counts(spark, d):
  union select t.s, t.p, t.o, rule_id from t join r on r.p = t.p and fam = 8 and t.o = 'r:' || cast(k1 as varchar)""")
 def explain_targets(spark, d):
     """The rules of the file that predict each triple of five relations."""
-    triples = graph.project(spark, d)
+    triples = graph.projected(spark, d)
     loaded = rules.from_lines(rule_file(spark, d)).filter("num_true >= 5")
     return explain.explained(loaded, triples, triples.filter(F.col("p").isin(*_TARGETS)))
