@@ -130,7 +130,7 @@ class Sketch:
                 df = np.bincount(place, minlength=len(terms.places))
                 some = np.flatnonzero(df)
                 rows = []
-                for row, cells in enumerate(_cells(terms.numbers[some], lang, bits)):
+                for row, cells in enumerate(_cells(terms.numbers[some], lang, bits) if len(some) else []):
                     order = np.argsort(cells)
                     cells, n = cells[order].astype(np.int64), df[some][order]
                     first = np.flatnonzero(np.diff(cells, prepend=-1))

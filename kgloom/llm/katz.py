@@ -193,7 +193,7 @@ def _runs(u: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.empty(0, int)
 
 
-def _blocks(batches, number):
+def _blocks(batches, number, block: int):
     """Texts of batches ``row, k, t`` as blocks: rows, keys, tokens of each, their numbers and what stands before each."""
     rows, keys, sizes, ids, before, held = [], [], [], [], [], 0
     end, begin = number.of([END]), number.of([BEGIN])
@@ -213,7 +213,7 @@ def _blocks(batches, number):
         for row, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             last, found = begin, []
             for found in words(text.as_py(), BLANKS):
-                if held + len(found) > BLOCK and held:
+                if held + len(found) > block and held:
                     yield rows, keys, sizes, np.concatenate(ids), np.concatenate(before)
                     rows, keys, sizes, ids, before, held = [], [], [], [], [], 0
                 if found:
@@ -221,7 +221,7 @@ def _blocks(batches, number):
                     held += put(x, last, row, key)
                     last = x[-1:]
             held += put(end, last, row, key)
-            if held > BLOCK:
+            if held > block:
                 yield rows, keys, sizes, np.concatenate(ids), np.concatenate(before)
                 rows, keys, sizes, ids, before, held = [], [], [], [], [], 0
                 release()
@@ -256,7 +256,7 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS, part: int = PART) -> Model:
+def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS, part: int = PART, block: int = BLOCK) -> Model:
     """A model of all texts."""
     spark = docs.sparkSession
     alone = saved(_word_counts(docs, text), "words")
@@ -278,7 +278,7 @@ def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS, par
     def count(batches):
         head = shared.value
         number = Ids(head)
-        for _, _, _, ids, before in _blocks(batches, number):
+        for _, _, _, ids, before in _blocks(batches, number, block):
             b = Block(head, ids, before)
             n = np.concatenate([b.times, np.bincount(b.token, minlength=b.codes)[b.alone]])
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*[(p, GRAMS, 0, pack_sorted(u), pack(w), pack(n[x])) for p, x, u, w in b.by_part], strict=True), _KINDS, strict=True)], _NAMES)
@@ -413,7 +413,7 @@ def _answer(group):
     return pa.table([pa.array([r[x] for r in out], kind) for x, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()))], names=["block", "counts", "wholes", "alphas", "part"])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` of every row; scores are log10 probabilities."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.head)
@@ -422,7 +422,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def tokenise(batches):
         head = shared.value
         number = Ids(head)
-        for rows, keys, sizes, ids, before in _blocks(batches, number):
+        for rows, keys, sizes, ids, before in _blocks(batches, number, block):
             # one row a block; tokens beyond the head as places in a list
             rare = np.unique(np.concatenate([ids[ids >= RARE], before[:1]]))
             code = ids.copy()
@@ -449,9 +449,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     both = asked.unionByName(model.grams).unionByName(_dealt(model.contexts, model.head))
     answers = both.groupBy("part").applyInArrow(_answer, "block long, counts binary, wholes binary, alphas binary, part int")
 
-    def judge(block, found):
+    def judge(one, found):
         head = shared.value
-        row = block.to_pylist()[0]
+        row = one.to_pylist()[0]
         ids, before = _restored(head, row)
         b = Block(head, ids, before, places=True)
         replies = {r["part"]: r for r in found.to_pylist()}
