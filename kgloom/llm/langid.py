@@ -10,8 +10,9 @@ An n-gram is ``N`` (4 at most) bytes of UTF-8 after lower-casing A-Z and turning
 punctuation and white space of ASCII to blanks.  A language contains it if at
 least ``MIN_RATE`` of its sampled documents have it, and at least ``SHARE`` of
 the rate in the language that has it most.  The sample is about
-``SAMPLE_DOCS`` labelled documents a language, chosen by a hash of the key, so
-the model's size does not grow with the corpus.
+``SAMPLE_DOCS`` labelled texts a language, chosen by a hash of the text, so
+the model's size does not grow with the corpus, keys have no part in it, and copies
+of a text count once in a language.
 
 Defined results: null text and texts without a letter are ``und`` with score 0;
 texts with letters but no known n-gram, and ties, go to the language with the
@@ -119,16 +120,17 @@ class Model:
         return np.clip((raw - self.false) / (1 - np.minimum(self.false, 0.99)), 0, 1)
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from the rows whose ``lang`` and ``text`` are not null."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = sorted(((r.l, r.n) for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()), key=lambda x: (-x[1], x[0]))
     if not counts:
         return Model([], [])
     languages = [x for x, _ in counts]
-    bound = F.create_map(*[F.lit(v) for l, n in counts for v in (l, int(2**30 * min(1.0, sample_docs / n)))])
-    number = F.create_map(*[F.lit(v) for i, l in enumerate(languages) for v in (l, i)])
-    sample = rows.filter(F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(2**30)) < bound[F.col(lang)]).select(number[F.col(lang)].alias("l"), F.col(text).alias("t"))
+    known = rows.sparkSession.createDataFrame([(l, i, int(2**30 * min(1.0, sample_docs / n))) for i, (l, n) in enumerate(counts)], f"_lang {labelled.schema[lang].dataType.simpleString()}, l int, _bound long")
+    place = F.xxhash64(F.col(text))
+    chosen = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("t"), place.alias("_at")).join(F.broadcast(known), "_lang")  # a row a language, as in the model
+    sample = chosen.filter(F.pmod("_at", F.lit(2**30)) < F.col("_bound")).groupBy("l", "_at").agg(F.first("t").alias("t")).select("l", "t")
 
     def count(batches):
         for batch in batches:
@@ -146,11 +148,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages), dtype="int32")), pa.array(np.full(len(languages), -1)), pa.array(docs)], ["l", "g", "n"])
 
     counted = saved(sample.mapInArrow(count, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "grams")
-    totals = {r.l: r.n for r in counted.filter("g = -1").collect()}
-    of = F.create_map(*[F.lit(v) for l, n in totals.items() for v in (l, float(max(1, n)))]) if totals else None
-    if of is None:
-        return Model(languages, [])
-    rates = counted.filter("g >= 0").select("g", F.struct((F.col("n") / of[F.col("l")]).alias("rate"), "l").alias("r")).filter(f"r.rate >= {MIN_RATE}")
+    totals = counted.filter("g = -1").select("l", F.greatest("n", F.lit(1)).cast("double").alias("_docs"))
+    rates = counted.filter("g >= 0").join(F.broadcast(totals), "l").select("g", F.struct((F.col("n") / F.col("_docs")).alias("rate"), "l").alias("r")).filter(f"r.rate >= {MIN_RATE}")  # a row a language
     lists = rates.groupBy("g").agg(F.max("r.rate").alias("top"), F.collect_list("r").alias("r"))  # an entry for each language at most
     held = lists.select("g", F.transform(F.filter("r", lambda x: x["rate"] >= F.col("top") * SHARE), lambda x: x["l"]).alias("ls"))
     return Model(languages, [(r.g, sorted(r.ls)) for r in held.orderBy("g").toLocalIterator()])
