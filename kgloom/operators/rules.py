@@ -61,48 +61,67 @@ def local_to_global(index: DataFrame, rules: DataFrame) -> DataFrame:
     not taken yet with their full signature, else with their text, else the line at
     their position if it is free, else the first free one; none left is an error.
 
-    Relations whose entries all find their full signature, each occurrence its own, are matched by a join.
-    The others, where what an entry takes hangs on those before it, are walked through one by one;
-    such a walk holds the rules of one relation.
+    This is worked out for all relations at once, in rounds of bids (:func:`_round`); lines that a
+    round gives are not free in the next one.  Entries that find their full signature, each occurrence its
+    own, are matched by one join before the first round, in relations where all do.  A relation takes a round for
+    each entry that has to leave its own line, text or position, not for each entry.
     """
     left = index.select("rel", "local_idx", F.concat_ws("\t", "num_preds", "num_true", "rule").alias("full"), "rule")
     right = signatures(rules)
     w = lambda order: Window.partitionBy("rel", "full").orderBy(order)
     a, b = left.withColumn("rn", F.row_number().over(w("local_idx"))), right.withColumn("rn", F.row_number().over(w("rule_id")))
     found = saved(a.join(b.select("rel", "full", "rn", "rule_id"), ["rel", "full", "rn"], "left").select("rel", "local_idx", "rule_id"), "matched")
-    open_ones = found.filter("rule_id is null").select("rel").distinct()
-
-    def walk(key, entries, lines):
-        import pandas as pd
-
-        lines = lines.sort_values("rule_id")
-        ids, free = lines.rule_id.tolist(), dict.fromkeys(lines.rule_id.tolist())
-        queues = {}
-        for kind in ("full", "rule"):
-            for text, i in zip(lines[kind], ids, strict=True):
-                queues.setdefault((kind, text), []).append(i)
-        queues = {k: iter(v) for k, v in queues.items()}
-        first, out = iter(ids), []
-        for entry in entries.sort_values("local_idx").itertuples():
-            got = None
-            for name in (("full", entry.full), ("rule", entry.rule)):
-                got = next((i for i in queues.get(name, ()) if i in free), None)
-                if got is not None:
-                    break
-            if got is None and entry.local_idx < len(ids) and ids[entry.local_idx] in free:
-                got = ids[entry.local_idx]
-            if got is None:
-                got = next((i for i in first if i in free), None)
-            if got is None:
-                raise ValueError(f"no line is left for entry {entry.local_idx} of relation {key[0]}")
-            del free[got]
-            out.append((entry.rel, entry.local_idx, got))
-        return pd.DataFrame(out, columns=["rel", "local_idx", "rule_id"])
-
-    some = left.join(open_ones, "rel", "left_semi").groupBy("rel").cogroup(right.join(open_ones, "rel", "left_semi").groupBy("rel"))
-    kinds = {**dict(left.dtypes), **dict(right.dtypes)}
-    walked = some.applyInPandas(walk, ", ".join(f"{c} {kinds[c]}" for c in ("rel", "local_idx", "rule_id")))
-    return found.join(open_ones, "rel", "left_anti").unionByName(walked)
+    unmatched = found.filter("rule_id is null").select("rel").distinct()
+    done = found.join(unmatched, "rel", "left_anti")
+    places = Window.partitionBy("rel").orderBy("rule_id")
+    # each entry takes a line of its own, so relations with more entries than lines are errors, raised where the result is read
+    many, enough = left.groupBy("rel").agg(F.count("*").alias("n")), right.groupBy("rel").agg(F.count("*").alias("m"))
+    short = saved(many.join(enough, "rel", "left").filter(F.col("n") > F.coalesce("m", F.lit(0))).select("rel"), "short")
+    error = F.raise_error(F.concat(F.lit("no line is left for an entry of relation "), "rel")).cast(dict(right.dtypes)["rule_id"])
+    done = done.unionByName(left.join(short, "rel", "left_semi").select("rel", "local_idx", error.alias("rule_id")))
+    entries = saved(left.join(unmatched, "rel", "left_semi").join(short, "rel", "left_anti"), "entries")
+    lines = saved(right.join(unmatched, "rel", "left_semi").withColumn("place", F.row_number().over(places) - 1), "lines")
+    while entries.take(1):
+        given = saved(_round(entries, lines), "given")
+        done = done.unionByName(given.select("rel", "local_idx", "rule_id"))
+        entries = saved(entries.join(given, ["rel", "local_idx"], "left_anti"), "entries")
+        lines = saved(lines.join(given, ["rel", "rule_id"], "left_anti"), "lines")
+    return done
+
+
+def _round(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rel, local_idx, rule_id``: what the open entries get that nothing before them can dispute.
+
+    An entry is loose if its text has fewer free lines than entries up to it.  Before a relation's first
+    loose entry only a text's own entries compete for its lines: those before the text's first one
+    without a full signature of its own get theirs, and that one, if it is the text's first, gets the first
+    line of the text.  Loose entries at the beginning of a relation get their positions, up to the first whose
+    position is not free; that one, if it is the relation's first, gets the first free line.
+    """
+    rank = lambda name, order: F.row_number().over(Window.partitionBy("rel", name).orderBy(order))
+    texts = lines.groupBy("rel", "rule").agg(F.count("*").alias("_lines"), F.min("rule_id").alias("_first_of_text"))
+    fulls = lines.withColumn("_nth", rank("full", "rule_id")).select("rel", "full", "_nth", F.col("rule_id").alias("_own"))
+    at = lines.select("rel", F.col("place").alias("local_idx"), F.col("rule_id").alias("_at_place"))
+    bids = entries.withColumns({"_nth": rank("full", "local_idx"), "_of_text": rank("rule", "local_idx")})
+    bids = bids.join(texts, ["rel", "rule"], "left").join(fulls, ["rel", "full", "_nth"], "left").join(at, ["rel", "local_idx"], "left")
+    bids = saved(bids.withColumn("_loose", F.col("_of_text") > F.coalesce("_lines", F.lit(0))), "bids")
+    at_least = lambda when: F.min(F.when(when, F.col("local_idx")))
+    by_rel = bids.groupBy("rel").agg(F.min("local_idx").alias("_head"), at_least(F.col("_loose")).alias("_first_loose"), at_least(~F.col("_loose")).alias("_first_tight"))
+    by_text = bids.groupBy("rel", "rule").agg(at_least(F.col("_own").isNull()).alias("_first_other"))
+    by_rest = lines.groupBy("rel").agg(F.min("rule_id").alias("_rest"))
+    before = lambda end: end.isNull() | (F.col("local_idx") < end)
+    bids = bids.join(by_rel, "rel").join(by_text, ["rel", "rule"]).join(by_rest, "rel")
+    begin = F.col("_loose") & before(F.col("_first_tight"))
+    stuck = bids.filter(begin & F.col("_at_place").isNull()).groupBy("rel").agg(F.min("local_idx").alias("_stuck"))
+    bids = bids.join(stuck, "rel", "left")
+    tight = ~F.col("_loose") & before(F.col("_first_loose"))
+    got = (
+        F.when(tight & before(F.col("_first_other")), F.col("_own"))
+        .when(tight & (F.col("_of_text") == 1), F.col("_first_of_text"))
+        .when(begin & before(F.col("_stuck")), F.col("_at_place"))
+        .when(begin & (F.col("local_idx") == F.col("_head")), F.col("_rest"))
+    )
+    return bids.withColumn("rule_id", got).filter("rule_id is not null").select("rel", "local_idx", "rule_id")
 
 
 def by_position(index: DataFrame, rules: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import saved
+
 
 def labelled(applied: DataFrame, answers: DataFrame) -> DataFrame:
     """Samples ``p, direction, q, cand, rule_ids, gold`` of the queries that have answers; empty rule lists are dropped.
@@ -31,8 +33,34 @@ def pairs_in(samples: DataFrame, synergy: DataFrame) -> DataFrame:
     return first.join(synergy, ["p", "a"]).filter(F.array_contains("rule_ids", F.col("b")))
 
 
+#: Samples of a block of the bitmap index, as the engine's bitmaps have them.
+INDEX_BLOCK = 32_768
+
+
+def bitmap_index(samples: DataFrame) -> DataFrame:
+    """``p, rule_id, block, bits``: in which samples of a block each rule fired; a row is 4 KB, whatever the rule's samples.
+
+    Positive samples are numbered once, when they are written, by partition: blocks of a partition are filled one after the other.
+    """
+    place = F.monotonically_increasing_id()
+    kept = saved(samples.filter("gold = 1").select("p", F.array_distinct("rule_ids").alias("rule_ids")).withColumn("n", place), "samples")
+    fired = kept.select("p", F.floor(F.col("n") / INDEX_BLOCK).alias("block"), F.pmod("n", F.lit(INDEX_BLOCK)).alias("at"), F.explode("rule_ids").alias("rule_id"))
+    return fired.groupBy("p", "rule_id", "block").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
 def pair_hit_counts(samples: DataFrame, synergy: DataFrame) -> DataFrame:
-    return pairs_in(samples.filter("gold = 1"), synergy.select("p", "a", "b")).groupBy("p", "a", "b").agg(F.count("*").alias("train_hit_count"))
+    """``p, a, b, train_hit_count``: the positive samples in which both rules of a known pair fired; pairs without any have no row.
+
+    A bitmap index of the samples by rule is made once.  A pair's count is, block by block, the bit count of
+    the AND of its two rows; no sample is expanded into its pairs, and a rule that fires in most
+    samples has a row a block.
+    """
+    index = saved(bitmap_index(samples), "index")
+    pairs = synergy.select("p", "a", "b").distinct()
+    sides = [pairs.join(index.withColumnRenamed("rule_id", x), ["p", x]).select("p", "a", "b", "block", "bits") for x in "ab"]
+    both = sides[0].unionByName(sides[1]).groupBy("p", "a", "b", "block").agg(F.bitmap_count(F.bitmap_and_agg("bits")).alias("n"), F.count("*").alias("sides"))
+    found = both.filter("sides = 2").groupBy("p", "a", "b").agg(F.sum("n").alias("train_hit_count"))
+    return found.filter("train_hit_count > 0")
 
 
 def synergy_pairs(lines: DataFrame, rules: DataFrame, least_lift: float = 0.01, least_support: int = 5) -> DataFrame:

@@ -116,13 +116,47 @@ def losses(predicted: DataFrame, positive_weight: float = 5.0) -> DataFrame:
     return predicted.select("gold", entry.alias("l")).agg(F.avg("l").alias("mean_loss"), F.sum("l").alias("sum_loss"), ((F.avg(F.when(F.col("gold") == 1, F.col("l"))) + F.avg(F.when(F.col("gold") == 0, F.col("l")))) / 2).alias("class_mean_loss"))
 
 
-def dot_topk(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``q, cand, pos, score``: the k candidates of the largest dot product for each of a stated set of queries.
+#: Vectors of a block on either side of the product.
+BLOCK = 4_096
 
-    The queries are the small side by contract; every vector meets every query,
-    and each partition keeps its first k of a query before the shuffle.
+
+def dot_topk(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``q, cand, pos, score``: the k candidates of the largest dot product for each query, of any number; ties go by ``cand``.
+
+    Both sides are dealt into blocks of about ``block`` vectors.  Each pair of blocks is one matrix product in one
+    task, which keeps the first k of each query; only these meet, so no row for a pair of vectors
+    exists.  Null vectors match nothing, others those of their length.
     """
-    q, c = queries.select(F.col(key).alias("q"), F.col(vector).alias("a")), vectors.select(F.col(key).alias("cand"), F.col(vector).alias("b"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = c.join(q).select("q", "cand", F.round(dot, 6).alias("score"))
-    return scored.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cand"))).filter(F.col("pos") <= k).select("q", "cand", F.col("pos").cast("long").alias("pos"), "score")
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(queries.dtypes)[key]
+    many = [max(1, -(-df.count() // block)) for df in (queries, vectors)]
+
+    def dealt(df: DataFrame, own: int, name: str, other: int, other_name: str) -> DataFrame:
+        rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+        return rows.withColumn("_d", F.size("v")).withColumns({name: F.pmod(F.xxhash64("k"), F.lit(own)).cast("int"), other_name: F.explode(F.sequence(F.lit(0), F.lit(other - 1)))})
+
+    def matrix(group):
+        v = group.column("v").combine_chunks()
+        return group.column("k").combine_chunks(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1 if len(v.flatten()) else 0)
+
+    def product(left, right):
+        (q, a), (c, b) = matrix(left), matrix(right)
+        names = ["q", "cand", "score"]
+        if not len(q) or not len(c):
+            return pa.table([q.slice(0, 0), c.slice(0, 0), pa.array([], pa.float64())], names=names)
+        order = np.argsort(c.to_numpy(zero_copy_only=False), kind="stable")
+        rows, columns, scores = [], [], []
+        for begin in range(0, len(q), 512):
+            dots = np.round(a[begin : begin + 512] @ b[order].T, 6)
+            first = np.argsort(-dots, axis=1, kind="stable")[:, :k]
+            rows.append(np.repeat(np.arange(begin, begin + len(dots)), first.shape[1]))
+            columns.append(order[first].reshape(-1))
+            scores.append(np.take_along_axis(dots, first, 1).reshape(-1))
+        return pa.table([q.take(pa.array(np.concatenate(rows))), c.take(pa.array(np.concatenate(columns))), pa.array(np.concatenate(scores))], names=names)
+
+    one, two = dealt(queries, many[0], "_a", many[1], "_b"), dealt(vectors, many[1], "_b", many[0], "_a")
+    partial = one.groupBy("_a", "_b", "_d").cogroup(two.groupBy("_a", "_b", "_d")).applyInArrow(product, f"q {kind}, cand {dict(vectors.dtypes)[key]}, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cand"))
+    return partial.withColumn("pos", place).filter(F.col("pos") <= k).select("q", "cand", F.col("pos").cast("long").alias("pos"), "score")

@@ -627,6 +627,13 @@ def embedding_rank_topk(spark, d):
     return score.dot_topk(v.filter("vec_id % 100 = 0"), v, 10)
 
 
+@query("{plain}select q, cand, pos, score from (select q, cand, s as score, row_number() over (partition by q order by s desc, cand) as pos from (" + _RANKED_VECTORS.replace(" where a.vec_id % 100 = 0", "") + ")) where pos <= 10")
+def embedding_rank_all(spark, d):
+    """Every vector against all vectors, as a product of blocks."""
+    v = graph.read(spark, d, "embeddings")
+    return score.dot_topk(v, v, 10)
+
+
 _INDEX = "select p_brand as rel, p_partkey as k, row_number() over (partition by p_brand order by p_partkey) - 1 as local_idx from part"
 
 

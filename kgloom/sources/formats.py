@@ -164,6 +164,84 @@ def rule_index(texts: DataFrame, column: str = "value") -> DataFrame:
     return lines.select("rel", f[0].cast("int").alias("local_idx"), f[1].cast("long").alias("num_preds"), f[2].cast("long").alias("num_true"), f[4].alias("rule"))
 
 
+def _pieces(spark: SparkSession, path: str, name: str, separator: str | None = None) -> DataFrame:
+    """``file, block, at, value``: the pieces of text files between separators, with their splits and their order in a split."""
+    reader = spark.read.option("pathGlobFilter", name)
+    rows = (reader if separator is None else reader.option("lineSep", separator)).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _before(rows: DataFrame, amounts: dict[str, str]) -> DataFrame:
+    """``rows`` with, for each amount, its sum over all rows before in the file: within a block, and over the blocks before."""
+    order = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("file", "block").agg(*[F.sum(a).alias(a) for a in amounts]).select("file", "block", *[F.coalesce(F.sum(a).over(blocks), F.lit(0)).alias(f"_{a}") for a in amounts])  # a row a block
+    return rows.join(bases, ["file", "block"]).withColumns({out: F.coalesce(F.sum(a).over(order), F.lit(0)) + F.col(f"_{a}") for a, out in amounts.items()}).drop(*[f"_{a}" for a in amounts])
+
+
+def _carried(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with each of the columns filled with its last value that is not null so far in the file, over blocks as in :func:`_before`."""
+    order = Window.partitionBy("file", "block").orderBy("at")
+    blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("file", "block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in names])  # a row a block
+    ends = ends.select("file", "block", *[F.last(c, ignorenulls=True).over(blocks).alias(f"_{c}") for c in names])
+    return rows.join(ends, ["file", "block"]).withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(order), F.col(f"_{c}")) for c in names}).drop(*[f"_{c}" for c in names])
+
+
+def rule_index_files(spark: SparkSession, path: str, name: str = "*") -> DataFrame:
+    """The rows of :func:`rule_index` from files that are split among tasks, with their ``file``.
+
+    A split's lines belong to the last ``>>>relation`` line in it or in the splits before; only
+    each split's last one is carried on.
+    """
+    rows = _pieces(spark, path, name)
+    head = F.when(F.col("value").startswith(">>>"), F.trim(F.substring("value", 4, 2**31 - 1)))
+    rows = _carried(rows.withColumn("rel", head), ["rel"]).filter("not startswith(value, '>>>') and rel <> ''")
+    f = F.split("value", "\t")
+    lines = rows.select("file", "rel", f.alias("f")).filter(F.size("f") >= 5)
+    field = lambda n: F.trim(F.get("f", F.lit(n)))
+    return lines.select("file", "rel", field(0).cast("int").alias("local_idx"), field(1).cast("long").alias("num_preds"), field(2).cast("long").alias("num_true"), field(4).alias("rule"))
+
+
+#: Queries of a block in the order of a file of applied rules.
+QUERIES_A_BLOCK = 50_000
+
+
+def applied_files(spark: SparkSession, path: str, name: str = "*") -> DataFrame:
+    """The rows of :func:`flattened` from files of one nested JSON object each, ``direction: relation: query: candidate: rule ids``, with their ``file``.
+
+    A file is read in pieces that end with a closing brace, split among tasks.  Sums over the pieces before tell
+    whether a piece begins in a string and how deep it stands; so the object is cut where the object of each
+    query ends, and only names of directions and relations are carried from piece to piece.  Names may
+    hold braces and escaped characters.
+    """
+    rows = _pieces(spark, path, name, "}")
+    plain = F.regexp_replace("value", r"\\.", "")
+    count = lambda text, c: F.length(text) - F.length(F.translate(text, c, ""))
+    rows = _before(rows.withColumn("quotes", count(plain, '"')), {"quotes": "open_quotes"})
+    inside = F.col("open_quotes") % 2
+    outside = F.regexp_replace(F.concat(F.when(inside == 1, '"').otherwise(""), plain), r'"[^"]*("|$)', "")
+    closes = 1 - (F.col("open_quotes") + F.col("quotes")) % 2
+    rows = _before(rows.select("file", "block", "at", "value", count(outside, "{").alias("opens"), closes.alias("closes")), {"closes": "number"})
+    # a brace in a string has cut an object's text; its pieces have one number
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "block", "value"))), lambda x: x["value"]), "}")
+    objects = rows.groupBy("file", "number").agg(parts.alias("text"), F.sum("opens").alias("opens"))
+    objects = objects.withColumns({"block": F.floor(F.col("number") / QUERIES_A_BLOCK), "at": F.col("number")})
+    objects = _before(objects, {"opens": "all_opens"}).withColumn("depth", F.col("all_opens") - F.col("number"))
+    names = F.regexp_extract_all("text", F.lit(r'"((?:[^"\\]|\\.)*)"\s*:\s*\{'), F.lit(1))
+    objects = objects.withColumns({"names": names, "first": F.greatest(F.col("depth") + 1, F.lit(2))})  # the object itself, at depth 1, has no name
+    at = lambda level: F.get("names", (F.lit(level) - F.col("first")).cast("int"))
+    objects = _carried(objects.withColumns({"direction": at(2), "p": at(3), "q": at(4)}), ["direction", "p"])
+    body = F.concat(F.regexp_replace("text", r'(?s)^.*"(?:[^"\\]|\\.)*"\s*:\s*\{', "{"), F.lit("}"))
+    rows = objects.filter("q is not null").select("file", *[_unescaped_json(c) for c in ("direction", "p", "q")], F.explode(F.from_json(body, "map<string,array<int>>")).alias("cand", "rule_ids"))
+    return rows
+
+
+def _unescaped_json(name: str):
+    """The text that a JSON string stands for."""
+    return F.from_json(F.concat(F.lit('{"x":"'), F.col(name), F.lit('"}')), "x string")["x"].alias(name)
+
+
 def rankings(spark: SparkSession, path: str, top: int = 100, name: str = "*") -> DataFrame:
     """``file, s, p, o, direction, pos, cand, conf`` of the ranking files whose name fits ``name``.
 
