@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as rule
@@ -140,7 +141,6 @@ def local_ids_by_position(spark, d):
 def _index_and_rules(spark, d):
     part = graph.read(spark, d, "part")
     text = F.concat(F.lit("h(X,Y) <= b"), (F.col("p_partkey") % 4).cast("string"), F.lit("(X,Y)"))
-    from pyspark.sql import Window
 
     at = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
     index = part.select(F.col("p_brand").alias("rel"), at.alias("local_idx"), F.col("p_size").alias("num_preds"), F.lit(3).alias("num_true"), text.alias("rule"))
@@ -299,6 +299,37 @@ def comparison_report(spark, d):
     return spark.read.json(f"{path}/differences").groupBy("section").agg(F.count("*").alias("n"))
 
 
+# Files read over splits
+
+
+@query("{plain}select p_brand as rel, (row_number() over (partition by p_brand order by p_partkey) - 1)::int as local_idx, p_partkey as num_preds, p_size::bigint as num_true, 'h(X,Y) <= ' || p_type || '(X,Y)' as rule from part")
+def rule_index_over_splits(spark, d):
+    """A rule index of all parts in one file a first letter, a block a brand, written and read back in splits."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    part = graph.read(spark, d, "part").withColumn("n", F.row_number().over(w) - 1)
+    line = F.concat_ws("\t", F.col("n").cast("string"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.lit("0.5"), F.concat(F.lit("h(X,Y) <= "), "p_type", F.lit("(X,Y)")))
+    heads = part.select("p_brand").distinct().select("p_brand", F.lit(-1).alias("n"), F.concat(F.lit(">>>"), "p_brand").alias("value"))
+    path = _fresh(spark, "index")
+    rows = part.select("p_brand", "n", line.alias("value")).unionByName(heads).withColumn("letter", F.substring("p_brand", 1, 7))
+    rows.repartition("letter").sortWithinPartitions("letter", "p_brand", "n").select("letter", "value").write.partitionBy("letter").text(path)
+    return formats.rule_index_files(spark, path).drop("file")
+
+
+@query("{plain}select c_mktsegment as segment, 'tail' as direction, 'in \"' || c_mktsegment || '\"' as p, 'q}' || cast(c_custkey as varchar) as q, 'c{' || cast(c_nationkey as varchar) as cand, cast(c_custkey % 9 as varchar) || ',7' as ids from customer")
+def applied_object_over_splits(spark, d):
+    """Applied rules as one nested object a segment, written and cut again at its queries; names hold braces and quotes."""
+    c = graph.read(spark, d, "customer")
+    entry = F.concat(F.lit('"q}'), F.col("c_custkey").cast("string"), F.lit('": {"c{'), F.col("c_nationkey").cast("string"), F.lit('": ['), (F.col("c_custkey") % 9).cast("string"), F.lit(", 7]},"))
+    rows = c.select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("n"), entry.alias("value"))
+    ends = c.select(F.col("c_mktsegment").alias("segment")).distinct()
+    begin = ends.select("segment", F.lit(-1).cast("long").alias("n"), F.concat(F.lit('{"head": {}, "tail": {"in \\"'), "segment", F.lit('\\"": {')).alias("value"))
+    end = ends.select("segment", F.lit(2**62).alias("n"), F.lit('"nobody": {}}}}').alias("value"))
+    path = _fresh(spark, "object")
+    rows.unionByName(begin).unionByName(end).repartition("segment").sortWithinPartitions("segment", "n").select("segment", "value").write.partitionBy("segment").text(path)
+    found = formats.applied_files(spark, path)
+    return found.select(F.regexp_extract("file", "segment=([^/]*)/", 1).alias("segment"), "direction", "p", "q", "cand", joined("rule_ids").alias("ids"))
+
+
 # Fits
 
 
