@@ -21,18 +21,25 @@ def _few(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
 
 
-def _edges(triples: DataFrame, rules: DataFrame, rel: str = "rel", inv: str = "inv") -> DataFrame:
-    """The readings ``rel, inv, a, b`` of the triples that the rules ask for in their columns ``rel`` and ``inv``.
+def _named(rules: DataFrame, length: int | None = None) -> list | None:
+    """The readings ``step, rel, inv`` that the rules name, in one job; None if they are more than ``MAX_READINGS``."""
+    columns = [("rel", "inv")] if length is None else [(f"rel{n}", f"inv{n}") for n in range(1, length + 1)]
+    steps = F.array(*[F.struct(F.lit(n).alias("step"), F.col(rel).alias("rel"), F.col(inv).alias("inv")) for n, (rel, inv) in enumerate(columns, 1)])
+    found = rules.select(F.explode(steps).alias("s")).select("s.*").distinct().limit(MAX_READINGS + 1).collect()
+    return found if len(found) <= MAX_READINGS else None
+
+
+def _edges(triples: DataFrame, named: list | None, step: int = 1) -> DataFrame:
+    """The readings ``rel, inv, a, b`` of the triples that the rules ask for in a step.
 
     The relations that the rules name, a few, become a constant filter, which reaches the
     scans and drops those of all other relations before any shuffle.
     """
-    named = rules.select(F.col(rel).alias("rel"), F.col(inv).alias("inv")).distinct().limit(MAX_READINGS + 1).collect()
     out = None
     for turned, a, b in ((False, "s", "o"), (True, "o", "s")):
-        relations = sorted({r.rel for r in named if r.inv == turned and r.rel is not None})
-        part = triples if len(named) > MAX_READINGS else triples.filter(F.col("p").isin(relations))
-        if relations or turned and out is None or len(named) > MAX_READINGS:
+        relations = None if named is None else sorted({r.rel for r in named if r.step == step and r.inv == turned and r.rel is not None})
+        part = triples if relations is None else triples.filter(F.col("p").isin(relations))
+        if relations is None or relations or turned and out is None:
             part = part.select(F.col("p").alias("rel"), F.lit(turned).alias("inv"), F.col(a).alias("a"), F.col(b).alias("b"))
             out = part if out is None else out.unionByName(part)
     return out
@@ -44,9 +51,9 @@ def cyclic(rules: DataFrame, triples: DataFrame, length: int, queries: DataFrame
     ``rules``: ``rule_id, rel1, inv1, ..., reln, invn``; ``inv`` says that an atom is
     written from right to left.  ``queries``: the values ``x`` to start from.
     """
-    out = None
+    out, named = None, _named(rules, length)
     for n in range(1, length + 1):
-        edges = _edges(triples, rules, f"rel{n}", f"inv{n}")
+        edges = _edges(triples, named, n)
         step = edges.select(F.col("rel").alias(f"rel{n}"), F.col("inv").alias(f"inv{n}"), F.col("a").alias("x" if n == 1 else "_at"), F.col("b").alias("_to"))
         if n == 1:
             step = step if queries is None else step.join(queries.select("x").distinct(), "x", "left_semi")
@@ -61,12 +68,12 @@ def cyclic(rules: DataFrame, triples: DataFrame, length: int, queries: DataFrame
 
 def with_constant(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,c) <= b(X,d)``; ``rules``: ``rule_id, rel, inv, const, answer``."""
-    return _edges(triples, rules).withColumnRenamed("b", "const").join(_few(rules), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
+    return _edges(triples, _named(rules)).withColumnRenamed("b", "const").join(_few(rules), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
 
 
 def dangling(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,c) <= b(X,A)``; ``rules``: ``rule_id, rel, inv, answer``."""
-    return _edges(triples, rules).select("rel", "inv", "a").join(_few(rules), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
+    return _edges(triples, _named(rules)).select("rel", "inv", "a").join(_few(rules), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
 
 
 def zero(rules: DataFrame, queries: DataFrame) -> DataFrame:
@@ -76,12 +83,12 @@ def zero(rules: DataFrame, queries: DataFrame) -> DataFrame:
 
 def reflexive(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,X) <= b(X,d)``: the candidate is the query itself."""
-    return _edges(triples, rules).withColumnRenamed("b", "const").join(_few(rules), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
+    return _edges(triples, _named(rules)).withColumnRenamed("b", "const").join(_few(rules), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
 
 
 def reflexive_dangling(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,X) <= b(X,A)``; ``rules``: ``rule_id, rel, inv``."""
-    return _edges(triples, rules).join(_few(rules), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
+    return _edges(triples, _named(rules)).join(_few(rules), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
 
 
 def support(fired: DataFrame, known: DataFrame) -> DataFrame:

@@ -229,41 +229,41 @@ def _rules(spark, rows, schema):
 
 @query("select 1 as rule_id, s as x, o as y from triples where p = 'cust_nation' union select 2, o, s from triples where p = 'supp_nation'")
 def rule_apply_cyclic1(spark, d):
-    return apply.cyclic(_rules(spark, [(1, "cust_nation", False), (2, "supp_nation", True)], "rule_id int, rel1 string, inv1 boolean"), graph.project(spark, d), 1)
+    return apply.cyclic(_rules(spark, [(1, "cust_nation", False), (2, "supp_nation", True)], "rule_id int, rel1 string, inv1 boolean"), graph.projected(spark, d), 1)
 
 
 @query("select distinct 1 as rule_id, a.s as x, b.o as y from triples a join triples b on a.o = b.s where a.p = 'cust_nation' and b.p = 'in_region' union select distinct 2, a.s, b.s from triples a join triples b on a.o = b.o where a.p = 'supp_nation' and b.p = 'supp_nation'")
 def rule_apply_cyclic2(spark, d):
     rows = [(1, "cust_nation", False, "in_region", False), (2, "supp_nation", False, "supp_nation", True)]
-    return apply.cyclic(_rules(spark, rows, "rule_id int, rel1 string, inv1 boolean, rel2 string, inv2 boolean"), graph.project(spark, d), 2)
+    return apply.cyclic(_rules(spark, rows, "rule_id int, rel1 string, inv1 boolean, rel2 string, inv2 boolean"), graph.projected(spark, d), 2)
 
 
 @query("select distinct 1 as rule_id, a.s as x, c.o as y from triples a join triples b on a.o = b.s join triples c on b.o = c.s where a.p = 'ordered_by' and b.p = 'cust_nation' and c.p = 'in_region'")
 def rule_apply_cyclic3(spark, d):
     rows = [(1, "ordered_by", False, "cust_nation", False, "in_region", False)]
-    return apply.cyclic(_rules(spark, rows, "rule_id int, rel1 string, inv1 boolean, rel2 string, inv2 boolean, rel3 string, inv3 boolean"), graph.project(spark, d), 3)
+    return apply.cyclic(_rules(spark, rows, "rule_id int, rel1 string, inv1 boolean, rel2 string, inv2 boolean, rel3 string, inv3 boolean"), graph.projected(spark, d), 3)
 
 
 @query("select 1 as rule_id, s as x, 'n:3' as y from triples where p = 'in_segment' and o = 'm:BUILDING' union select 2, s, 'm:MACHINERY' from triples where p = 'cust_nation' and o = 'n:7'")
 def rule_apply_uc(spark, d):
     rows = [(1, "in_segment", False, "m:BUILDING", "n:3"), (2, "cust_nation", False, "n:7", "m:MACHINERY")]
-    return apply.with_constant(_rules(spark, rows, "rule_id int, rel string, inv boolean, const string, answer string"), graph.project(spark, d))
+    return apply.with_constant(_rules(spark, rows, "rule_id int, rel string, inv boolean, const string, answer string"), graph.projected(spark, d))
 
 
 @query("select distinct 1 as rule_id, s as x, 'm:BUILDING' as y from triples where p = 'cust_nation' union select distinct 2, o, 'r:1' from triples where p = 'supp_nation'")
 def rule_apply_ud(spark, d):
-    return apply.dangling(_rules(spark, [(1, "cust_nation", False, "m:BUILDING"), (2, "supp_nation", True, "r:1")], "rule_id int, rel string, inv boolean, answer string"), graph.project(spark, d))
+    return apply.dangling(_rules(spark, [(1, "cust_nation", False, "m:BUILDING"), (2, "supp_nation", True, "r:1")], "rule_id int, rel string, inv boolean, answer string"), graph.projected(spark, d))
 
 
 @query("select distinct 1 as rule_id, s as x, 'r:0' as y from triples where p = 'in_region'")
 def rule_apply_zero(spark, d):
-    t = graph.project(spark, d)
+    t = graph.projected(spark, d)
     return apply.zero(_rules(spark, [(1, "in_region", "r:0")], "rule_id int, head_rel string, answer string"), t.select("p", F.col("s").alias("x")).distinct())
 
 
 @query("select distinct 1 as rule_id, s as x, s as y from triples where p = 'in_region' and o = 'r:2'")
 def rule_apply_reflexive(spark, d):
-    return apply.reflexive(_rules(spark, [(1, "in_region", False, "r:2")], "rule_id int, rel string, inv boolean, const string"), graph.project(spark, d))
+    return apply.reflexive(_rules(spark, [(1, "in_region", False, "r:2")], "rule_id int, rel string, inv boolean, const string"), graph.projected(spark, d))
 
 
 _SPLIT = """tr as (select q, a from shipped where part > 1), co as (select distinct l_orderkey as q, l_partkey as v from lineitem),
