@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import explain, graph, rules, ruleset, run
-from ..store import saved
+from ..sources import formats
+from ..store import saved, tables_dir
 from .catalogue import joined, long, query
 
 #: A rule file: families of lines made from the tables' rows.  ``{S}`` is the engine's string type; ``k1, k2`` order the lines of a family.
@@ -88,6 +91,23 @@ def rule_apply_file(spark, d):
     return found.select("direction", "p", "q", "cand", long("pos"), F.round(F.col("confs")[0], 9).alias("best"), joined("rule_ids").alias("ids"))
 
 
+@query(f""", {_RULES},
+ un as (select * from fk anti join kn using (direction, p, q, cand)),
+ bc as (select direction, p, q, cand, list(conf order by conf desc) as l, list(rule_id order by conf desc, rule_id) as ids from un group by all),
+ rk as (select *, row_number() over (partition by direction, p, q order by l desc, cand) as pos from bc)
+ select rk.direction, t.s, t.p, t.o, rk.cand, (rk.pos - 1)::int as pos, array_to_string(rk.ids[1:3], ',') as ids from t join rk on rk.p = t.p and rk.q = case rk.direction when 'tail' then t.s else t.o end where t.p in {_TARGETS} and rk.pos <= 4""")
+def explanation_records(spark, d):
+    """Explanation records of every triple of five relations, both directions, made with the rule file, written and read back."""
+    triples = graph.project(spark, d)
+    loaded = rules.from_lines(rule_file(spark, d))
+    found = saved(ruleset.apply_rules(loaded, triples, _asked(triples), _known(triples), topk=4, top_rules=5, shapes=SHAPES), "applied")
+    records = formats.explained(triples.filter(F.col("p").isin(*_TARGETS)), found.select("direction", "p", "q", "cand", (-F.col("pos")).alias("score")), found, most=3)
+    path = f"{tables_dir(spark)}/records-{uuid.uuid4().hex}"
+    records.select("value").write.text(path)
+    back = formats.explanations(spark.read.text(path))
+    return back.select("direction", "s", "p", "o", "cand", F.col("pos").cast("int").alias("pos"), joined("rule_ids").alias("ids"))
+
+
 @query(f", {_RULES} select direction, p, rule_id, count(*) as n, count(distinct q) as queries from fk group by all")
 def rule_apply_file_counts(spark, d):
     """How often each rule of the file fires in each direction, known answers and all."""

@@ -135,7 +135,7 @@ def explained(targets: DataFrame, ranking: DataFrame, applied: DataFrame, most:
     the first ``most`` count (all if 0), and only those with ids from 1 on.  Candidates stand by falling score, ties by their value.
     """
     listed = F.filter(F.coalesce("rule_ids", F.expr("cast(array() as array<int>)")), lambda x: x > 0)
-    rows = ranking.join(applied.select("direction", "p", "q", "cand", "rule_ids"), ["direction", "p", "q", "cand"], "left").select("direction", "p", "q", F.struct((-F.col("score")).alias("at"), "cand", (F.slice(listed, 1, most) if most else listed).alias("rules")).alias("x"))
+    rows = ranking.select("direction", "p", "q", "cand", "score").join(applied.select("direction", "p", "q", "cand", "rule_ids"), ["direction", "p", "q", "cand"], "left").select("direction", "p", "q", F.struct((-F.col("score")).alias("at"), "cand", (F.slice(listed, 1, most) if most else listed).alias("rules")).alias("x"))
     sides = rows.groupBy("direction", "p", F.col("q").cast("string").alias("q")).agg(F.sort_array(F.collect_list("x")).alias("x"))
     sides = sides.select("direction", "p", "q", F.struct(F.col("x.cand").cast("array<string>").alias("candidates"), F.col("x.rules").alias("rules")).alias("side"))
     empty = F.struct(F.expr("cast(array() as array<string>)").alias("candidates"), F.expr("cast(array() as array<array<int>>)").alias("rules"))
