@@ -9,9 +9,13 @@ left, the repeated texts and a few false positives, shuffle and are grouped by
 the strong digest.  Digests decide, so a false positive costs a shuffled row and
 never changes a result.
 
-The filter has ``BITS_PER_ROW`` bits a row at any size.  It covers one range of
-the digests at a time, of about ``RANGE_BITS`` bits, which bounds what a task
-holds and what is broadcast (64 MB); more rows are more ranges.
+The filter has ``BITS_PER_ROW`` bits a key.  Of up to ``FIRST_BITS`` bits (64 MB, 33
+million rows) its keys are all digests, as above.  Of more rows, the digests alone,
+never the rows, are first counted by partial aggregation, and the filter's keys are
+those that are repeated.  It then grows with the repeated texts to at most
+``MOST_BITS`` bits (256 MB); beyond them more rows shuffle in vain, and results stay
+the same.  There is one filter at any size, so a table is scanned once for its
+digests and once for each side of pass two.
 
 A text that a third of the rows share sets its positions once a task, is counted
 by partial aggregation, and its rows are left to the skew-join splitting of
@@ -35,7 +39,10 @@ from .common import release, saved
 
 BITS_PER_ROW = 16
 HASHES = 2
-RANGE_BITS = 2**29
+#: The largest filter of all digests.
+FIRST_BITS = 2**29
+#: The largest filter of digests known to be repeated.
+MOST_BITS = 2**31
 #: Positions that a task holds before it sends them on.
 FLUSH = 2_000_000
 BUCKET = 2**16
@@ -57,23 +64,23 @@ def folded_sha256(text):
 
 
 def _words(column: pa.Array) -> np.ndarray:
-    """The first three 64-bit words of each hex digest."""
-    return np.frombuffer(bytes.fromhex("".join(x[:48] for x in column.to_pylist())), ">u8").astype(np.uint64).reshape(-1, 3)
+    """The first two 64-bit words of each hex digest."""
+    return np.frombuffer(bytes.fromhex("".join(x[:32] for x in column.to_pylist())), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
 class Filter:
-    """The filter of one range of the digests (hex columns) of a table.
+    """The filter of the digests (hex columns) of a table, ``bits`` bits as a broadcast.
 
-    ``among`` and ``maybe`` make boolean columns: whether a digest is in the range, and
-    whether all its positions were set at least ``least`` times.
+    ``maybe`` makes a boolean column: whether all positions of a digest were set at
+    least ``least`` times.
     """
 
-    def __init__(self, rows: DataFrame, digest: str, number: int, ranges: int, bits: int, least: int):
-        self.number, self.ranges, self.bits = number, ranges, bits
+    def __init__(self, rows: DataFrame, digest: str, bits: int, least: int):
+        self.bits = bits
         self.table = rows.sparkSession.sparkContext.broadcast(self._built(rows, digest, least))
 
     def _built(self, rows: DataFrame, digest: str, least: int) -> np.ndarray:
-        number, ranges, bits = self.number, self.ranges, self.bits
+        bits = self.bits
 
         def place(batches):
             held, size = [], 0
@@ -86,9 +93,7 @@ class Filter:
                         yield b, at, (part[x:y] % BUCKET).astype("<u2").tobytes()
 
             for batch in batches:
-                words = _words(batch.column(0))
-                words = words[words[:, 2] % np.uint64(ranges) == number]
-                held.append(_positions(words, bits).reshape(-1))
+                held.append(_positions(_words(batch.column(0)), bits).reshape(-1))
                 size += len(held[-1])
                 if size > FLUSH:
                     yield from _rows(flush())
@@ -118,22 +123,10 @@ class Filter:
         buckets = -(-bits // BUCKET)
         merged = placed.repartition(max(1, min(buckets, buckets // 64 + 8)), "b").mapInArrow(merge, schema)
         table = np.zeros(buckets * BUCKET // 8, np.uint8)
-        for b, _, low in merged.toLocalIterator() if buckets > 1024 else merged.collect():  # at most RANGE_BITS bits
+        for b, _, low in merged.toLocalIterator() if buckets > 1024 else merged.collect():  # at most MOST_BITS bits
             table[b * BUCKET // 8 :][: len(low)] = np.frombuffer(low, np.uint8)
         return table
 
-    def among(self, digest):
-        """Whether the digest is in the range."""
-        if self.ranges == 1:
-            return F.lit(True)
-        number, ranges = self.number, self.ranges
-
-        @F.arrow_udf("boolean")
-        def inside(column):
-            return pa.array(_words(column)[:, 2] % np.uint64(ranges) == number)
-
-        return inside(digest)
-
     def maybe(self, digest):
         shared, bits = self.table, self.bits
 
@@ -168,7 +161,7 @@ def _batch(rows):
 
 
 def _positions(words: np.ndarray, bits: int) -> np.ndarray:
-    return (words[:, :HASHES] % np.uint64(bits)).astype(np.int64)
+    return (words % np.uint64(bits)).astype(np.int64)
 
 
 def _held(table: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
@@ -176,21 +169,19 @@ def _held(table: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
     return ((table[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
 
 
-def filters(rows: DataFrame, digest: str, least: int = 2, range_bits: int = RANGE_BITS) -> list[Filter]:
-    """Pass one over a saved table: a filter for each range of its digests."""
-    need = BITS_PER_ROW * max(1, rows.count())
-    ranges = -(-need // range_bits)
-    bits = -(-need // ranges // BUCKET) * BUCKET
-    return [Filter(rows, digest, n, ranges, bits, least) for n in range(ranges)]
+def filter_of(rows: DataFrame, digest: str, least: int = 2, first_bits: int = FIRST_BITS, most_bits: int = MOST_BITS) -> Filter:
+    """Pass one over a saved table: the filter of its digests that occur ``least`` (1 or 2) times or more."""
+    many = rows.count()
+    if BITS_PER_ROW * many > first_bits:
+        rows = saved(rows.groupBy(digest).count().filter(F.col("count") >= least).select(digest), "keys")
+        many, least = rows.count(), 1
+    bits = min(BITS_PER_ROW * max(1, many), most_bits)
+    return Filter(rows, digest, -(-bits // BUCKET) * BUCKET, least)
 
 
-def split(df: DataFrame, digest, found: list[Filter]) -> tuple[DataFrame, DataFrame]:
+def split(df: DataFrame, digest, found: Filter) -> tuple[DataFrame, DataFrame]:
     """Pass two: the rows of ``df`` whose digest may be repeated, and those whose digest is not."""
-    maybe = once = None
-    for f in found:
-        one, two = df.filter(f.among(digest) & f.maybe(digest)), df.filter(f.among(digest) & ~f.maybe(digest))
-        maybe, once = one if maybe is None else maybe.unionByName(one), two if once is None else once.unionByName(two)
-    return maybe, once
+    return df.filter(found.maybe(digest)), df.filter(~found.maybe(digest))
 
 
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -205,10 +196,10 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).mapInArrow(run, f"k {kind}, text_sha256 string")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bits: int = RANGE_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", first_bits: int = FIRST_BITS) -> DataFrame:
     """``key, keep_id, group_size, kept, text_sha256`` of every row; see the module's text."""
     rows = saved(fingerprints(docs, key, text), "fingerprints")
-    possible, unique = split(rows, F.col("text_sha256"), filters(rows, "text_sha256", range_bits=range_bits))
+    possible, unique = split(rows, F.col("text_sha256"), filter_of(rows, "text_sha256", first_bits=first_bits))
     once = unique.select("k", F.col("k").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     possible = saved(possible, "possible")
     groups = saved(possible.groupBy("text_sha256").agg(F.max("k").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "copies")
@@ -222,7 +213,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", range_
     return once.unionByName(joined).withColumnRenamed("k", key)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bits: int = RANGE_BITS) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", first_bits: int = FIRST_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts that with the largest key.
 
     Unique rows pass from the scan to the result without a shuffle.  Possibly
@@ -233,6 +224,6 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", range
     rows = saved(fingerprints(docs, key, text).select("text_sha256"), "fingerprints")
     row = F.struct(*[docs[c] for c in docs.columns])
     given = docs.select(row.alias("row"), folded_sha256(text).alias("digest"))
-    possible, unique = split(given, F.col("digest"), filters(rows, "text_sha256", range_bits=range_bits))
+    possible, unique = split(given, F.col("digest"), filter_of(rows, "text_sha256", first_bits=first_bits))
     first = possible.groupBy("digest").agg(F.max_by("row", F.struct(F.col(f"row.`{key}`").alias("k"), F.col(f"row.`{text}`").alias("t"))).alias("row"))
     return unique.select("row.*").unionByName(first.select("row.*"))

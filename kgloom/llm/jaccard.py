@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .bpe import chunks
 from .common import release, saved, slices
 from .components import components, forest
-from .dedup import filters, split
+from .dedup import filter_of, split
 
 #: Documents in the sample for frequent shingles, and how often a shingle is then frequent.
 SAMPLE_DOCS = 10_000
@@ -357,7 +357,7 @@ def in_blocks(given: DataFrame, rows: DataFrame, clusters: DataFrame, width: int
     each = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), size / BLOCKS))
     sizes = chosen.groupBy("cluster").agg(F.ceil(size / each).cast("int").alias("blocks"))
     placed = chosen.join(sizes, "cluster").select("sha", "node", "n", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    found = split(given, F.col("sha"), filters(chosen, "sha", least=1))[0]
+    found = split(given, F.col("sha"), filter_of(chosen, "sha", least=1))[0]
     texts = saved(found.groupBy("sha").agg(F.first("t").alias("t")).join(placed, "sha").select("cluster", "blocks", "block", "node", "n", "t"), "texts")
     parts = max(1, (texts.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // TASK_ELEMENTS)  # what all groups have
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -484,7 +484,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     said = saved(found.filter("repeats").select(F.col(key).alias("k"), F.col("text_sha256").alias("sha"), "kept").distinct(), "said")
     given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("key"), F.sha2(docs[text], 256).alias("digest"))
     given = given.withColumn("digest", F.coalesce("digest", F.lit("0" * 64)))  # null texts are in no component
-    maybe, others = split(given, F.col("digest"), filters(said, "sha", least=1))
+    maybe, others = split(given, F.col("digest"), filter_of(said, "sha", least=1))
     decided = maybe.join(said, (F.col("digest") == F.col("sha")) & F.col("key").eqNullSafe(F.col("k")), "left")
     alone = decided.filter("kept is null").select("row.*")
     one = decided.filter("kept").groupBy("key", "digest").agg(F.first("row").alias("row")).select("row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, shared_dir
-from .dedup import filters, split
+from .dedup import filter_of, split
 
 DATE = "2024-01-01T00:00:00Z"
 HEADERS = "k {kind}, digest string, header binary, head binary, copies long"
@@ -49,7 +49,7 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     given = pages.select(F.col(key).alias("k"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     rows = saved(given.select("k", F.monotonically_increasing_id().alias("row"), "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n")), "records")
-    found = filters(rows, "digest")
+    found = filter_of(rows, "digest")
     possible, single = split(rows, F.col("digest"), found)
     possible = saved(possible, "possible")
     last = F.struct("k", "row")

@@ -214,9 +214,9 @@ def test_exact_dedup(docs, clashing, empty, rows):
     for t, ids in groups.items():
         keep = max([i for i in ids if i is not None], default=None)
         want += [(i, keep if len(ids) > 1 else i, len(ids), i == keep if len(ids) > 1 else True, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
-    for bits in (dedup.RANGE_BITS, 2**9):  # one range of the digests, and several
-        assert sorted(map(repr, map(tuple, dedup.exact_dedup(clashing, range_bits=bits).collect()))) == sorted(map(repr, want))
-        stay = dedup.deduplicated(clashing, range_bits=bits)
+    for bits in (dedup.FIRST_BITS, 2**6):  # a filter of all digests, and one of the repeated ones
+        assert sorted(map(repr, map(tuple, dedup.exact_dedup(clashing, first_bits=bits).collect()))) == sorted(map(repr, want))
+        stay = dedup.deduplicated(clashing, first_bits=bits)
         assert stay.columns == clashing.columns
         assert sorted(map(repr, ((r.doc_id, low(r.text)) for r in stay.collect()))) == sorted(map(repr, ((max([i for i in ids if i is not None], default=None), t) for t, ids in groups.items())))
     assert dedup.exact_dedup(empty).count() == 0 and dedup.deduplicated(empty).count() == 0
@@ -592,6 +592,22 @@ def test_unique_documents_do_not_shuffle(spark):
     assert unique and repeated and "Aggregate" in repeated
 
 
+def test_scans_and_broadcasts_do_not_grow_with_rows(spark, tmp_path):
+    """Tables of one filter's size and of many times that size have the same plan; the filter of repeated digests keeps to its bound."""
+    spark.createDataFrame([(k, f"text {min(k, 300)}", "en", "s", 1) for k in range(400)], SCHEMA).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    plans = [physical(dedup.deduplicated(docs, first_bits=bits)) for bits in (dedup.FIRST_BITS, 16 * 400 // 7)]
+    assert [[p.count(x) for x in ("FileScan", "ArrowEvalPython", "Exchange", "Broadcast")] for p in plans] == [[plans[0].count(x) for x in ("FileScan", "ArrowEvalPython", "Exchange", "Broadcast")]] * 2
+    assert plans[0].count("FileScan") == 2
+    rows = dedup.fingerprints(docs, "doc_id", "text")
+    assert dedup.filter_of(rows, "text_sha256").bits == 2**16
+    few = dedup.filter_of(rows, "text_sha256", first_bits=64)
+    assert few.bits == 2**16 and [r.k for r in dedup.split(rows, F.col("text_sha256"), few)[0].sort("k").collect()] == list(range(300, 400))
+    many = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("h")).union(spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("h")))
+    full = dedup.filter_of(many, "h", first_bits=64, most_bits=2**16)
+    assert full.bits == 2**16 and dedup.split(many, F.col("h"), full)[0].count() == 40_000
+
+
 def test_secret_scan_is_native_and_shuffles_listed_texts_only(spark):
     given = spark.createDataFrame([(k, "plain words only " * 50 if k else "password = abcdef123") for k in range(200)], "doc_id long, text string")
     plan = physical(secrets.report(given))
