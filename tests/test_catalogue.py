@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.plans import applying, catalogue, further  # noqa: F401 - register their queries
+from kgloom.plans import applying, catalogue, files, further  # noqa: F401 - register their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings")
