@@ -117,3 +117,16 @@ def failed_relations(spark, d):
     rows = _train(spark, d).drop("p").join(nation, "cand").filter("k <> 2").select("p", "rule_ids", "gold")
     known = saved(fired(spark, d).join(nation.filter("k > 1"), "cand").select("p", "rule_id", "conf").distinct(), "known")
     return fit.failed(fit.train(rows, known, "linear", epochs=1, rates=(0.01,)), nation.select("p"))
+
+
+def _bias_sql(name: str, linear: bool) -> str:
+    """A relation of the bias after three steps."""
+    steps, _, _ = _steps_sql(3, linear).rpartition(" select rule_id::bigint")
+    return f", {name} as (with {steps.lstrip(', ')} select any_value(b) as b from x3)"
+
+
+@query(_bias_sql("lin", True) + _bias_sql("sur", False) + " select 0 as run, 'linear' as model, round(b, 6) as bias from lin union all select 1, 'surprisal', round(b, 6) from sur")
+def fit_grid_three_steps(spark, d):
+    """A grid of two models, three steps each, in one scan of the samples: their biases are those of single fits."""
+    found = fit.tuned(_train(spark, d), _rule_table(spark, d), {"model": ["linear", "surprisal"]}, epochs=3, rates=(0.01,))
+    return found.select("run", F.get_json_object("options", "$.model").alias("model"), F.round("bias", 6).alias("bias"))
