@@ -28,6 +28,12 @@ of their intersections (64-bit digests of shingles; a set's own digest has 64 bi
 as well).  A task returns how many links each node has and a spanning forest of
 them.  So no link is lost, every link is counted, and no list of pairs is made.
 
+Chains of unrelated sets that share a signature by a common passage make clusters that grow
+faster than the input.  A cluster whose comparison would be large is therefore cut first:
+its shingles are counted in it, a set's prefix are its rarest ones, one more than it may lack
+in a similar set, and only sets that share a shingle of both prefixes stay together.  Of two
+similar sets the rarest common shingle is in both prefixes, so no link is cut.
+
 Defined results: texts that are null or without a word have 0 shingles and link
 with nothing; fewer words than a shingle has make one shingle of all; rows that
 share a key are rows of their own; null keys do not count for the least key and
@@ -60,6 +66,8 @@ PART_ELEMENTS, LEAST_PARTS = 3_000_000, 32
 TURNS = 8
 #: A cluster has about so many blocks, as far as these bounds of the elements in a block allow.
 BLOCKS, LEAST_BLOCK, MOST_BLOCK = 8, 50_000, 800_000
+#: Clusters of more elements times sets than this are cut by their rarest shingles before they are compared.
+CUT_WORK = 10_000_000
 #: Elements of the blocks that a task is given, about.
 TASK_ELEMENTS = 400_000
 #: Links that a task holds before it contracts them.
@@ -256,10 +264,132 @@ def described(docs: DataFrame, key: str, text: str, width: int) -> tuple[DataFra
 
 
 def clustered(given: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """``node, root`` of the nodes that share a signature with another, directly or over others."""
+    """``node, n, sha, cluster`` of the nodes that share a signature with another, directly or over others; large clusters are cut."""
     count, elements = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequent = frequent_shingles(given, width, count)
-    return components(saved(meetings(given, width, percent, frequent, max(LEAST_PARTS, elements // PART_ELEMENTS)), "met"))
+    met = components(saved(meetings(given, width, percent, frequent, max(LEAST_PARTS, elements // PART_ELEMENTS)), "met"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("sha").alias("sha"))
+    chosen = saved(nodes.join(met.withColumnRenamed("root", "cluster"), "node").select("node", "n", "sha", "cluster"), "chosen")
+    large = saved(chosen.groupBy("cluster").agg(F.sum("n").alias("e"), F.count("*").alias("m")).filter(F.col("e") * F.col("m") > CUT_WORK).select("cluster"), "large")
+    if large.isEmpty():
+        return chosen
+    inside = saved(chosen.join(large, "cluster", "left_semi"), "inside")
+    apart = components(saved(prefix_meetings(given, inside, width, percent), "prefixes"))
+    cut = inside.drop("cluster").join(apart.withColumnRenamed("root", "cluster"), "node").select(*chosen.columns)
+    return saved(chosen.join(large, "cluster", "left_anti").unionByName(cut), "cut")
+
+
+def texts_of(given: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``sha, t`` of the digests of a saved table, and some more; a Bloom filter keeps others out of the shuffle."""
+    return split(given, F.col("sha"), filter_of(chosen, "sha", least=1))[0].groupBy("sha").agg(F.first("t").alias("t"))
+
+
+def dealt(key: np.ndarray, node: np.ndarray, parts: int):
+    """Batches ``part, node, many, key`` of keys by part: each node once, the number of its keys, and these."""
+    part = ((key >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((key, node, part))
+    key, node, part = key[order], node[order], part[order]
+    new = np.ones(len(node), bool)
+    new[1:] = (node[1:] != node[:-1]) | (part[1:] != part[:-1])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(node))).astype("<u4")
+    ends, at = np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(part[first], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(ends)).tolist():
+        cols = ([p], [node[first[at[p] : at[p + 1]]].tobytes()], [many[at[p] : at[p + 1]].tobytes()], [key[ends[p] : ends[p + 1]].tobytes()])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "node", "many", "key"])
+
+
+def gathered(batches) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and nodes of all batches of :func:`dealt`."""
+    keys, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for cols in slices(batches):
+        for _, n, many, k in zip(*cols, strict=True):
+            keys.append(np.frombuffer(k, np.uint64))
+            nodes.append(np.repeat(np.frombuffer(n, np.int64), np.frombuffer(many, "<u4")))
+    return np.concatenate(keys), np.concatenate(nodes)
+
+
+def prefix_meetings(given: DataFrame, inside: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that connect the nodes of each cluster of ``inside`` which share a shingle of both their prefixes.
+
+    Shingles are ordered by how many sets of the cluster have them, then by digest.  A task
+    of the first shuffle counts a part of the shingles; the second one brings a node's together,
+    without those that no other set has, of which the number is enough; the third one the prefixes by shingle.
+    """
+    parts = max(LEAST_PARTS, (inside.agg(F.sum("n")).first()[0] or 0) // PART_ELEMENTS)
+
+    def flushed(sets):
+        keys, nodes, held = [], [], 0
+        for key, node in sets:
+            keys.append(key)
+            nodes.append(node)
+            held += len(key)
+            if held > FLUSH:
+                yield from dealt(np.concatenate(keys), np.concatenate(nodes), parts)
+                keys, nodes, held = [], [], 0
+                release()
+        if held:
+            yield from dealt(np.concatenate(keys), np.concatenate(nodes), parts)
+
+    def deal(batches):
+        def sets():
+            for batch in batches:
+                for at, texts in chunks(batch.column(2), SLICE):
+                    doc, digest = shingle_sets(texts, width)
+                    cluster, node = (batch.column(c).slice(at, len(texts)).to_numpy() for c in (0, 1))
+                    yield mix(digest ^ mix(cluster.astype(np.int64).view(np.uint64))[doc]), node[doc]
+
+        yield from flushed(sets())
+
+    def count(batches):
+        key, node = gathered(batches)
+        at, many = np.unique(key, return_inverse=True, return_counts=True)[1:]
+        many = many[at].astype("<u4")
+        order = np.argsort(node, kind="stable")
+        key, node, many = key[order], node[order], many[order]
+        cuts = np.flatnonzero(np.diff(node, prepend=node[:1] - 1, append=node[-1:] + 1)) if len(node) else np.zeros(1, np.int64)
+        for x in range(0, len(cuts) - 1, 256):
+            rows = []
+            for y, z in zip(cuts[x : x + 256].tolist(), cuts[x + 1 : x + 257].tolist(), strict=False):
+                shared = many[y:z] > 1
+                rows.append((int(node[y]), int(z - y - shared.sum()), key[y:z][shared].tobytes(), many[y:z][shared].tobytes()))
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["node", "alone", "key", "many"])
+
+    def prefix(batches):
+        def closed(node, alone, keys, many):
+            key, many = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(many), "<u4")
+            size = alone + len(key)
+            length = size - -(-percent * size // 100) + 1 - alone
+            first = np.lexsort((key, many))[: max(0, length)]
+            return key[first], np.full(len(first), node)
+
+        def sets():
+            held = None
+            for cols in slices(batches):
+                for node, alone, key, many in zip(*cols, strict=True):
+                    if held is None or held[0] != node:
+                        if held is not None:
+                            yield closed(*held)
+                        held = [node, 0, [], []]
+                    held[1] += alone
+                    held[2].append(key)
+                    held[3].append(many)
+            if held is not None:
+                yield closed(*held)
+
+        yield from flushed(sets())
+
+    def meet(batches):
+        a, b = forest(*stars(*gathered(batches))[:2])
+        for x in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[x : x + 100_000]), pa.array(b[x : x + 100_000])], ["a", "b"])
+
+    schema = "part int, node binary, many binary, key binary"
+    sent = texts_of(given, inside).join(inside, "sha").select("cluster", "node", "t").mapInArrow(deal, schema)
+    counted = sent.repartitionById(parts, "part").mapInArrow(count, "node long, alone long, key binary, many binary")
+    first = counted.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(prefix, schema)
+    return first.repartitionById(parts, "part").mapInArrow(meet, "a long, b long")
 
 
 def meetings(given: DataFrame, width: int, percent: int, frequent: np.ndarray | None, parts: int) -> DataFrame:
@@ -343,22 +473,18 @@ def meetings(given: DataFrame, width: int, percent: int, frequent: np.ndarray |
     return sent.repartitionById(parts, "part").mapInArrow(meet, "a long, b long")
 
 
-def in_blocks(given: DataFrame, rows: DataFrame, clusters: DataFrame, width: int, compare, schema: str) -> DataFrame:
-    """What ``compare`` yields for the sets of clusters (``node, root``), which it gets in groups to compare.
+def in_blocks(given: DataFrame, chosen: DataFrame, width: int, compare, schema: str) -> DataFrame:
+    """What ``compare`` yields for the sets of clusters (of :func:`clustered`), which it gets in groups to compare.
 
     A cluster is cut into blocks by a hash of the nodes; each pair of blocks, and each
     block with itself, is a group.  ``compare`` takes lists ``cut, nodes, texts`` of groups:
     the nodes before ``cut`` are to be compared with those from it on, all with each other if it is 0.
-    The texts are fetched by digest, with a Bloom filter that keeps all others out of the shuffle.
     """
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("sha").alias("sha"))
-    chosen = saved(nodes.join(clusters.withColumnRenamed("root", "cluster"), "node"), "chosen")
     size = F.sum("n")
     each = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), size / BLOCKS))
     sizes = chosen.groupBy("cluster").agg(F.ceil(size / each).cast("int").alias("blocks"))
     placed = chosen.join(sizes, "cluster").select("sha", "node", "n", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    found = split(given, F.col("sha"), filter_of(chosen, "sha", least=1))[0]
-    texts = saved(found.groupBy("sha").agg(F.first("t").alias("t")).join(placed, "sha").select("cluster", "blocks", "block", "node", "n", "t"), "texts")
+    texts = saved(texts_of(given, chosen).join(placed, "sha").select("cluster", "blocks", "block", "node", "n", "t"), "texts")
     parts = max(1, (texts.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // TASK_ELEMENTS)  # what all groups have
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "t")
@@ -418,7 +544,7 @@ def matches(groups, width: int, percent: int):
                 yield name[hit], np.full(len(hit), name[y])
 
 
-def linked(given: DataFrame, rows: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
+def linked(given: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
     """``a, b, n`` of all similar pairs of nodes: links ``a, b`` that span them, and with null ``b`` how many ``n`` the node ``a`` has in a group."""
 
     def compare(groups):
@@ -443,7 +569,7 @@ def linked(given: DataFrame, rows: DataFrame, clusters: DataFrame, width: int, p
             node, n = np.unique(np.concatenate(ends), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(n)], ["a", "b", "n"])
 
-    return saved(in_blocks(given, rows, clusters, width, compare, "a long, b long, n long"), "links")
+    return saved(in_blocks(given, clusters, width, compare, "a long, b long, n long"), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -457,7 +583,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     several rows, so that rows equal in key and text may all be marked.
     """
     given, rows = described(docs, key, text, width)
-    links = linked(given, rows, clustered(given, rows, width, percent), width, percent)
+    links = linked(given, clustered(given, rows, width, percent), width, percent)
     reached = components(links.filter("b is not null"))
     counts = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "node")
 
@@ -503,7 +629,7 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
         for a, b in matches(groups, width, percent):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    pairs = saved(in_blocks(given, rows, clustered(given, rows, width, percent), width, compare, "a long, b long"), "pairs")
+    pairs = saved(in_blocks(given, clustered(given, rows, width, percent), width, compare, "a long, b long"), "pairs")
     least = saved(rows.filter("n > 0").groupBy("node").agg(F.min("k").alias("k")), "least")
     for side in "ab":
         pairs = pairs.join(least.select(F.col("node").alias(side), F.col("k").alias(f"key_{side}")), side)

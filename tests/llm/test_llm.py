@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgloom.llm import bpe, components, dedup, jaccard, langid, matroska, packing, queries, secrets, sharding, urls, warc
@@ -498,6 +499,33 @@ def test_jaccard_join_counts_every_link(spark, monkeypatch, least, held):
     assert sum(links.values()) == 2 * len(want) > 2 * len(classes)
 
 
+def test_jaccard_join_cuts_chains_of_unrelated_sets(spark, monkeypatch):
+    """Pairs of near copies that a passage chains to one cluster are compared apart, and no link is lost."""
+    monkeypatch.setattr(jaccard, "CUT_WORK", 0)
+    passage = words(700, 12)
+    rows = []
+    for k in range(30):
+        text = passage + words(710 + k, 80)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text[:-2], "changed"]))]
+    rows += [(60, " ".join(passage)), (61, " ".join(words(790, 3)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    chain = lambda given, *_: jaccard.described(docs, "doc_id", "text", 5)[1].select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy()).alias("b")).filter("a > b")
+    monkeypatch.setattr(jaccard, "meetings", chain)
+    given, sets = jaccard.described(docs, "doc_id", "text", 5)
+    sizes = jaccard.clustered(given, sets, 5, 80).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in sizes) == [2] * 30
+    got = jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(brute_components(rows))
+    assert {r.doc_id: r.n_links for r in got} == {k: int(k < 60) for k in range(62)}
+
+
+@pytest.mark.parametrize("part", [1_000, jaccard.PART_ELEMENTS])
+def test_jaccard_join_of_cut_clusters_counts_every_link(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "CUT_WORK", 0)
+    monkeypatch.setattr(jaccard, "PART_ELEMENTS", part)
+    test_jaccard_join_counts_every_link(spark, monkeypatch, 300, 20)
+
+
 def test_matroska_times_of_laced_frames():
     found = matroska.read_packets(matroska.mux_samples(bytes(20 * 1024 + 64)))
     assert [p.timestamp_ns for p in found] == [n * 128_000_000 for n in range(21)] and {p.codec for p in found} == {"A_PCM/INT/LIT"}
