@@ -160,22 +160,36 @@ def reached(nodes: DataFrame, ways: DataFrame, edges: DataFrame, queries: DataFr
 
 def fired(rules: DataFrame, triples: DataFrame, queries: DataFrame, least_hot: int | None = None) -> DataFrame:
     """``direction, p, q, cand, rule_id`` of all rules (``rule_id, rule``) and queries (``direction, p, q``)."""
-    found = saved(chains(rules.select("rule_id", "rule")), "chains")
+    found = saved(chains(rules.select("rule_id", "rule").distinct()), "chains")
     bad = found.filter(~F.col("ok")).select("rule_id", "rule").limit(5).collect()
     if bad:
         raise ValueError(f"rules whose body is no chain: {', '.join(f'{r.rule_id}: {r.rule}' for r in bad)}")
+    once = found.groupBy("rule_id").count().filter("count > 1").isEmpty()
     nodes, ways = trie(oriented(found))
     edges = saved(_edges(triples, nodes, ways), "edges")
-    got = reached(nodes, ways, edges, queries, least_hot)
-    asked = queries.select("direction", "p", "q").distinct()
+    asked = saved(queries.select("direction", "p", "q").distinct(), "asked")
+    got = reached(nodes, ways, edges, asked, least_hot)
     own = ways.filter("begin = 'query' and node is not null").drop("q", "begin", "seed", "first")
-    from_query = got.join(own, "node").filter("target is null or to = target").select("direction", "p", F.col("x").alias("q"), F.when(F.col("answer") == "=", F.col("x")).otherwise(F.coalesce("answer", "to")).alias("cand"), "rule_id")
-    from_query = from_query.join(asked, ["direction", "p", "q"], "left_semi")
+    # what a query reached, before the rules are put to it: there are many rules to an end
+    mine = got.join(own.select("node", "direction", "p").distinct(), "node").join(asked.withColumnRenamed("q", "x"), ["direction", "p", "x"], "left_semi")
+    from_query = ended(mine, own, ["node", "direction", "p"]).select("direction", "p", F.col("x").alias("q"), F.when(F.col("answer") == "=", F.col("x")).otherwise(F.coalesce("answer", "to")).alias("cand"), "rule_id")
     rest = ways.filter("begin <> 'query'").join(asked, ["direction", "p", "q"], "left_semi").select("node", F.col("seed").alias("x"), "direction", "p", "q", "rule_id")
     from_seed = got.join(rest.filter("x is not null"), ["node", "x"]).unionByName(got.drop("x").join(rest.filter("x is null"), "node"))
     bare = ways.filter("node is null").join(asked.withColumnRenamed("q", "_q"), ["direction", "p"]).select("direction", "p", F.col("_q").alias("q"), F.col("answer").alias("cand"), "rule_id")
     every = from_query.unionByName(from_seed.select("direction", "p", "q", F.col("to").alias("cand"), "rule_id")).unionByName(bare)
-    return every.distinct()
+    return every if once else every.distinct()  # a rule has one way a direction, and a way reaches an end once
+
+
+def of_asked(known: DataFrame, queries: DataFrame) -> DataFrame:
+    """The known answers of relations that queries ask about; these, a few, become a constant filter that drops the scans of all others."""
+    asked = [r.p for r in queries.select("p").distinct().limit(MAX_READINGS + 1).collect()]
+    return known.filter(F.col("p").isin(asked)) if len(asked) <= MAX_READINGS else known
+
+
+def ended(got: DataFrame, ways: DataFrame, keys: list[str]) -> DataFrame:
+    """``got`` (``keys``, ``to`` and others) with the ways that end there; a way's ``target`` is a key of the join, so ways to other constants yield no rows."""
+    fixed = got.join(ways.filter("target is not null").withColumn("to", F.col("target")), [*keys, "to"])
+    return fixed.unionByName(got.join(ways.filter("target is null"), keys))
 
 
 def apply_rules(
@@ -200,6 +214,7 @@ def apply_rules(
     found = fired(active, triples, queries)
     keys = ["direction", "p", "q"]
     if known is not None:
+        known = of_asked(known, queries)
         if target is not None:
             given = queries.select(*keys, F.col(target).alias("_target")).distinct()
             exempt = found.join(given.withColumnRenamed("_target", "cand"), [*keys, "cand"], "left_semi")

@@ -154,3 +154,16 @@ def test_hubs_are_dealt_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(tasks) == 8 and max(tasks) <= 2 * sorted(tasks)[4]
+
+
+def test_rules_to_other_constants_and_answers_of_other_relations_yield_no_rows(spark):
+    """A place with many rules to different constants is joined by the constant; known answers of relations that nobody asks about are not read."""
+    got = spark.createDataFrame([(1, "e1", "c7"), (2, "e1", "c7")], "node long, x string, to string")
+    ways = spark.createDataFrame([(1, n, f"c{n}") for n in range(50)] + [(2, 99, None)], "node long, rule_id long, target string")
+    found = ruleset.ended(got, ways, ["node"])
+    assert sorted((r.node, r.x, r.to, r.rule_id) for r in found.collect()) == [(1, "e1", "c7", 7), (2, "e1", "c7", 99)]
+    assert " OR " not in found._jdf.queryExecution().optimizedPlan().toString()
+    queries = spark.createDataFrame([("tail", "a", "x")], "direction string, p string, q string")
+    part = lambda p, n: spark.range(n).select(F.lit("tail").alias("direction"), F.lit(p).alias("p"), F.col("id").cast("string").alias("q"), F.lit("y").alias("a"))
+    known = ruleset.of_asked(part("a", 3).unionByName(part("b", 5)), queries)
+    assert known.count() == 3 and known._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1
