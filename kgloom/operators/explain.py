@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import saved
-from .ruleset import DANGLING, _edges, _turned, chains, oriented, reached, trie
+from .ruleset import DANGLING, _edges, _turned, chains, ended, oriented, reached, trie
 from .skew import hub_join
 
 
@@ -57,7 +57,7 @@ def explained(rules: DataFrame, triples: DataFrame, targets: DataFrame, least_ho
     test = ways.filter("part = 'test'").select("rule_id", "p", "direction", "node", "target", "answer")
     given = asked.select("p", F.explode(F.array(F.struct(F.lit("tail").alias("direction"), F.col("s").alias("x"), F.col("o").alias("answer")), F.struct(F.lit("head").alias("direction"), F.col("o").alias("x"), F.col("s").alias("answer")))).alias("t")).select("p", "t.*")
     own = lambda df: df.withColumn("answer", F.when(F.col("answer") == "=", F.col("x")).otherwise(F.col("answer")))
-    walked = own(got.join(test.filter("node is not null"), "node").filter("target is null or to = target")).select("rule_id", "p", "direction", "x", "answer")
+    walked = own(ended(got, test.filter("node is not null"), ["node"])).select("rule_id", "p", "direction", "x", "answer")
     bare = test.filter("node is null").join(given, ["p", "direction", "answer"]).select("rule_id", "p", "direction", "x", "answer")
     tested = walked.join(given, ["p", "direction", "x", "answer"], "left_semi").unionByName(bare)
     head = F.col("direction") == "head"
