@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import saved
+from .skew import hub_join
 
 #: Rule tables of at most so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_RULES = 100_000
+#: A key of a step with more pairs of rows than this is dealt over several tasks.
+MOST_PAIRS = 2_000_000
 #: Readings of relations of which at most so many become a filter of the scans.
 MAX_READINGS = 10_000
 
@@ -59,11 +63,14 @@ def cyclic(rules: DataFrame, triples: DataFrame, length: int, queries: DataFrame
             step = step if queries is None else step.join(queries.select("x").distinct(), "x", "left_semi")
             out = step.join(_few(rules), ["rel1", "inv1"])
         else:
-            out = out.withColumnRenamed("_to", "_at").join(step, [f"rel{n}", f"inv{n}", "_at"])
+            before = saved(out.withColumnRenamed("_to", "_at").distinct(), f"step{n - 1}")
+            if n == length:  # entities with one way on reach nothing twice
+                many = saved(before.groupBy("rule_id", "x").agg(F.count("*").alias("n")).filter("n > 1").select("rule_id", "x"), "several")
+                once = many.isEmpty()
+            out = hub_join(before, saved(step.distinct(), f"edges{n}"), [f"rel{n}", f"inv{n}", "_at"], most_pairs=MOST_PAIRS)
         out = out.select("rule_id", *[c for m in range(n + 1, length + 1) for c in (f"rel{m}", f"inv{m}")], "x", "_to")
-        if 1 < n < length:
-            out = out.distinct()  # several groundings
-    return out.select("rule_id", "x", F.col("_to").alias("y")).distinct()
+    found = out.select("rule_id", "x", F.col("_to").alias("y"))
+    return found if length > 1 and once else found.distinct()
 
 
 def with_constant(rules: DataFrame, triples: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LEAST_HOT = 20_000
 
 
-def hub_join(left: DataFrame, right: DataFrame, keys: list[str], least_hot: int = LEAST_HOT) -> DataFrame:
+def hub_join(left: DataFrame, right: DataFrame, keys: list[str], least_hot: int = LEAST_HOT, most_pairs: int | None = None) -> DataFrame:
     """The inner join of two saved tables on ``keys``, each key's rows in tasks of a bounded share.
 
     Light keys meet by hash as they are.  A key is heavy if it has more rows on one side than
@@ -17,13 +17,21 @@ def hub_join(left: DataFrame, right: DataFrame, keys: list[str], least_hot: int
     partition and side, and the table of heavy keys is broadcast.  The left rows of a heavy key
     are dealt into as many lots as they fill such quarters, and so are its right rows; every
     pair of lots is joined in a place of its own, which copies a lot of one side once for each
-    lot of the other.
+    lot of the other.  With ``most_pairs`` a key is heavy too if it has more pairs of rows than that, and its left
+    rows are dealt into so many lots that no place has many more; the result has that many pairs for each such key.
     """
     spark = left.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     quarter = [max(least_hot, -(-side.count() // (4 * tasks))) for side in (left, right)]
     lots = [side.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > q).select(*keys, F.ceil(F.col("n") / q).cast("int").alias(f"_lots_{name}")) for side, q, name in zip((left, right), quarter, "lr", strict=True)]
     heavy = lots[0].join(lots[1], keys, "full").fillna(1, ["_lots_l", "_lots_r"])  # four a partition and side at most
+    if most_pairs is not None:
+        n = [side.groupBy(*keys).agg(F.count("*").alias(f"_{name}")) for side, name in ((left, "l"), (right, "r"))]
+        pairs = n[0].join(n[1], keys).filter(F.col("_l") * F.col("_r") > most_pairs)
+        wide = pairs.join(heavy, keys, "left").fillna(1, ["_lots_l", "_lots_r"])
+        needed = F.least(F.col("_l"), F.ceil(F.col("_l") * F.col("_r") / (F.col("_lots_r") * most_pairs)))
+        wide = wide.select(*keys, F.greatest(F.col("_lots_l").cast("long"), needed).cast("int").alias("_lots_l"), "_lots_r")
+        heavy = wide.unionByName(heavy.join(wide, keys, "left_anti"))
     if not heavy.take(1):
         return left.join(right, keys)
     heavy = F.broadcast(heavy)

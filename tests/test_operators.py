@@ -118,3 +118,25 @@ def test_nested_json_is_read_back(spark):
     df = spark.createDataFrame(rows, "direction string, p string, q string, cand string, rule_ids array<int>")
     back = formats.flattened(formats.nested(df).select(F.col("json").alias("value")))
     assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, rows))
+
+
+def test_cyclic_rules_deal_keys_with_many_pairs(spark, monkeypatch):
+    """Pairs over a node with many neighbours come from several tasks, each pair once, as do those of entities with two ways on."""
+    from kgloom.operators import apply, skew
+
+    monkeypatch.setattr(apply, "MOST_PAIRS", 50)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        side = spark.range(60).select(F.lit("hub").alias("k"), F.col("id").alias("a"))
+        met = skew.hub_join(side, side.withColumnRenamed("a", "b"), ["k"], most_pairs=50)
+        tasks = met.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in tasks) == 3600 and len(tasks) > 2 and met.distinct().count() == 3600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows = [(f"x{n}", "b", "n1") for n in range(40)] + [(f"x{n}", "b", "n2") for n in range(5)] + [("x0", "b", "n1")]
+    for some in (rows, rows[:40]):
+        triples = spark.createDataFrame(some, "s string, p string, o string")
+        rules = spark.createDataFrame([(1, "b", False, "b", True)], "rule_id int, rel1 string, inv1 boolean, rel2 string, inv2 boolean")
+        want = {(a, c) for a, _, n in some for c, _, m in some if n == m}
+        got = [(r.x, r.y) for r in apply.cyclic(rules, triples, 2).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
