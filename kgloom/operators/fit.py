@@ -231,6 +231,15 @@ def _whole(runs: list[Setting], every: int):
 _OUT = ("run", "p", "epoch", "a", "b", "original", "trained")
 
 
+def _in_batches(lists: DataFrame, batch: int) -> DataFrame:
+    """``lists``, numbered as ``n``, with the ``batch`` of each within its relation.
+
+    The first number of each relation is broadcast (relations that the driver holds anyway); by a shuffle all samples of a relation would meet in one task.
+    """
+    begins = lists.groupBy("p").agg(F.min("n").alias("_first"))
+    return lists.join(F.broadcast(begins), "p").withColumn("batch", F.floor((F.col("n") - F.col("_first")) / batch).cast("int"))
+
+
 def _distributed(lists: DataFrame, given: DataFrame, runs: list[Setting], every: int, kind: str) -> DataFrame:
     """The same rows for relations of any size, a job a step."""
     spark = lists.sparkSession
@@ -265,9 +274,7 @@ def _distributed(lists: DataFrame, given: DataFrame, runs: list[Setting], every:
     if batch:  # numbered over all relations, then from each relation's first
         from .graph import numbered
 
-        lists = saved(numbered(lists, [F.col("p"), F.col("ord")], "n"), "ordered")
-        begins = lists.groupBy("p").agg(F.min("n").alias("_first"))
-        lists = lists.join(begins, "p").withColumn("batch", F.floor((F.col("n") - F.col("_first")) / batch).cast("int"))
+        lists = _in_batches(saved(numbered(lists, [F.col("p"), F.col("ord")], "n"), "ordered"), batch)
     else:
         lists = lists.withColumn("batch", F.lit(0))
     table = lists.select("p", "batch", "ids", "pos", "neg").mapInArrow(prepare, "rel int, batch int, rules array<int>, pairs array<int>, pos double, neg double")
