@@ -125,7 +125,7 @@ def dot_topk(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id"
 
     Both sides are dealt into blocks of about ``block`` vectors.  Each pair of blocks is one matrix product in one
     task, which keeps the first k of each query; only these meet, so no row for a pair of vectors
-    exists.  Null vectors match nothing, others those of their length.
+    exists.  Null vectors match nothing, others those of their length; NaN is the largest score, as in SQL.
     """
     import numpy as np
     import pyarrow as pa
@@ -134,12 +134,12 @@ def dot_topk(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id"
     many = [max(1, -(-df.count() // block)) for df in (queries, vectors)]
 
     def dealt(df: DataFrame, own: int, name: str, other: int, other_name: str) -> DataFrame:
-        rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+        rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
         return rows.withColumn("_d", F.size("v")).withColumns({name: F.pmod(F.xxhash64("k"), F.lit(own)).cast("int"), other_name: F.explode(F.sequence(F.lit(0), F.lit(other - 1)))})
 
     def matrix(group):
         v = group.column("v").combine_chunks()
-        return group.column("k").combine_chunks(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1 if len(v.flatten()) else 0)
+        return group.column("k").combine_chunks(), v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1 if len(v.flatten()) else 0)
 
     def product(left, right):
         (q, a), (c, b) = matrix(left), matrix(right)
@@ -147,13 +147,18 @@ def dot_topk(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id"
         if not len(q) or not len(c):
             return pa.table([q.slice(0, 0), c.slice(0, 0), pa.array([], pa.float64())], names=names)
         order = np.argsort(c.to_numpy(zero_copy_only=False), kind="stable")
-        rows, columns, scores = [], [], []
+        b, rows, columns, scores = b[order], [], [], []
         for begin in range(0, len(q), 512):
-            dots = np.round(a[begin : begin + 512] @ b[order].T, 6)
-            first = np.argsort(-dots, axis=1, kind="stable")[:, :k]
-            rows.append(np.repeat(np.arange(begin, begin + len(dots)), first.shape[1]))
-            columns.append(order[first].reshape(-1))
-            scores.append(np.take_along_axis(dots, first, 1).reshape(-1))
+            dots = np.round(a[begin : begin + 512] @ b.T, 6)
+            least = np.partition(dots, -k, axis=1)[:, -k, None] if k < dots.shape[1] else -np.inf
+            row, at = np.nonzero(~(dots < least))  # the first k and all that tie with the last of them, by row and then by candidate
+            score = dots[row, at]
+            best = np.lexsort((-np.where(np.isnan(score), np.inf, score), row))
+            row = row[best]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            rows.append(begin + row[kept])
+            columns.append(order[at[best][kept]])
+            scores.append(score[best][kept])
         return pa.table([q.take(pa.array(np.concatenate(rows))), c.take(pa.array(np.concatenate(columns))), pa.array(np.concatenate(scores))], names=names)
 
     one, two = dealt(queries, many[0], "_a", many[1], "_b"), dealt(vectors, many[1], "_b", many[0], "_a")
