@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..store import saved
+from .skew import dealt, tasks_of
 
 #: Relation, table, prefix and column of the subject, prefix and column of the object.
 PROJECTION = (
@@ -49,6 +50,11 @@ def project(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] | None
     return projected(spark, sf_dir, relations).distinct()
 
 
+def by_subject(triples: DataFrame, tasks: int | None) -> DataFrame:
+    """``triples``, each once, dealt by subject, so that joins and groups by subject add no shuffle."""
+    return dealt(triples, tasks, "s").distinct()
+
+
 def in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``s, p, o, rel, at`` of the tables' rows: the number of the relation, and what orders its rows."""
     out = None
@@ -90,11 +96,15 @@ def first_seen_dictionary(rows: DataFrame, order: list[str]) -> DataFrame:
     return numbered(first, [F.col("at")], "id").select("id", "token")
 
 
-def encode(triples: DataFrame, entities: DataFrame, relations: DataFrame, strict: bool = False) -> DataFrame:
-    """``s, p, o`` as ids.  Unknown tokens drop the row, or are an error with ``strict``."""
+def encode(triples: DataFrame, entities: DataFrame, relations: DataFrame, strict: bool = False, tasks: int | None = None) -> DataFrame:
+    """``s, p, o`` as ids.  Unknown tokens drop the row, or are an error with ``strict``.
+
+    Triples that come from :func:`by_subject` are shuffled once more, by object, into ``tasks`` partitions.
+    """
     how = "left" if strict else "inner"
     out = triples
     for column, ids in (("s", entities), ("p", relations), ("o", entities)):
+        out = out if column != "o" or tasks is None else dealt(out, tasks, "o")
         out = out.join(ids.select(F.col("token").alias(column), F.col("id").alias(f"_{column}")), column, how)
 
     def value(column):
@@ -110,6 +120,22 @@ def without_unseen(rows: DataFrame, train: DataFrame) -> DataFrame:
     return rows.join(ents.withColumnRenamed("token", "s"), "s", "left_semi").join(ents.withColumnRenamed("token", "o"), "o", "left_semi").join(train.select("p").distinct(), "p", "left_semi").select("s", "p", "o")
 
 
+def index(triples: DataFrame, *figures) -> DataFrame:
+    """``direction, p, q`` and ``figures``, aggregates over the answers ``a``, of both completion queries of each triple.
+
+    ``triples`` are those of :func:`by_subject`: the tail queries need no shuffle, the head queries one of partial figures.
+    """
+    sides = [triples.select(F.lit(side).alias("direction"), "p", F.col(q).alias("q"), F.col(a).alias("a")).groupBy("p", "q").agg(*figures).select(F.lit(side).alias("direction"), "*") for side, q, a in (("tail", "s", "o"), ("head", "o", "s"))]
+    return sides[0].unionByName(sides[1])
+
+
+def sizes(triples: DataFrame) -> DataFrame:
+    """``p, n, subjects, objects`` of triples as of :func:`by_subject`: how many triples each relation has, and different ends."""
+    subjects = triples.groupBy("p", "s").agg(F.count("*").alias("n")).groupBy("p").agg(F.sum("n").alias("n"), F.count("s").alias("subjects"))
+    objects = triples.select("p", "o").distinct().groupBy("p").agg(F.count("o").alias("objects"))
+    return subjects.join(objects, "p")  # a row for each relation
+
+
 def answers(triples: DataFrame) -> DataFrame:
     """Both completion queries of each triple: ``direction, p, q, a``."""
     tail = triples.select(F.lit("tail").alias("direction"), "p", F.col("s").alias("q"), F.col("o").alias("a"))

@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a task of a dealt table has about, from where the session's partitions do not suffice.
+ROWS_A_TASK = 2_000_000
 #: A key is hot from so many rows of one side on.
 LEAST_HOT = 20_000
 
 
+def tasks_of(rows: DataFrame) -> int | None:
+    """How many partitions hold about ``ROWS_A_TASK`` of the rows each; None if those that the session sets do."""
+    needed = -(-rows.count() // ROWS_A_TASK)
+    return needed if needed > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys``, unreduced: what later steps group or join by these keys, or group by more, needs no other shuffle."""
+    return rows.repartition(*keys) if tasks is None else rows.repartition(tasks, *keys)
+
+
 def hub_join(left: DataFrame, right: DataFrame, keys: list[str], least_hot: int = LEAST_HOT, most_pairs: int | None = None) -> DataFrame:
     """The inner join of two saved tables on ``keys``, each key's rows in tasks of a bounded share.
 

@@ -72,7 +72,8 @@ def long(c):
 
 @query("select p, count(*) as n, count(distinct s) as subjects, count(distinct o) as objects from triples group by p")
 def kg_projection_counts(spark, d):
-    return graph.project(spark, d).groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
+    rows = graph.projected(spark, d)
+    return graph.sizes(graph.by_subject(rows, graph.tasks_of(rows)))
 
 
 @query("select row_number() over (order by token) - 1 as id, token from (select s as token from triples union select o from triples)")
@@ -92,9 +93,10 @@ def kg_entity_dict_first_seen(spark, d):
 @query(", part_of as (select * from triples where p not in ('supplied_by', 'has_type')), e as (select row_number() over (order by token) - 1 as id, token from (select s as token from part_of union select o from part_of)), r as (select row_number() over (order by p) - 1 as id, p from (select distinct p from part_of)) select a.id as s, r.id as p, b.id as o from triples t join e a on a.token = t.s join r on r.p = t.p join e b on b.token = t.o")
 def kg_encode(spark, d):
     """Lenient: all triples by dictionaries that lack two relations and their own tokens."""
-    some = graph.project(spark, d).filter("p not in ('supplied_by', 'has_type')")
+    rows = graph.projected(spark, d)
+    some, tasks = rows.filter("p not in ('supplied_by', 'has_type')"), graph.tasks_of(rows)
     relations = graph.numbered(some.select("p").distinct(), [F.col("p")], "id").withColumnRenamed("p", "token")
-    return graph.encode(graph.project(spark, d), graph.sorted_dictionary(some), relations)
+    return graph.encode(graph.by_subject(rows, tasks), graph.sorted_dictionary(some), relations, tasks=tasks)
 
 
 @query("select 'o:' || cast(q as varchar) as s, 'shipped_by' as p, 's:' || cast(a as varchar) as o from shipped where part = 0 and q in (select q from shipped where part > 1) and a in (select a from shipped where part > 1)")
@@ -105,7 +107,8 @@ def kg_split_without_unseen(spark, d):
 
 @query(", a as (select 'tail' as direction, p, s as q, o as a from triples union select 'head', p, o, s from triples) select direction, p, q, count(*) as n, min(a) as first, max(a) as last from a group by all")
 def kg_sp_index(spark, d):
-    return graph.answers(graph.project(spark, d)).groupBy("direction", "p", "q").agg(F.count("*").alias("n"), F.min("a").alias("first"), F.max("a").alias("last"))
+    rows = graph.projected(spark, d)
+    return graph.index(graph.by_subject(rows, graph.tasks_of(rows)), F.count("*").alias("n"), F.min("a").alias("first"), F.max("a").alias("last"))
 
 
 @query("select r.p, count(t.s) as n from (select distinct p from triples) r left join (select * from triples where (length(s) * 7 + length(o)) % 5 = 0 and p not in ('in_region', 'has_brand')) t using (p) group by r.p")
@@ -125,14 +128,16 @@ def kg_eval_keys(spark, d):
 
 @query(", e as (select row_number() over (order by token) - 1 as id, token from (select s as token from triples union select o from triples)), r as (select row_number() over (order by p) - 1 as id, p from (select distinct p from triples)) select a.id as s, r.id as p, b.id as o from triples t join e a on a.token = t.s join r on r.p = t.p join e b on b.token = t.o")
 def kg_encode_all(spark, d):
-    t = graph.project(spark, d)
-    relations = graph.numbered(t.select("p").distinct(), [F.col("p")], "id").withColumnRenamed("p", "token")
-    return graph.encode(t, graph.sorted_dictionary(t), relations, strict=True)
+    rows = graph.projected(spark, d)
+    tasks = graph.tasks_of(rows)
+    relations = graph.numbered(rows.select("p").distinct(), [F.col("p")], "id").withColumnRenamed("p", "token")
+    return graph.encode(graph.by_subject(rows, tasks), graph.sorted_dictionary(rows), relations, strict=True, tasks=tasks)
 
 
 @query(", a as (select 'tail' as direction, p, s as q, o as a from triples union select 'head', p, o, s from triples) select direction, p, q, count(*) as n from a group by all")
 def kg_sp_index_all(spark, d):
-    return graph.answers(graph.project(spark, d)).groupBy("direction", "p", "q").agg(F.count("*").alias("n"))
+    rows = graph.projected(spark, d)
+    return graph.index(graph.by_subject(rows, graph.tasks_of(rows)), F.count("*").alias("n"))
 
 
 @query(", a as (select 'tail' as direction, p, s as q from triples union select 'head', p, o from triples) select direction, p, count(*) as keys from a group by all")
