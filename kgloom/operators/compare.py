@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import dealt
+
 KEY = ["direction", "p", "q", "cand"]
 
 
@@ -15,10 +17,12 @@ def multiset_difference(left: str, right: str):
     return F.sort_array(F.flatten(surplus))
 
 
-def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+def differences(a: DataFrame, b: DataFrame, tasks: int | None = None) -> DataFrame:
     """Full outer comparison: ``status`` missing (only in a), extra (only in b), mismatch or same, with ``only_a`` and ``only_b``."""
     x = a.select(*KEY, F.col("rule_ids").alias("ra"), F.lit(1).alias("_a"))
     y = b.select(*KEY, F.col("rule_ids").alias("rb"), F.lit(1).alias("_b"))
+    if tasks is not None:
+        x, y = dealt(x, tasks, *KEY), dealt(y, tasks, *KEY)
     both = x.join(y, KEY, "full_outer")
     status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").when(F.col("ra") == F.col("rb"), "same").otherwise("mismatch")
     empty = F.expr("cast(array() as array<int>)")
@@ -65,17 +69,28 @@ def mean_of_top(confs, n: int = 10):
 
 def counts_by_level(a: DataFrame) -> DataFrame:
     """``level, entries, keys``: for the levels direction, relation, query and candidate, the entries and the distinct keys."""
-    rolled = a.rollup(*KEY).agg(F.count("*").alias("n"), F.grouping_id().alias("g")).filter("direction is not null")
-    name = F.create_map(*[F.lit(x) for pair in ((7, "direction"), (3, "relation"), (1, "query"), (0, "candidate")) for x in pair])
-    return rolled.groupBy(name[F.col("g").cast("int")].alias("level")).agg(F.sum("n").alias("entries"), F.count("*").alias("keys"))
+    levels = ("direction", "relation", "query", "candidate")
+    rows = a.filter("direction is not null").groupBy(*KEY).agg(F.count("*").alias("n"), F.lit(1).cast("long").alias("_candidate"))
+    for at in (3, 2, 1):  # each level from the one below, so that no row is copied for each level
+        rows = rows.groupBy(*KEY[:at]).agg(F.sum("n").alias("n"), *[F.sum(f"_{x}").alias(f"_{x}") for x in levels[at:]], F.lit(1).cast("long").alias(f"_{levels[at - 1]}"))
+    rows = rows.select(F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col("n").alias("n"), F.col(f"_{x}").alias("k")) for x in levels])).alias("x"))
+    return rows.groupBy("x.level").agg(F.sum("x.n").alias("entries"), F.sum("x.k").alias("keys"))
+
+
+def _both(a: DataFrame, b: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
+    """``keys, in_a, in_b`` (0 or 1) of both tables' keys, which meet in ``tasks`` partitions."""
+    sides = a.select(*keys, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(b.select(*keys, F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))
+    return (sides if tasks is None else dealt(sides, tasks, *keys)).groupBy(*keys).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+
+
+def _counts(of: DataFrame, what: str) -> DataFrame:
+    number = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return of.agg(number("in_a").alias(f"{what}a"), number("in_b").alias(f"{what}b"), number(F.col("in_a") * F.col("in_b")).alias(f"{what}common"))
 
 
-def summary(a: DataFrame, b: DataFrame) -> DataFrame:
+def summary(a: DataFrame, b: DataFrame, tasks: int | None = None) -> DataFrame:
     """``a, b, common``: how many keys each table has, and both."""
-    sides = a.select(*KEY).distinct().withColumn("s", F.lit(1)).unionByName(b.select(*KEY).distinct().withColumn("s", F.lit(2)))
-    of = sides.groupBy(*KEY).agg(F.sum("s").alias("s"))
-    count = lambda *s: F.count(F.when(F.col("s").isin(*s), 1))
-    return of.agg(count(1, 3).alias("a"), count(2, 3).alias("b"), count(3).alias("common"))
+    return _counts(_both(a, b, KEY, tasks), "")
 
 
 def first_of(rows: DataFrame, n: int, order: list) -> DataFrame:
@@ -95,21 +110,19 @@ def sample_differences(a: DataFrame, b: DataFrame, at: str = "sample") -> DataFr
     return x.join(y, at, "full_outer").select(at, what.alias("what")).filter("what is not null")
 
 
-def report(a: DataFrame, b: DataFrame) -> DataFrame:
+def report(a: DataFrame, b: DataFrame, tasks: int | None = None) -> DataFrame:
     """``section, direction, p, q, cand, only_a, only_b, same_multiset``: all that differs between two applied-rules tables, a row each.
 
     Sections: missing_query, extra_query, missing, extra, rules.
     """
     rules = F.expr("cast(null as array<int>)")
     queries = query_key_differences(a, b).select(F.when(F.col("side") == "a", "missing_query").otherwise("extra_query").alias("section"), "direction", "p", "q", F.lit(None).cast(dict(a.dtypes)["cand"]).alias("cand"), rules.alias("only_a"), rules.alias("only_b"), F.lit(None).cast("boolean").alias("same_multiset"))
-    keys = differences(a, b).filter("status <> 'same'").select(F.when(F.col("status") == "mismatch", "rules").otherwise(F.col("status")).alias("section"), *KEY, "only_a", "only_b", "same_multiset")
+    keys = differences(a, b, tasks).filter("status <> 'same'").select(F.when(F.col("status") == "mismatch", "rules").otherwise(F.col("status")).alias("section"), *KEY, "only_a", "only_b", "same_multiset")
     return queries.unionByName(keys)
 
 
-def report_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+def report_counts(a: DataFrame, b: DataFrame, tasks: int | None = None) -> DataFrame:
     """``target_keys_a, target_keys_b, query_keys_a, query_keys_b, query_keys_both, covers_a``: the head of a comparison report."""
-    keys = summary(a, b)
-    queries = a.select("direction", "p", "q").distinct().withColumn("s", F.lit(1)).unionByName(b.select("direction", "p", "q").distinct().withColumn("s", F.lit(2))).groupBy("direction", "p", "q").agg(F.sum("s").alias("s"))
-    count = lambda *s: F.count(F.when(F.col("s").isin(*s), 1))
-    both = queries.agg(count(1, 3).alias("query_keys_a"), count(2, 3).alias("query_keys_b"), count(3).alias("query_keys_both"))
+    keys = summary(a, b, tasks)
+    both = _counts(_both(a, b, ["direction", "p", "q"], tasks), "query_keys_").withColumnRenamed("query_keys_common", "query_keys_both")
     return keys.crossJoin(both).select(F.col("a").alias("target_keys_a"), F.col("b").alias("target_keys_b"), "query_keys_a", "query_keys_b", "query_keys_both", (F.col("common") == F.col("a")).alias("covers_a"))  # one row each

@@ -42,17 +42,25 @@ COMMON = f"""triples as ({' union '.join(_PARTS)}),
 # The common relations with DataFrames
 
 
-def shipped(spark, d):
-    return graph.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_suppkey").alias("a"), ((F.col("l_orderkey") * 31 + F.col("l_suppkey") * 17) % 10).alias("part")).distinct()
+def line_tasks(spark, d):
+    return graph.tasks_of(graph.read(spark, d, "lineitem"))
 
 
-def fired(spark, d):
+def shipped(spark, d, *by):
+    """The pairs of the lines, each once; dealt by the columns ``by`` if given."""
+    rows = graph.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_suppkey").alias("a"), ((F.col("l_orderkey") * 31 + F.col("l_suppkey") * 17) % 10).alias("part"))
+    return (graph.dealt(rows, line_tasks(spark, d), *by) if by else rows).distinct()
+
+
+def fired(spark, d, *by):
+    """The rules that fire, each once for a query and candidate; dealt by the columns ``by`` if given."""
     n = (F.col("l_partkey") % 50 + 1).cast("int")
-    return graph.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_suppkey").alias("cand"), n.alias("rule_id"), (n.cast("double") / 100).alias("conf")).distinct()
+    rows = graph.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_suppkey").alias("cand"), n.alias("rule_id"), (n.cast("double") / 100).alias("conf"))
+    return (graph.dealt(rows, line_tasks(spark, d), *by) if by else rows).distinct()
 
 
 def applied(spark, d):
-    return fired(spark, d).groupBy("q", "cand").agg(F.sort_array(F.collect_list("rule_id")).alias("rule_ids")).select(F.lit("tail").alias("direction"), F.lit("shipped_by").alias("p"), "q", "cand", "rule_ids")
+    return fired(spark, d, "q", "cand").groupBy("q", "cand").agg(F.sort_array(F.collect_list("rule_id")).alias("rule_ids")).select(F.lit("tail").alias("direction"), F.lit("shipped_by").alias("p"), "q", "cand", "rule_ids")
 
 
 def golds(spark, d):
@@ -553,7 +561,7 @@ _SIDES = """, ra as (select q, cand, list(rule_id order by rule_id) as r from fi
 
 
 def _sides(spark, d):
-    f = fired(spark, d)
+    f = fired(spark, d, "q", "cand")
     make = lambda x: x.groupBy("q", "cand").agg(F.sort_array(F.collect_list("rule_id")).alias("rule_ids")).select(F.lit("tail").alias("direction"), F.lit("shipped_by").alias("p"), "q", "cand", "rule_ids")
     return make(f.filter("q % 7 <> 0")), make(f.filter("q % 5 <> 0 and rule_id % 4 <> 0"))
 

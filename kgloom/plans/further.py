@@ -12,7 +12,7 @@ from ..functions import scores
 from ..operators import apply, compare, fit, graph, rules, samples, score
 from ..sources import formats
 from ..store import saved, tables_dir
-from .catalogue import _RULE, _SIDES, _SYN, SHAPE, TERMS, _lift, _pairs, _rule_table, _sides, _train, _two_relations, applied, fired, golds, joined, long, query, shipped
+from .catalogue import _RULE, _SIDES, _SYN, SHAPE, TERMS, _lift, _pairs, _rule_table, _sides, _train, _two_relations, applied, fired, golds, joined, line_tasks, long, query, shipped
 
 
 def _fresh(spark, name: str) -> str:
@@ -262,7 +262,7 @@ def entry_counts_all_levels(spark, d):
 
 @query(_SIDES + " select (select count(*) from ra) as a, (select count(*) from rb) as b, (select count(*) from ra semi join rb using (q, cand)) as common")
 def summary_counts(spark, d):
-    return compare.summary(*_sides(spark, d))
+    return compare.summary(*_sides(spark, d), line_tasks(spark, d))
 
 
 _DATASETS = ", ds as (select l_orderkey as sample, list(l_linenumber order by l_linenumber, l_partkey) as r, max(l_partkey) % 2 as g from lineitem group by 1)"
@@ -293,9 +293,9 @@ def first_mismatches(spark, d):
 @query(_SIDES + ", qa as (select distinct q from ra), qb as (select distinct q from rb) select 'missing_query' as section, count(*) as n from qa anti join qb using (q) union all select 'extra_query', count(*) from qb anti join qa using (q) union all select 'missing', count(*) from ra anti join rb using (q, cand) union all select 'extra', count(*) from rb anti join ra using (q, cand) union all select 'rules', count(*) from ra join rb using (q, cand) where ra.r <> rb.r")
 def comparison_report(spark, d):
     """The report of two applied-rules tables, written and read back, by section."""
-    sides = _sides(spark, d)
-    path = _fresh(spark, "report")
-    formats.write_report(compare.report_counts(*sides), compare.report(*sides), path)
+    sides = [saved(side, f"side{n}") for n, side in enumerate(_sides(spark, d))]
+    path, tasks = _fresh(spark, "report"), line_tasks(spark, d)
+    formats.write_report(compare.report_counts(*sides, tasks), compare.report(*sides, tasks), path)
     return spark.read.json(f"{path}/differences").groupBy("section").agg(F.count("*").alias("n"))
 
 
