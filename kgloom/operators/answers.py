@@ -1,7 +1,7 @@
 """Sets of answers by node, as rows that stay bounded, joined along paths and counted without their pairs.
 
 The answers of a node are cut into buckets of ``BUCKET`` ids.  Light nodes hold a bucket as
-an array of positions, hubs as a bitmap; a row is at most ``BUCKET`` positions or 4 KB.
+an array of positions of two bytes each, hubs as a bitmap; a row is at most ``BUCKET`` positions or 4 KB.
 Following an edge is a union of rows: arrays of few neighbours are put together, and what a
 hub with any number of neighbours reaches is OR-ed into one bitmap a bucket.  Pairs of
 a start and an answer exist only where they are asked for.  Ids are whole numbers from 0;
@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import dealt
+
 #: Ids of a bucket, as the engine's bitmaps have them.
 BUCKET = 32_768
 #: A node with more neighbours than this is a hub.
@@ -32,9 +34,10 @@ class Answers:
     heavy: DataFrame | None = None
 
 
-def sets(pairs: DataFrame, node: str, answer: str) -> Answers:
-    """The answers that ``pairs`` give each node."""
-    rows = pairs.filter(F.col(node).isNotNull() & F.col(answer).isNotNull()).select(F.col(node).alias("node"), F.floor(F.col(answer) / BUCKET).cast("long").alias("bucket"), F.pmod(F.col(answer), F.lit(BUCKET)).cast("int").alias("position"))
+def sets(pairs: DataFrame, node: str, answer: str, tasks: int | None = None) -> Answers:
+    """The answers that ``pairs`` give each node; with ``tasks``, they meet in so many partitions."""
+    rows = pairs.filter(F.col(node).isNotNull() & F.col(answer).isNotNull()).select(F.col(node).alias("node"), F.floor(F.col(answer) / BUCKET).cast("long").alias("bucket"), F.pmod(F.col(answer), F.lit(BUCKET)).cast("short").alias("position"))
+    rows = rows if tasks is None else dealt(rows, tasks, "node", "bucket")
     return Answers(rows.groupBy("node", "bucket").agg(F.collect_set("position").alias("positions")))
 
 
@@ -43,14 +46,15 @@ def bits(positions: DataFrame) -> DataFrame:
     return positions.select("node", "bucket", F.explode("positions").alias("p")).groupBy("node", "bucket").agg(F.bitmap_construct_agg(F.col("p").cast("long")).alias("bits"))
 
 
-def along(edges: DataFrame, found: Answers, node: str, to: str, hub: int = HUB) -> Answers:
-    """What each ``node`` reaches by an edge to ``to`` and on."""
+def along(edges: DataFrame, found: Answers, node: str, to: str, hub: int = HUB, tasks: int | None = None) -> Answers:
+    """What each ``node`` reaches by an edge to ``to`` and on; arrays meet in ``tasks`` partitions, if given."""
     edges = edges.select(F.col(node).alias("_from"), F.col(to).alias("node"))
     many = edges.groupBy("_from").agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("_from")
     if found.heavy is not None:
         many = many.unionByName(edges.join(found.heavy.select("node").distinct(), "node", "left_semi").select("_from")).distinct()
     few = edges.join(many, "_from", "left_anti")
-    light = few.join(found.light, "node").groupBy(F.col("_from").alias("node"), "bucket").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))  # hub arrays at most
+    reached = dealt(few.join(found.light, "node").select(F.col("_from").alias("node"), "bucket", "positions"), tasks, "node", "bucket")  # sets of neighbours seldom meet before that
+    light = reached.groupBy("node", "bucket").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))  # hub arrays at most
     hubs = edges.join(many, "_from", "left_semi").distinct()
     rows = bits(found.light.join(hubs.select("node").distinct(), "node", "left_semi"))
     rows = rows if found.heavy is None else rows.unionByName(found.heavy)

@@ -290,15 +290,15 @@ _SPLIT = """tr as (select q, a from shipped where part > 1), co as (select disti
 
 def _parts(spark, d):
     lines = graph.read(spark, d, "lineitem")
-    train = shipped(spark, d).filter("part > 1").select("q", "a")
-    contains = lines.select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("v")).distinct()
+    train = shipped(spark, d, "q").filter("part > 1").select("q", "a")
+    contains = graph.dealt(lines.select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("v")), line_tasks(spark, d), "q").distinct()
     supplied = lines.filter((F.col("l_orderkey") * 31 + F.col("l_suppkey") * 17) % 10 > 1).select(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("a")).distinct()
     return train, contains, supplied
 
 
-def mined(train, contains):
+def mined(train, contains, tasks=None):
     """Rules shipped_by(X,a) <= contains(X,v) with at least two true predictions."""
-    true = train.join(contains, "q").groupBy("v", "a").agg(F.count("*").alias("num_true")).filter("num_true >= 2")
+    true = graph.dealt(train.join(contains, "q"), tasks, "v", "a").groupBy("v", "a").agg(F.count("*").alias("num_true")).filter("num_true >= 2")
     preds = contains.groupBy("v").agg(F.count("*").alias("num_preds"))
     return true.join(preds, "v").select("v", "a", "num_preds", "num_true", rule.confidence(F.col("num_preds"), F.col("num_true")).alias("conf"))
 
@@ -306,14 +306,15 @@ def mined(train, contains):
 @query(f", {_SPLIT} select v, a, num_preds, num_true, round(conf, 9) as conf from ucr")
 def rule_mine_uc(spark, d):
     train, contains, _ = _parts(spark, d)
-    return mined(train, contains).withColumn("conf", F.round("conf", 9))
+    return mined(train, contains, line_tasks(spark, d)).withColumn("conf", F.round("conf", 9))
 
 
 @query(f", {_SPLIT} select 1 as rule_id, num_preds, num_true from cyc")
 def rule_support_counts(spark, d):
     train, contains, supplied = _parts(spark, d)
-    path = answers.along(contains, answers.sets(supplied, "v", "a"), "q", "v")
-    return answers.support(path, answers.sets(train, "q", "a")).select(F.lit(1).alias("rule_id"), "num_preds", "num_true")
+    tasks = line_tasks(spark, d)
+    path = answers.along(contains, answers.sets(supplied, "v", "a"), "q", "v", tasks=tasks)
+    return answers.support(path, answers.sets(train, "q", "a", tasks)).select(F.lit(1).alias("rule_id"), "num_preds", "num_true")
 
 
 _SLICE = f"""{_SPLIT},
@@ -334,13 +335,14 @@ def shipped_by_completion(spark, d):
     known = every.filter("part > 0").select("q", "a")
     _, contains, supplied = _parts(spark, d)
     contains = saved(contains, "contains")
-    path = answers.along(contains, answers.sets(supplied, "v", "a"), "q", "v")
-    path = answers.Answers(saved(path.light, "reached"), saved(path.heavy, "hubs"))
-    counts = answers.support(path, answers.sets(train, "q", "a")).select(rule.confidence(F.col("num_preds"), F.col("num_true")).alias("conf"))
+    tasks = line_tasks(spark, d)
+    by_part = answers.Answers(saved(answers.sets(supplied, "v", "a").light, "suppliers"))
+    counts = answers.support(answers.along(contains, by_part, "q", "v", tasks=tasks), answers.sets(train, "q", "a", tasks)).select(rule.confidence(F.col("num_preds"), F.col("num_true")).alias("conf"))
+    counts = saved(counts, "counts")
     asked = gold.select("q").distinct()
-    by_constant = contains.join(asked, "q", "left_semi").join(mined(train, contains), "v").select("q", F.col("a").alias("cand"), "conf")
-    of_asked = answers.Answers(*(x.join(asked.withColumnRenamed("q", "node"), "node", "left_semi") for x in (path.light, path.heavy)))
-    by_path = answers.pairs(of_asked).select(F.col("node").alias("q"), F.col("answer").alias("cand")).crossJoin(F.broadcast(counts))  # counts is one row
+    of_asked = saved(contains.join(asked, "q", "left_semi"), "asked")
+    by_constant = of_asked.join(mined(train, contains, tasks), "v").select("q", F.col("a").alias("cand"), "conf")
+    by_path = answers.pairs(answers.along(of_asked, by_part, "q", "v", tasks=tasks)).select(F.col("node").alias("q"), F.col("answer").alias("cand")).crossJoin(F.broadcast(counts))  # counts is one row
     f = apply.unknown_only(by_constant.unionByName(by_path), known, ["q"])
     scored = saved(f.groupBy("q", "cand").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score")), "scored")
     entities = graph.read(spark, d, "supplier").count()
