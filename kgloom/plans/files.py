@@ -77,10 +77,10 @@ _SIDED = "select direction, q, cand, row_number() over (partition by direction,
 @query(f"select 'o' || cast(q as varchar) as s, direction, cast(pos as int) as pos, cast(cand as varchar) as cand, conf from ({_SIDED}) where pos < 3")
 def ranking_files_both_sides(spark, d):
     """Rankings of both sides, a text file among others in its folder that the name rules out, the first three read."""
-    rows = fired(spark, d).groupBy("q", "cand").agg(F.max("conf").alias("tail"), F.min("conf").alias("head"))
+    rows = fired(spark, d, "q").groupBy("q", "cand").agg(F.max("conf").alias("tail"), F.min("conf").alias("head"))
     rows = rows.select("q", "cand", F.explode(F.create_map(F.lit("tail"), "tail", F.lit("head"), F.when(F.col("cand") % 3 != 0, F.col("head")))).alias("direction", "conf")).dropna()
     best = apply.maxplus_topk(rows.select("direction", "q", "cand", F.lit(1).alias("rule_id"), "conf"), ["direction", "q"], 5)
-    ranked = best.select(F.concat(F.lit("o"), F.col("q").cast("string")).alias("s"), F.lit("shipped_by").alias("p"), F.lit("x").alias("o"), "direction", (F.col("pos") - 1).alias("pos"), "cand", F.col("confs")[0].alias("conf"))
+    ranked = saved(best.select(F.concat(F.lit("o"), F.col("q").cast("string")).alias("s"), F.lit("shipped_by").alias("p"), F.lit("x").alias("o"), "direction", (F.col("pos") - 1).alias("pos"), "cand", F.col("confs")[0].alias("conf")), "ranked")
     path = _fresh(spark, "rankings")
     formats.ranking_records(ranked.select("s", "p", "o").distinct(), ranked).select("value").write.text(path)
     ranked.write.mode("append").json(path)

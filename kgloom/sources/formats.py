@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import saved
+
 _RULES = T.ArrayType(T.IntegerType())
 APPLIED = T.MapType(T.StringType(), T.MapType(T.StringType(), T.MapType(T.StringType(), T.MapType(T.StringType(), _RULES))))
 SIDE = T.StructType([T.StructField("candidates", T.ArrayType(T.StringType())), T.StructField("rules", T.ArrayType(_RULES))])
@@ -84,6 +86,7 @@ def write_triples(rows: DataFrame, path: str) -> None:
 
 def write_splits(splits: dict[str, DataFrame], path: str) -> DataFrame:
     """Each table of :func:`kgloom.operators.graph.split_parts` as triples under ``path``, and beside them ``dataset.json``: ``split, file, triples, entities, relations``."""
+    splits = {name: saved(rows, name) for name, rows in splits.items()}  # written as lines and counted
     for name, rows in splits.items():
         write_triples(rows, f"{path}/{name}")
     counts = dataset_counts(splits).withColumn("file", F.col("split"))
@@ -292,9 +295,15 @@ def dataset_counts(splits: dict[str, DataFrame]) -> DataFrame:
     for name, df in splits.items():
         part = df.select(F.lit(name).alias("split"), "s", "p", "o")
         rows = part if rows is None else rows.unionByName(part)
-    both = rows.select(F.explode(F.array("split", F.lit("all"))).alias("split"), "s", "p", "o")
-    ends = both.select("split", F.explode(F.array("s", "o")).alias("e")).groupBy("split").agg(F.countDistinct("e").alias("entities"))
-    return both.groupBy("split").agg(F.count("*").alias("triples"), F.countDistinct("p").alias("relations")).join(ends, "split").select("split", "triples", "entities", "relations")
+    each_and_all = F.explode(F.array("split", F.lit("all"))).alias("split")
+
+    def different(values: DataFrame, name: str) -> DataFrame:
+        """How many different ``x`` each split has and all have; only different ones of a split are copied for all."""
+        return values.distinct().select(each_and_all, "x").distinct().groupBy("split").agg(F.count("x").alias(name))
+
+    triples = rows.groupBy("split").agg(F.count("*").alias("n")).select(each_and_all, "n").groupBy("split").agg(F.sum("n").alias("triples"))
+    relations, entities = different(rows.select("split", F.col("p").alias("x")), "relations"), different(rows.select("split", F.explode(F.array("s", "o")).alias("x")), "entities")
+    return triples.join(relations, "split").join(entities, "split").select("split", "triples", "entities", "relations")
 
 
 def write_by_relation(rows: DataFrame, path: str, relation: str = "p") -> None:
