@@ -11,11 +11,17 @@ from ..store import saved
 def labelled(applied: DataFrame, answers: DataFrame) -> DataFrame:
     """Samples ``p, direction, q, cand, rule_ids, gold`` of the queries that have answers; empty rule lists are dropped.
 
-    ``applied``: ``direction, p, q, cand, rule_ids``; ``answers``: ``direction, p, q, a``.
+    ``applied``: ``direction, p, q, cand, rule_ids``; ``answers``: ``direction, p, q, a``.  Both meet once, by query, where a
+    candidate's answers are its neighbours in the order of candidates.
     """
-    asked = applied.filter(F.size("rule_ids") > 0).join(answers.select("direction", "p", "q").distinct(), ["direction", "p", "q"], "left_semi")
-    gold = answers.select("direction", "p", "q", F.col("a").alias("cand"), F.lit(1).alias("hit")).distinct()
-    return asked.join(gold, ["direction", "p", "q", "cand"], "left").select("p", "direction", "q", "cand", "rule_ids", F.coalesce("hit", F.lit(0)).alias("gold"))
+    keys, kinds = ["q", "p", "direction"], dict(applied.dtypes)  # the finest first, as sorts compare it first
+    asked = applied.filter(F.size("rule_ids") > 0).select(*keys, "cand", "rule_ids", F.lit(0).alias("hit"))
+    rows = asked.unionByName(answers.select(*keys, F.col("a").alias("cand"), F.lit(None).cast(kinds["rule_ids"]).alias("rule_ids"), F.lit(1).alias("hit"))).dropna(subset=keys)
+    of_query = Window.partitionBy(*keys).orderBy("cand")
+    same, all_of = of_query.rangeBetween(Window.currentRow, Window.currentRow), of_query.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gold = F.when(F.col("cand").isNotNull(), F.col("_same")).otherwise(0)
+    rows = rows.withColumns({"_same": F.max("hit").over(same), "_asked": F.max("hit").over(all_of)}).filter("hit = 0 and _asked = 1")
+    return rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("p", "direction", "q", "cand")], "rule_ids", gold.alias("gold"))
 
 
 def hit_counts(samples: DataFrame, rules: DataFrame) -> DataFrame:
