@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..store import saved
 from . import fit, samples, score
+from .skew import dealt, tasks_of
 
 KEYS = ["direction", "p", "q"]
 METRICS = ["mrr", "h1", "h10"]
+#: The same keys, the finest first, as sorts compare it first.
+_BY = ["q", "p", "direction"]
 
 
 @dataclass
 class Split:
-    """``applied``: ``direction, p, q, cand, rule_ids``; ``golds``: ``direction, p, q, gold``; ``filtered``, if given: keys and ``cand`` that count with score 0."""
+    """``applied``: ``direction, p, q, cand, rule_ids``, each candidate of a query once; ``golds``: ``direction, p, q, gold``; ``filtered``, if given: keys and ``cand`` that count with score 0."""
 
     applied: DataFrame
     golds: DataFrame
@@ -48,15 +51,67 @@ def scored(applied: DataFrame, weights: DataFrame, biases: DataFrame, model: str
     else:
         sums = sums.withColumn("_pairs", F.lit(0.0))
     z = F.col("_sum") + F.col("gamma") * F.coalesce("_pairs", F.lit(0.0))
+    return sums.join(biases.select("p", "bias", "gamma"), "p", "left").select(*keys, _value(z, model, constrained).alias("score"))
+
+
+def _value(z: Column, model: str, constrained: bool) -> Column:
+    """The score of the summed weights ``z``; 0 without a ``bias``."""
     if model == "linear":
         value = scores.sigmoid(z + F.col("bias"))
     else:
         value = 1 - F.exp(-(z + F.col("bias") * F.col("bias") if constrained else scores.softplus(z + F.col("bias"))))
-    return sums.join(biases.select("p", "bias", "gamma"), "p", "left").select(*keys, F.coalesce(value, F.lit(0.0)).alias("score"))
+    return F.coalesce(value, F.lit(0.0))
+
+
+def asked(split: Split) -> DataFrame:
+    """What every evaluation of a split reads: ``q, p, direction, cand, rule_ids, golds, is_cand, counts``.
+
+    A row for each candidate of a query that has golds, and for each gold that is no candidate.  ``golds``: how often it is
+    listed as gold; ``counts``: it is a candidate and neither gold nor filtered.  All meet once, by query.
+    """
+    kind = dict(split.applied.dtypes)["rule_ids"]
+
+    def tagged(df: DataFrame, cand: str, what: int, n: Column, ids: Column) -> DataFrame:
+        return df.select(*_BY, F.col(cand).alias("cand"), F.lit(what).alias("what"), n.alias("n"), ids.alias("rule_ids"))
+
+    none = F.lit(None).cast(kind)
+    rows = tagged(split.applied.dropna(subset=_BY), "cand", 0, F.lit(0).cast("long"), F.col("rule_ids"))
+    rows = rows.unionByName(tagged(split.golds.groupBy(*_BY, "gold").agg(F.count("*").alias("n")), "gold", 1, F.col("n"), none))
+    if split.filtered is not None:
+        rows = rows.unionByName(tagged(split.filtered.dropna(subset=[*_BY, "cand"]), "cand", 2, F.lit(0).cast("long"), none))
+    of_query = Window.partitionBy(*_BY).orderBy("cand")
+    same, all_of = of_query.rangeBetween(Window.currentRow, Window.currentRow), of_query.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = F.col("cand").isNotNull()
+    rows = rows.withColumns({"_golds": F.sum("n").over(same), "_cands": F.max((F.col("what") == 0) & known).over(same), "_filtered": F.max(F.col("what") == 2).over(same), "_asked": F.max(F.col("what") == 1).over(all_of)})
+    is_cand = F.col("what") == 0
+    rows = rows.filter("_asked and (what = 0 or what = 1 and not _cands)")
+    golds = F.when(is_cand & ~known, 0).when(is_cand, F.col("_golds")).otherwise(F.col("n"))
+    return rows.select(*_BY, "cand", "rule_ids", golds.alias("golds"), is_cand.alias("is_cand"), (is_cand & (golds == 0) & (~known | ~F.col("_filtered"))).alias("counts"))
+
+
+def metrics_of(rows: DataFrame, weights: DataFrame, biases: DataFrame, entities: int, model: str = "linear", constrained: bool = True) -> DataFrame:
+    """``p, direction, n, mrr, h1, h10`` under fitted weights, from the saved rows of :func:`asked`; ranks are those of :func:`kgloom.operators.score.ranks`.
+
+    Rows are dealt by query once; scores, levels and ranks need no other shuffle (but the weights' own, if they are not broadcast).
+    """
+    columns = [*_BY, "cand", "golds", "is_cand", "counts"]
+    fired = dealt(rows, tasks_of(rows), *_BY).select(*columns, F.explode_outer("rule_ids").alias("rule_id"))
+    sums = fired.join(weights.select("p", "rule_id", "trained"), ["p", "rule_id"], "left").groupBy(*columns).agg(F.coalesce(F.sum("trained"), F.lit(0.0)).alias("_sum"))
+    scored = sums.join(biases.select("p", "bias"), "p", "left").withColumn("s", F.when(F.col("is_cand"), F.round(_value(F.col("_sum"), model, constrained), score.DIGITS)))
+    level = F.when(F.col("s") > 0, F.col("s"))  # null: golds that are no candidates, or of score 0
+    levels = scored.groupBy(*_BY, level.alias("s")).agg(F.count(F.when(F.col("counts") & (F.col("s") > 0), 1)).alias("same"), F.sum("golds").alias("golds"), F.max("is_cand").alias("is_cand"))
+    of_query = Window.partitionBy(*_BY).orderBy(F.desc("s"))
+    whole = of_query.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    more = F.coalesce(F.sum("same").over(of_query.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.withColumns({"more": more, "all": F.sum("same").over(whole), "any": F.max("is_cand").over(whole)}).filter("golds > 0")
+    rank = F.when(F.col("s").isNotNull(), F.col("more") + (F.col("same") + 2) / 2).when(F.col("any"), F.col("all") + (F.lit(entities) - F.col("all") + 1) / 2)
+    return score.metrics(levels.select("p", "direction", rank.alias("rank"), "golds"), ["p", "direction"], "golds")
 
 
 def metrics(split: Split, weights: DataFrame, biases: DataFrame, entities: int, model: str = "linear", constrained: bool = True, pairs: DataFrame | None = None) -> DataFrame:
     """``p, direction, n, mrr, h1, h10`` of a split's golds under fitted weights."""
+    if pairs is None:
+        return metrics_of(saved(asked(split), "asked"), weights, biases, entities, model, constrained)
     ranked = score.ranks(scored(split.applied, weights, biases, model, constrained, pairs), split.golds, entities, KEYS, split.filtered)
     return score.metrics(ranked, ["p", "direction"])
 
@@ -68,9 +123,10 @@ def completion(train: DataFrame, rules: DataFrame, valid: Split, test: Split, en
     as failed, and their golds count in no mean.
     """
     constrained = options.get("constrained", True)
+    on_valid = saved(asked(valid), "asked")
 
     def evaluate(weights: DataFrame, biases: DataFrame) -> DataFrame:
-        return metrics(valid, weights, biases, entities, model, constrained)
+        return metrics_of(on_valid, weights, biases, entities, model, constrained)
 
     fitted = fit.train(train, rules, model, evaluate=evaluate, every=every, patience=patience, **options)
     by_direction = saved(metrics(test, fitted.rules, fitted.relations, entities, model, constrained), "metrics")

@@ -91,10 +91,11 @@ def ranks(scored: DataFrame, golds: DataFrame, entities: int, keys: list[str], f
     return own.select(*keys, "gold", F.coalesce("n_cands", F.lit(0)).alias("n_cands"), rank.alias("rank"))
 
 
-def metrics(ranked: DataFrame, by: list[str]) -> DataFrame:
-    """``n, mrr, h1, h10``; golds without a rank count in n and score nothing."""
-    hit = lambda k: F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)) / F.count("*")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), (F.coalesce(F.sum(1 / F.col("rank")), F.lit(0.0)) / F.count("*")).alias("mrr"), (F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)) / F.count("*")).alias("h1"), hit(10).alias("h10"))
+def metrics(ranked: DataFrame, by: list[str], times: str | None = None) -> DataFrame:
+    """``n, mrr, h1, h10``; golds without a rank count in n and score nothing.  A row stands for as many golds as its column ``times`` says, or for one."""
+    n = F.col(times) if times else F.lit(1).cast("long")
+    hit = lambda at: F.sum(F.when(at, n).otherwise(0)) / F.sum(n)
+    return ranked.groupBy(*by).agg(F.sum(n).alias("n"), (F.coalesce(F.sum(n / F.col("rank")), F.lit(0.0)) / F.sum(n)).alias("mrr"), hit(F.col("rank") == 1).alias("h1"), hit(F.col("rank") <= 10).alias("h10"))
 
 
 def head_tail_mean(by_direction: DataFrame, relations: DataFrame, value: str = "mrr") -> DataFrame:
