@@ -29,6 +29,9 @@ PROJECTION = (
 #: What orders the rows of each relation's table.
 ROW_ORDER = (("n_nationkey",), ("c_custkey",), ("s_suppkey",), ("c_custkey",), ("o_orderkey",), *[("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")] * 3, ("p_partkey",), ("p_partkey",))
 
+#: Bits of a row's place in its table: 33 of its number in a partition, 20 of the partition.
+PLACES = 53
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -56,11 +59,21 @@ def by_subject(triples: DataFrame, tasks: int | None) -> DataFrame:
 
 
 def in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``s, p, o, rel, at`` of the tables' rows: the number of the relation, and what orders its rows."""
+    """``s, p, o, at`` of the tables' rows; the number ``at`` grows with the relation, then with what orders its rows, nulls last.
+
+    A table is sorted by range once for all its relations, and a row's place is its partition and its number there.
+    """
+    tables: dict = {}
+    for n, (relation, keys) in enumerate(zip(PROJECTION, ROW_ORDER, strict=True)):
+        tables.setdefault((relation[1], keys), []).append((n, relation))
     out = None
-    for n, ((p, table, sp, s, op, o), keys) in enumerate(zip(PROJECTION, ROW_ORDER, strict=True)):
-        at = F.array(*[F.col(k).cast("long") for k in keys])
-        part = read(spark, sf_dir, table).select(F.concat(F.lit(sp), F.col(s).cast("string")).alias("s"), F.lit(p).alias("p"), F.concat(F.lit(op), F.col(o).cast("string")).alias("o"), F.lit(n).alias("rel"), at.alias("at"))
+    for (table, keys), relations in tables.items():
+        ends = {c for _, (_, _, _, s, _, o) in relations for c in (s, o)}
+        rows, order = read(spark, sf_dir, table).select(*dict.fromkeys([*keys, *sorted(ends)])), [F.col(k).asc_nulls_last() for k in keys]
+        tasks = tasks_of(rows)
+        placed = (rows.repartitionByRange(*order) if tasks is None else rows.repartitionByRange(tasks, *order)).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        triples = [F.struct(F.concat(F.lit(sp), F.col(s).cast("string")).alias("s"), F.lit(p).alias("p"), F.concat(F.lit(op), F.col(o).cast("string")).alias("o"), (F.lit(n << PLACES) + F.col("_at")).alias("at")) for n, (p, _, sp, s, op, o) in relations]
+        part = placed.select(F.explode(F.array(*triples)).alias("x")).select("x.*")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -88,12 +101,18 @@ def sorted_dictionary(triples: DataFrame) -> DataFrame:
     return numbered(tokens(triples), [F.col("token")], "id").select("id", "token")
 
 
-def first_seen_dictionary(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``id, token`` by first appearance over the columns ``order``, subject before object; together they are unique."""
-    at = F.struct(*order)
-    seen = rows.select(F.explode(F.array(F.struct(at.alias("at"), F.lit(0).alias("side"), F.col("s").alias("token")), F.struct(at.alias("at"), F.lit(1).alias("side"), F.col("o").alias("token")))).alias("x"))
-    first = seen.groupBy("x.token").agg(F.min(F.struct("x.at", "x.side")).alias("at"))
-    return numbered(first, [F.col("at")], "id").select("id", "token")
+def first_seen(triples: DataFrame) -> DataFrame:
+    """``token, at``: where each token is seen first in rows with the number ``at``, subject before object.
+
+    The least of a number is kept by hash where the rows are; a struct's would need a sort of all of them.
+    """
+    ends = F.array(*[F.struct(F.col(c).alias("token"), (F.col("at") * 2 + side).alias("at")) for side, c in enumerate(("s", "o"))])
+    return triples.select(F.explode(ends).alias("x")).select("x.*").groupBy("token").agg(F.min("at").alias("at"))
+
+
+def first_seen_dictionary(triples: DataFrame) -> DataFrame:
+    """``id, token`` by first appearance in rows as of :func:`in_file_order`."""
+    return numbered(first_seen(triples), [F.col("at")], "id").select("id", "token")
 
 
 def encode(triples: DataFrame, entities: DataFrame, relations: DataFrame, strict: bool = False, tasks: int | None = None) -> DataFrame:

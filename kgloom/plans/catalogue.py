@@ -105,7 +105,7 @@ _SEEN = " union all ".join(f"select '{sp}' || cast({s} as varchar) as s, '{op}'
 @query(f", seen as ({_SEEN}), f as (select token, min((rel, ord, side)) as first from (select rel, ord, unnest([0, 1]) as side, unnest([s, o]) as token from seen) group by token) select row_number() over (order by first) - 1 as id, token from f")
 def kg_entity_dict_first_seen(spark, d):
     """Entities numbered by their first appearance in the lines of all relations, one relation after the other."""
-    return graph.first_seen_dictionary(graph.in_file_order(spark, d), ["rel", "at"])
+    return graph.first_seen_dictionary(graph.in_file_order(spark, d))
 
 
 @query(", part_of as (select * from triples where p not in ('supplied_by', 'has_type')), e as (select row_number() over (order by token) - 1 as id, token from (select s as token from part_of union select o from part_of)), r as (select row_number() over (order by p) - 1 as id, p from (select distinct p from part_of)) select a.id as s, r.id as p, b.id as o from triples t join e a on a.token = t.s join r on r.p = t.p join e b on b.token = t.o")
