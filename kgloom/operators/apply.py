@@ -21,7 +21,8 @@ MOST_PAIRS = 2_000_000
 MAX_READINGS = 10_000
 
 
-def _few(rules: DataFrame) -> DataFrame:
+def few(rules: DataFrame) -> DataFrame:
+    """``rules``, broadcast if they are at most ``BROADCAST_RULES``."""
     return F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
 
 
@@ -61,7 +62,7 @@ def cyclic(rules: DataFrame, triples: DataFrame, length: int, queries: DataFrame
         step = edges.select(F.col("rel").alias(f"rel{n}"), F.col("inv").alias(f"inv{n}"), F.col("a").alias("x" if n == 1 else "_at"), F.col("b").alias("_to"))
         if n == 1:
             step = step if queries is None else step.join(queries.select("x").distinct(), "x", "left_semi")
-            out = step.join(_few(rules), ["rel1", "inv1"])
+            out = step.join(few(rules), ["rel1", "inv1"])
         else:
             before = saved(out.withColumnRenamed("_to", "_at").distinct(), f"step{n - 1}")
             if n == length:  # entities with one way on reach nothing twice
@@ -75,27 +76,27 @@ def cyclic(rules: DataFrame, triples: DataFrame, length: int, queries: DataFrame
 
 def with_constant(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,c) <= b(X,d)``; ``rules``: ``rule_id, rel, inv, const, answer``."""
-    return _edges(triples, _named(rules)).withColumnRenamed("b", "const").join(_few(rules), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
+    return _edges(triples, _named(rules)).withColumnRenamed("b", "const").join(few(rules), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
 
 
 def dangling(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,c) <= b(X,A)``; ``rules``: ``rule_id, rel, inv, answer``."""
-    return _edges(triples, _named(rules)).select("rel", "inv", "a").join(_few(rules), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
+    return _edges(triples, _named(rules)).select("rel", "inv", "a").join(few(rules), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("answer").alias("y")).distinct()
 
 
 def zero(rules: DataFrame, queries: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,c) <=`` for the given queries ``p, x``; ``rules``: ``rule_id, head_rel, answer``."""
-    return queries.withColumnRenamed("p", "head_rel").join(_few(rules), "head_rel").select("rule_id", "x", F.col("answer").alias("y")).distinct()
+    return queries.withColumnRenamed("p", "head_rel").join(few(rules), "head_rel").select("rule_id", "x", F.col("answer").alias("y")).distinct()
 
 
 def reflexive(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,X) <= b(X,d)``: the candidate is the query itself."""
-    return _edges(triples, _named(rules)).withColumnRenamed("b", "const").join(_few(rules), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
+    return _edges(triples, _named(rules)).withColumnRenamed("b", "const").join(few(rules), ["rel", "inv", "const"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
 
 
 def reflexive_dangling(rules: DataFrame, triples: DataFrame) -> DataFrame:
     """``rule_id, x, y`` of rules ``h(X,X) <= b(X,A)``; ``rules``: ``rule_id, rel, inv``."""
-    return _edges(triples, _named(rules)).join(_few(rules), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
+    return _edges(triples, _named(rules)).join(few(rules), ["rel", "inv"]).select("rule_id", F.col("a").alias("x"), F.col("a").alias("y")).distinct()
 
 
 def support(fired: DataFrame, known: DataFrame) -> DataFrame:

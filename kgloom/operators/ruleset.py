@@ -20,17 +20,19 @@ given; repeated triples, rules and queries change nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as rule
 from ..store import saved
-from .apply import MAX_READINGS, capped, maxplus_topk, unknown_only
+from .apply import BROADCAST_RULES, MAX_READINGS, capped, few, maxplus_topk, unknown_only
 from .skew import hub_join
 
 #: Kinds of a step: to all neighbours, to the constants that rules name, to nothing but whether there is a neighbour, and from anywhere.
 WALK, CONST, DANGLING, ANY = "walk", "const", "dangling", "any"
 STEP = "struct<rel:string,inv:boolean,kind:string>"
+#: A node of the trie with at most so many starts walks from all of them together.
+FEW_STARTS = 10_000
 
 
 def _constant(term: Column) -> Column:
@@ -117,45 +119,83 @@ def trie(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
     return saved(linked, "nodes"), saved(ended.drop("name", "_first", "steps"), "ways")
 
 
-def _edges(triples: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:
-    """``rel, inv, kind, at, to`` of the edges that the trie asks for, each once.
+def named(triples: DataFrame, steps: DataFrame) -> DataFrame:
+    """The triples of the relations ``rel`` that steps name, written once; only these are read."""
+    relations = [r.rel for r in steps.select("rel").distinct().limit(MAX_READINGS + 1).collect()]
+    if len(relations) <= MAX_READINGS:
+        triples = triples.filter(F.col("p").isin(relations))
+    return saved(triples.select("s", "p", "o"), "triples")
 
-    Only relations that it names are read; steps to constants keep edges to those
-    constants alone, steps to nothing and from anywhere one edge an entity.
+
+def _edges(kept: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """``rel, inv, kind, at, to`` of the edges that the trie asks for.
+
+    Edges to all neighbours are the rows of ``kept`` (:func:`named`), read anew in either direction and not shuffled, so that repeated triples
+    are repeated edges.  Steps to constants keep edges to those constants alone, steps to nothing and from anywhere one edge an entity; these are written, each once.
     """
     asked = nodes.select("rel", "inv", "kind").distinct()
-    named = [r.rel for r in nodes.select("rel").distinct().limit(MAX_READINGS + 1).collect()]
-    if len(named) <= MAX_READINGS:
-        triples = triples.filter(F.col("p").isin(named))
-    both = triples.select(F.col("p").alias("rel"), F.explode(F.array(F.struct(F.lit(False).alias("inv"), F.col("s").alias("at"), F.col("o").alias("to")), F.struct(F.lit(True).alias("inv"), F.col("o").alias("at"), F.col("s").alias("to")))).alias("e")).select("rel", "e.*")
-    edges = both.join(asked, ["rel", "inv"])
-    edges = edges.select("rel", "inv", "kind", F.when(F.col("kind") != ANY, F.col("at")).alias("at"), F.when(F.col("kind") != DANGLING, F.col("to")).alias("to")).distinct()
+    both = kept.select(F.col("p").alias("rel"), F.explode(F.array(F.struct(F.lit(False).alias("inv"), F.col("s").alias("at"), F.col("o").alias("to")), F.struct(F.lit(True).alias("inv"), F.col("o").alias("at"), F.col("s").alias("to")))).alias("e")).select("rel", "e.*")
+    of = lambda some: both.join(few(some), ["rel", "inv"])
+    walk = of(asked.filter(F.col("kind") == WALK)).select("rel", "inv", "kind", "at", "to")
     constants = ways.filter("target is not null").join(nodes.select("node", "rel", "inv"), "node").select("rel", "inv", F.lit(CONST).alias("kind"), F.col("target").alias("to")).distinct()
-    return edges.filter(F.col("kind") != CONST).unionByName(edges.filter(F.col("kind") == CONST).join(constants, ["rel", "inv", "kind", "to"], "left_semi").select(*edges.columns))
+    fixed = both.join(few(constants), ["rel", "inv", "to"], "left_semi").select("rel", "inv", F.lit(CONST).alias("kind"), "at", "to")
+    ends = of(asked.filter(F.col("kind").isin(DANGLING, ANY)))
+    ends = ends.select("rel", "inv", "kind", F.when(F.col("kind") != ANY, F.col("at")).alias("at"), F.when(F.col("kind") != DANGLING, F.col("to")).alias("to"))
+    return walk.unionByName(saved(fixed.unionByName(ends).distinct(), "ends"))
 
 
-def reached(nodes: DataFrame, ways: DataFrame, edges: DataFrame, queries: DataFrame, least_hot: int | None = None) -> DataFrame:
-    """``node, x, to``: what each node of the trie reaches from ``x`` (null if from anywhere), for the entities that queries ask about.
+def packed(starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, x, block, bits, at`` of ``starts`` (``node, x``, each once), and the table ``block, bit, x`` of the blocks.
 
-    ``queries``: ``direction, p, q``.  A depth of the trie is one join with the edges.
+    The starts of nodes with at most ``FEW_STARTS`` walk together, 64 in a block, as bits of one row; ``x`` is null then.  Others
+    walk alone, and their ``block`` is null.  The table of blocks has ``BROADCAST_RULES`` rows at most; if it had more, all walk alone.
+    """
+    many = starts.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > FEW_STARTS).select("node")
+    together = saved(starts.join(many, "node", "left_anti"), "together")
+    one = F.lit(1).cast("long")
+    if together.limit(BROADCAST_RULES + 1).count() > BROADCAST_RULES:
+        none = together.limit(0).select(one.alias("block"), F.lit(0).alias("bit"), "x")
+        return starts.select("node", "x", F.lit(None).cast("long").alias("block"), one.alias("bits"), F.col("x").alias("at")), none
+    number = F.row_number().over(Window.orderBy("x")) - 1  # few rows
+    names = saved(together.select("x").distinct().withColumn("_n", number).select(F.floor(F.col("_n") / 64).alias("block"), (F.col("_n") % 64).alias("bit"), "x"), "blocks")
+    alone = starts.join(many, "node", "left_semi").select("node", "x", F.lit(None).cast("long").alias("block"), one.alias("bits"), F.col("x").alias("at"))
+    packs = together.join(F.broadcast(names), "x").select("node", F.lit(None).cast("string").alias("x"), "block", F.expr("shiftleft(1L, bit)").alias("bits"), F.col("x").alias("at"))
+    return alone.unionByName(packs), names
+
+
+def spread(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` (``x, block, bits`` and others) with a row for each start ``x``, as :func:`packed` names them."""
+    rest = [c for c in rows.columns if c not in ("x", "block", "bits")]
+    alone = rows.filter("block is null").select(*rest, "x")
+    return alone.unionByName(rows.filter("block is not null").drop("x").join(F.broadcast(names), "block").filter("(shiftright(bits, bit) & 1) = 1").select(*rest, "x"))
+
+
+def reached(nodes: DataFrame, ways: DataFrame, edges: DataFrame, queries: DataFrame, least_hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``node, x, block, bits, to``: what each node of the trie reaches from ``x`` or the starts of a block (both null if from anywhere), and the table of the blocks.
+
+    ``queries``: ``direction, p, q``; chains begin at the entities that these ask about, at their constants, or at all
+    that their first step leaves from (``far``).  A depth of the trie is one join with the edges.
     """
     asked = queries.select("direction", "p", "q").distinct()
     begins = ways.filter("begin = 'query' and first is not null").select("direction", "p", "first").distinct().join(asked, ["direction", "p"]).select(F.col("first").alias("node"), F.col("q").alias("x"))
     seeds = ways.filter("begin = 'seed'").select("direction", "p", "q", "first", "seed").join(asked, ["direction", "p", "q"], "left_semi").select(F.col("first").alias("node"), F.col("seed").alias("x"))
-    frontier = begins.unionByName(seeds).distinct().withColumn("at", F.col("x"))
+    firsts = ways.filter("begin = 'far'").select(F.col("first").alias("node")).distinct().join(nodes.select("node", "rel", "inv", "kind"), "node")
+    far = edges.join(few(firsts), ["rel", "inv", "kind"]).select("node", F.col("at").alias("x"))
+    starts, names = packed(saved(begins.unionByName(seeds).unionByName(far).filter("x is not null").distinct(), "starts"))
+    frontier = starts
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     options = {} if least_hot is None else {"least_hot": least_hot}
-    anywhere = nodes.filter(F.col("kind") == ANY).select("node", "rel", "inv").join(edges.filter(F.col("kind") == ANY), ["rel", "inv"]).select("node", F.lit(None).cast("string").alias("x"), "to")
+    anywhere = nodes.filter(F.col("kind") == ANY).select("node", "rel", "inv").join(edges.filter(F.col("kind") == ANY), ["rel", "inv"]).select("node", F.lit(None).cast("string").alias("x"), F.lit(None).cast("long").alias("block"), F.lit(1).cast("long").alias("bits"), "to")
     steps, out = nodes.filter(F.col("kind") != ANY), None
     for depth in range(1, deepest + 1):
         here = saved(frontier.join(steps.filter(F.col("depth") == depth).select("node", "rel", "inv", "kind"), "node"), f"frontier{depth}")
-        some = edges.join(steps.filter(F.col("depth") == depth).select("rel", "inv", "kind").distinct(), ["rel", "inv", "kind"], "left_semi")
-        found = hub_join(here, some, ["rel", "inv", "kind", "at"], **options).select("node", "x", "to").distinct()
+        some = edges.join(few(steps.filter(F.col("depth") == depth).select("rel", "inv", "kind").distinct()), ["rel", "inv", "kind"], "left_semi")
+        found = hub_join(here, some, ["rel", "inv", "kind", "at"], **options).groupBy("node", "x", "block", "to").agg(F.bit_or("bits").alias("bits")).select("node", "x", "block", "bits", "to")
         found = saved(found.unionByName(anywhere) if depth == 1 else found, f"reached{depth}")
         out = found if out is None else out.unionByName(found)
         children = nodes.filter(F.col("depth") == depth + 1).select(F.col("parent").alias("node"), F.col("node").alias("child"))
-        frontier = found.join(children, "node").select(F.col("child").alias("node"), "x", F.col("to").alias("at"))
-    return out if out is not None else frontier.select("node", "x", F.col("at").alias("to"))
+        frontier = found.join(children, "node").select(F.col("child").alias("node"), "x", "block", "bits", F.col("to").alias("at"))
+    return out if out is not None else frontier.select("node", "x", "block", "bits", F.col("at").alias("to")), names
 
 
 def fired(rules: DataFrame, triples: DataFrame, queries: DataFrame, least_hot: int | None = None) -> DataFrame:
@@ -166,9 +206,9 @@ def fired(rules: DataFrame, triples: DataFrame, queries: DataFrame, least_hot: i
         raise ValueError(f"rules whose body is no chain: {', '.join(f'{r.rule_id}: {r.rule}' for r in bad)}")
     once = found.groupBy("rule_id").count().filter("count > 1").isEmpty()
     nodes, ways = trie(oriented(found))
-    edges = saved(_edges(triples, nodes, ways), "edges")
+    edges = _edges(named(triples, nodes), nodes, ways)
     asked = saved(queries.select("direction", "p", "q").distinct(), "asked")
-    got = reached(nodes, ways, edges, asked, least_hot)
+    got = spread(*reached(nodes, ways, edges, asked, least_hot))
     own = ways.filter("begin = 'query' and node is not null").drop("q", "begin", "seed", "first")
     # what a query reached, before the rules are put to it: there are many rules to an end
     mine = got.join(own.select("node", "direction", "p").distinct(), "node").join(asked.withColumnRenamed("q", "x"), ["direction", "p", "x"], "left_semi")
