@@ -112,6 +112,11 @@ def maxplus_topk(fired: DataFrame, keys: list[str], k: int, tie: str = "cand") -
     the order of the confidences) and ``pos`` from 1.
     """
     by = fired.groupBy(*keys, "cand").agg(F.sort_array(F.collect_list(F.struct("conf", (-F.col("rule_id")).alias("r"))), asc=False).alias("f"))
+    return first_by_confidence(by, keys, k, tie)
+
+
+def first_by_confidence(by: DataFrame, keys: list[str], k: int, tie: str = "cand") -> DataFrame:
+    """:func:`maxplus_topk` of candidates with their rules: keys, ``cand`` and ``f``, an array of confidences ``conf`` and negated ids ``r``, largest first."""
     by = by.select(*keys, "cand", F.col("f.conf").alias("confs"), F.transform("f.r", lambda r: -r).alias("rule_ids"))
     return by.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confs"), tie))).filter(F.col("pos") <= k)
 

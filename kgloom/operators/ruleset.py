@@ -8,6 +8,9 @@ beginnings: all steps of all rules form a trie, and each depth of it is one join
 reached with the edges, for every rule at once.  Entities that were reached along a shared
 beginning are found once, whatever the number of rules behind it.
 
+A chain between two variables is walked from the end with fewer entities, and few starts walk
+together as bits of blocks.  What was reached is dealt before rules are put to it, by query or, where a relation has few queries, by candidate.
+
 Bodies are matched as they stand: different variables may stand for one entity.
 Edges into or from hubs are dealt over many tasks (:mod:`kgloom.operators.skew`).
 
@@ -20,18 +23,21 @@ given; repeated triples, rules and queries change nothing.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as rule
 from ..store import saved
-from .apply import BROADCAST_RULES, MAX_READINGS, capped, few, maxplus_topk, unknown_only
-from .skew import hub_join
+from . import skew
+from .apply import BROADCAST_RULES, MAX_READINGS, capped, few, first_by_confidence
+from .skew import dealt, hub_join
 
 #: Kinds of a step: to all neighbours, to the constants that rules name, to nothing but whether there is a neighbour, and from anywhere.
 WALK, CONST, DANGLING, ANY = "walk", "const", "dangling", "any"
 STEP = "struct<rel:string,inv:boolean,kind:string>"
-#: A node of the trie with at most so many starts walks from all of them together.
+#: A node of the trie with at most so many starts walks from all of them together; of a relation with at most so many queries, answers are dealt by candidate.
 FEW_STARTS = 10_000
 
 
@@ -198,26 +204,88 @@ def reached(nodes: DataFrame, ways: DataFrame, edges: DataFrame, queries: DataFr
     return out if out is not None else frontier.select("node", "x", "block", "bits", F.col("at").alias("to")), names
 
 
-def fired(rules: DataFrame, triples: DataFrame, queries: DataFrame, least_hot: int | None = None) -> DataFrame:
-    """``direction, p, q, cand, rule_id`` of all rules (``rule_id, rule``) and queries (``direction, p, q``)."""
+def shorter(ways: DataFrame, kept: DataFrame, asked: DataFrame) -> DataFrame:
+    """``ways`` of :func:`oriented`, those between two variables from the end with fewer entities.
+
+    Where a chain's last step can end at fewer entities than are asked about, it is walked back from all of these, and
+    begins ``far``.  The counts are estimates that change no result.
+    """
+    last = F.try_element_at("steps", F.lit(-1))
+    ends = kept.groupBy(F.col("p").alias("_rel")).agg(F.approx_count_distinct("s").alias("_s"), F.approx_count_distinct("o").alias("_o"))  # a row a relation
+    rows = ways.withColumn("_rel", last["rel"]).join(F.broadcast(ends), "_rel", "left").join(F.broadcast(asked.groupBy("direction", "p").agg(F.count("*").alias("_n"))), ["direction", "p"], "left")
+    pairs = (F.col("begin") == "query") & F.col("answer").isNull() & F.col("target").isNull()
+    far = F.coalesce(pairs & (F.when(last["inv"], F.col("_s")).otherwise(F.col("_o")) < F.col("_n")), F.lit(False))
+    return rows.select(*[F.when(far, "far").otherwise(F.col(c)).alias(c) if c == "begin" else F.when(far, _turned(F.col(c))).otherwise(F.col(c)).alias(c) if c == "steps" else c for c in ways.columns])
+
+
+@dataclass
+class _Ends:
+    """``rows``: ``kind, direction, p, node, m, q, cand``, what queries reached, before rules are put to it; ``q`` or ``cand`` is null where rules name it.
+
+    ``ways``: ``kind, direction, p, node, m, rule_id, _q, answer``; ``sides``: ``direction, p, wide``, whether a relation has so few
+    queries that rows are dealt by candidate; ``once``: no rule fires twice for a query and candidate.
+    """
+
+    rows: DataFrame
+    ways: DataFrame
+    sides: DataFrame
+    once: bool
+
+    def fired(self, rows: DataFrame) -> DataFrame:
+        """``direction, p, q, cand, rule_id`` and other columns of ``rows``; there are many rules to an end."""
+        rest = [c for c in rows.columns if c not in self.rows.columns]
+        q = F.coalesce("q", "_q")
+        return rows.join(few(self.ways), ["kind", "direction", "p", "node", "m"]).select("direction", "p", q.alias("q"), F.when(F.col("answer") == "=", q).otherwise(F.coalesce("cand", "answer")).alias("cand"), "rule_id", *rest)
+
+    def by(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the entity ``_by`` that they are dealt by: the query, or the candidate if a relation has few queries."""
+        return rows.join(F.broadcast(self.sides), ["direction", "p"]).withColumn("_by", F.when(F.col("wide"), F.col("cand")).otherwise(F.col("q"))).drop("wide")
+
+    def tasks(self) -> int:
+        """How many partitions hold ``ROWS_A_TASK`` of the rows that fire each; those that the session sets at least."""
+        keys = ["kind", "direction", "p", "node", "m"]
+        n = [rows.groupBy(*keys).agg(F.count("*").alias(name)) for rows, name in ((self.rows, "_n"), (self.ways, "_k"))]
+        total = n[0].join(n[1], keys).agg(F.sum(F.col("_n") * F.col("_k"))).first()[0] or 0
+        return max(int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // skew.ROWS_A_TASK))
+
+
+def _ends_of(rules: DataFrame, triples: DataFrame, queries: DataFrame, least_hot: int | None = None) -> _Ends:
     found = saved(chains(rules.select("rule_id", "rule").distinct()), "chains")
     bad = found.filter(~F.col("ok")).select("rule_id", "rule").limit(5).collect()
     if bad:
         raise ValueError(f"rules whose body is no chain: {', '.join(f'{r.rule_id}: {r.rule}' for r in bad)}")
     once = found.groupBy("rule_id").count().filter("count > 1").isEmpty()
-    nodes, ways = trie(oriented(found))
-    edges = _edges(named(triples, nodes), nodes, ways)
     asked = saved(queries.select("direction", "p", "q").distinct(), "asked")
-    got = spread(*reached(nodes, ways, edges, asked, least_hot))
-    own = ways.filter("begin = 'query' and node is not null").drop("q", "begin", "seed", "first")
-    # what a query reached, before the rules are put to it: there are many rules to an end
-    mine = got.join(own.select("node", "direction", "p").distinct(), "node").join(asked.withColumnRenamed("q", "x"), ["direction", "p", "x"], "left_semi")
-    from_query = ended(mine, own, ["node", "direction", "p"]).select("direction", "p", F.col("x").alias("q"), F.when(F.col("answer") == "=", F.col("x")).otherwise(F.coalesce("answer", "to")).alias("cand"), "rule_id")
-    rest = ways.filter("begin <> 'query'").join(asked, ["direction", "p", "q"], "left_semi").select("node", F.col("seed").alias("x"), "direction", "p", "q", "rule_id")
-    from_seed = got.join(rest.filter("x is not null"), ["node", "x"]).unionByName(got.drop("x").join(rest.filter("x is null"), "node"))
-    bare = ways.filter("node is null").join(asked.withColumnRenamed("q", "_q"), ["direction", "p"]).select("direction", "p", F.col("_q").alias("q"), F.col("answer").alias("cand"), "rule_id")
-    every = from_query.unionByName(from_seed.select("direction", "p", "q", F.col("to").alias("cand"), "rule_id")).unionByName(bare)
-    return every if once else every.distinct()  # a rule has one way a direction, and a way reaches an end once
+    kept = named(triples, found.select(F.explode("steps.rel").alias("rel")))
+    nodes, ways = trie(shorter(oriented(found), kept, asked))
+    got, names = reached(nodes, ways, _edges(kept, nodes, ways), asked, least_hot)
+    keys, end = ["direction", "p"], F.coalesce("node", F.lit(-1).cast("long")).alias("node")
+    none, bare = F.lit(None).cast("string"), F.col("node").isNull()
+    rest = saved(ways.filter("begin in ('seed', 'any')").join(asked, [*keys, "q"], "left_semi").withColumn("m", F.coalesce("seed", F.lit(""))), "rest")
+    own = ways.filter("begin = 'query'").withColumn("kind", F.when(bare, "bare").when(F.col("answer").isNull(), "pair").otherwise("test"))
+    far = ways.filter("begin = 'far'")
+    row = lambda df, kind, m, q, cand: df.select(F.lit(kind).alias("kind") if isinstance(kind, str) else kind, *keys, end, m.alias("m"), q.alias("q"), cand.alias("cand"))
+
+    mine = spread(got.join(few(own.filter(~bare).select("node", *keys, "kind").distinct()), "node"), names).join(asked.withColumnRenamed("q", "x"), [*keys, "x"], "left_semi")
+    pair, x, to, blank = F.col("kind") == "pair", F.col("x"), F.col("to"), F.lit("")
+    rows = row(mine, F.col("kind"), F.when(pair, "").otherwise(F.coalesce(to, blank)), x, F.when(pair, to))
+    seeded = spread(got.join(few(rest.select("node").distinct()), "node", "left_semi"), names).withColumn("m", F.coalesce(x, blank))
+    rows = rows.unionByName(row(seeded.join(few(rest.select("node", "m", *keys).distinct()), ["node", "m"]), "seed", F.col("m"), none, to))
+    back = got.join(few(far.select("node", *keys).distinct()), "node").join(asked.withColumnRenamed("q", "to"), [*keys, "to"], "left_semi")
+    rows = rows.unionByName(row(spread(back, names), "pair", blank, to, x))
+    rows = rows.unionByName(row(asked.join(few(own.filter(bare).select(*keys).distinct()), keys, "left_semi").withColumn("node", F.lit(None).cast("long")), "bare", blank, F.col("q"), none))
+
+    way = lambda df, kind, m, q: df.select(kind.alias("kind"), *keys, end, m.alias("m"), "rule_id", q.alias("_q"), "answer")
+    put = way(own, F.col("kind"), F.when(F.col("kind") == "test", F.coalesce("target", blank)).otherwise(blank), none).unionByName(way(far, F.lit("pair"), blank, none)).unionByName(way(rest, F.lit("seed"), F.col("m"), F.col("q")))
+    sides = asked.groupBy(*keys).agg((F.count("*") <= FEW_STARTS).alias("wide"))
+    return _Ends(saved(rows, "reached"), saved(put, "put"), saved(sides, "sides"), once)
+
+
+def fired(rules: DataFrame, triples: DataFrame, queries: DataFrame, least_hot: int | None = None) -> DataFrame:
+    """``direction, p, q, cand, rule_id`` of all rules (``rule_id, rule``) and queries (``direction, p, q``)."""
+    ends = _ends_of(rules, triples, queries, least_hot)
+    every = ends.fired(ends.rows)
+    return every if ends.once else every.distinct()  # a rule has one way a direction, and a way reaches an end once
 
 
 def of_asked(known: DataFrame, queries: DataFrame) -> DataFrame:
@@ -251,16 +319,23 @@ def apply_rules(
     queries' column ``target``, if it is named.  Candidates are compared by their confidences, largest first; then by name.
     """
     active = saved(rules.filter(rule.is_active(F.col("rule"), F.col("num_true"), shapes, least_support, least_support, longest)).select("rule_id", "rule", "conf").distinct(), "active")
-    found = fired(active, triples, queries)
     keys = ["direction", "p", "q"]
+    ends = _ends_of(active, triples, queries)
+    rows, tasks = ends.by(ends.rows), ends.tasks()
+    # ends are dealt before rules are put to them, but for those whose place rules name
+    early = ends.fired(dealt(rows.filter("_by is not null"), tasks, "_by"))
+    late = dealt(ends.by(ends.fired(rows.filter("_by is null").drop("_by"))), tasks, "_by")
+    found = early.unionByName(late).join(few(active.select("rule_id", "conf")), "rule_id").withColumn("what", F.lit(0))
+    found = found if ends.once else found.distinct()
+    none = {"rule_id": F.lit(None).cast(dict(found.dtypes)["rule_id"]), "conf": F.lit(None).cast(dict(found.dtypes)["conf"])}
+    given = []
     if known is not None:
-        known = of_asked(known, queries)
-        if target is not None:
-            given = queries.select(*keys, F.col(target).alias("_target")).distinct()
-            exempt = found.join(given.withColumnRenamed("_target", "cand"), [*keys, "cand"], "left_semi")
-            others = found.join(given.withColumnRenamed("_target", "cand"), [*keys, "cand"], "left_anti")
-            found = unknown_only(others, known, keys).unionByName(exempt)
-        else:
-            found = unknown_only(found, known, keys)
-    with_conf = found.join(active.select("rule_id", "conf"), "rule_id")
-    return capped(capped(maxplus_topk(with_conf, keys, topk), top_rules), top_rules, "confs").select(*keys, "cand", F.col("pos").cast("long").alias("pos"), "confs", "rule_ids")
+        given.append(of_asked(known, queries).select(*keys, F.col("a").alias("cand"), F.lit(1).alias("what")))
+    if known is not None and target is not None:
+        given.append(queries.select(*keys, F.col(target).alias("cand"), F.lit(2).alias("what")))
+    for told in given:
+        found = found.unionByName(dealt(ends.by(told.dropna(subset=[*keys, "cand"])), tasks, "_by").withColumns(none))
+    rule_of = F.when(F.col("what") == 0, F.struct("conf", (-F.col("rule_id")).alias("r")))
+    by = found.groupBy("_by", *keys, "cand").agg(F.sort_array(F.collect_list(rule_of), asc=False).alias("f"), F.max(F.col("what") == 1).alias("_known"), F.max(F.col("what") == 2).alias("_target"))
+    by = by.filter((F.size("f") > 0) & (~F.col("_known") | F.col("_target")))
+    return capped(capped(first_by_confidence(by.select(*keys, "cand", "f"), keys, topk), top_rules), top_rules, "confs").select(*keys, "cand", F.col("pos").cast("long").alias("pos"), "confs", "rule_ids")
