@@ -98,10 +98,10 @@ def rule_apply_file(spark, d):
  select rk.direction, t.s, t.p, t.o, rk.cand, (rk.pos - 1)::int as pos, array_to_string(rk.ids[1:3], ',') as ids from t join rk on rk.p = t.p and rk.q = case rk.direction when 'tail' then t.s else t.o end where t.p in {_TARGETS} and rk.pos <= 4""")
 def explanation_records(spark, d):
     """Explanation records of every triple of five relations, both directions, made with the rule file, written and read back."""
-    triples = graph.project(spark, d)
+    triples = graph.projected(spark, d)
     loaded = rules.from_lines(rule_file(spark, d))
     found = saved(ruleset.apply_rules(loaded, triples, _asked(triples), _known(triples), topk=4, top_rules=5, shapes=SHAPES), "applied")
-    records = formats.explained(triples.filter(F.col("p").isin(*_TARGETS)), found.select("direction", "p", "q", "cand", (-F.col("pos")).alias("score")), found, most=3)
+    records = formats.explained(graph.project(spark, d, _TARGETS), found.select("direction", "p", "q", "cand", (-F.col("pos")).alias("score")), found, most=3)
     path = f"{tables_dir(spark)}/records-{uuid.uuid4().hex}"
     records.select("value").write.text(path)
     back = formats.explanations(spark.read.text(path))
