@@ -98,14 +98,7 @@ def metrics_of(rows: DataFrame, weights: DataFrame, biases: DataFrame, entities:
     fired = dealt(rows, tasks_of(rows), *_BY).select(*columns, F.explode_outer("rule_ids").alias("rule_id"))
     sums = fired.join(weights.select("p", "rule_id", "trained"), ["p", "rule_id"], "left").groupBy(*columns).agg(F.coalesce(F.sum("trained"), F.lit(0.0)).alias("_sum"))
     scored = sums.join(biases.select("p", "bias"), "p", "left").withColumn("s", F.when(F.col("is_cand"), F.round(_value(F.col("_sum"), model, constrained), score.DIGITS)))
-    level = F.when(F.col("s") > 0, F.col("s"))  # null: golds that are no candidates, or of score 0
-    levels = scored.groupBy(*_BY, level.alias("s")).agg(F.count(F.when(F.col("counts") & (F.col("s") > 0), 1)).alias("same"), F.sum("golds").alias("golds"), F.max("is_cand").alias("is_cand"))
-    of_query = Window.partitionBy(*_BY).orderBy(F.desc("s"))
-    whole = of_query.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    more = F.coalesce(F.sum("same").over(of_query.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = levels.withColumns({"more": more, "all": F.sum("same").over(whole), "any": F.max("is_cand").over(whole)}).filter("golds > 0")
-    rank = F.when(F.col("s").isNotNull(), F.col("more") + (F.col("same") + 2) / 2).when(F.col("any"), F.col("all") + (F.lit(entities) - F.col("all") + 1) / 2)
-    return score.metrics(levels.select("p", "direction", rank.alias("rank"), "golds"), ["p", "direction"], "golds")
+    return score.metrics(score.ranks_of_marked(scored, _BY, entities), ["p", "direction"], "golds")
 
 
 def metrics(split: Split, weights: DataFrame, biases: DataFrame, entities: int, model: str = "linear", constrained: bool = True, pairs: DataFrame | None = None) -> DataFrame:

@@ -91,6 +91,22 @@ def ranks(scored: DataFrame, golds: DataFrame, entities: int, keys: list[str], f
     return own.select(*keys, "gold", F.coalesce("n_cands", F.lit(0)).alias("n_cands"), rank.alias("rank"))
 
 
+def ranks_of_marked(rows: DataFrame, keys: list[str], entities: int) -> DataFrame:
+    """``keys, rank, golds`` of golds: the ranks of :func:`ranks`, with no shuffle where ``rows`` are dealt by their first key.
+
+    ``rows``: keys, the rounded score ``s`` (null if no candidate), ``golds`` (how often it is a gold), ``is_cand``, and ``counts``: it is a
+    candidate and neither gold nor filtered.
+    """
+    level = F.when(F.col("s") > 0, F.col("s"))  # null: golds that are no candidates, or of score 0
+    levels = rows.groupBy(*keys, level.alias("s")).agg(F.count(F.when(F.col("counts") & (F.col("s") > 0), 1)).alias("same"), F.sum("golds").alias("golds"), F.max("is_cand").alias("is_cand"))
+    of_query = Window.partitionBy(*keys).orderBy(F.desc("s"))
+    whole = of_query.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    more = F.coalesce(F.sum("same").over(of_query.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.withColumns({"more": more, "all": F.sum("same").over(whole), "any": F.max("is_cand").over(whole)}).filter("golds > 0")
+    rank = F.when(F.col("s").isNotNull(), F.col("more") + (F.col("same") + 2) / 2).when(F.col("any"), F.col("all") + (F.lit(entities) - F.col("all") + 1) / 2)
+    return levels.select(*keys, rank.alias("rank"), "golds")
+
+
 def metrics(ranked: DataFrame, by: list[str], times: str | None = None) -> DataFrame:
     """``n, mrr, h1, h10``; golds without a rank count in n and score nothing.  A row stands for as many golds as its column ``times`` says, or for one."""
     n = F.col(times) if times else F.lit(1).cast("long")

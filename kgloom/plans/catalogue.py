@@ -8,8 +8,9 @@ lines of the order tables by arithmetic that both engines share.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as rule
@@ -302,7 +303,7 @@ def _parts(spark, d):
     lines = graph.read(spark, d, "lineitem")
     train = shipped(spark, d, "q").filter("part > 1").select("q", "a")
     contains = graph.dealt(lines.select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("v")), line_tasks(spark, d), "q").distinct()
-    supplied = lines.filter((F.col("l_orderkey") * 31 + F.col("l_suppkey") * 17) % 10 > 1).select(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("a")).distinct()
+    supplied = lines.filter((F.col("l_orderkey") * 31 + F.col("l_suppkey") * 17) % 10 > 1).select(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("a"))
     return train, contains, supplied
 
 
@@ -322,9 +323,15 @@ def rule_mine_uc(spark, d):
 @query(f", {_SPLIT} select 1 as rule_id, num_preds, num_true from cyc")
 def rule_support_counts(spark, d):
     train, contains, supplied = _parts(spark, d)
-    tasks = line_tasks(spark, d)
-    path = answers.along(contains, answers.sets(supplied, "v", "a"), "q", "v", tasks=tasks)
-    return answers.support(path, answers.sets(train, "q", "a", tasks)).select(F.lit(1).alias("rule_id"), "num_preds", "num_true")
+    contains = saved(contains, "contains")
+    found = answers.followed(contains, _suppliers(supplied, contains), "q", "v", supplied, "a")
+    return answers.followed_support(found, train, "q", "a").select(F.lit(1).alias("rule_id"), "num_preds", "num_true")
+
+
+def _suppliers(supplied, contains):
+    """The suppliers of each part, written once."""
+    tasks = max(int(contains.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contains.count() // answers.LISTS_A_TASK))
+    return saved(answers.lists_of(supplied, "v", "a", tasks), "suppliers")
 
 
 _SLICE = f"""{_SPLIT},
@@ -345,19 +352,22 @@ def shipped_by_completion(spark, d):
     known = every.filter("part > 0").select("q", "a")
     _, contains, supplied = _parts(spark, d)
     contains = saved(contains, "contains")
-    tasks = line_tasks(spark, d)
-    by_part = answers.Answers(saved(answers.sets(supplied, "v", "a").light, "suppliers"))
-    counts = answers.support(answers.along(contains, by_part, "q", "v", tasks=tasks), answers.sets(train, "q", "a", tasks)).select(rule.confidence(F.col("num_preds"), F.col("num_true")).alias("conf"))
+    by_part = _suppliers(supplied, contains)
+    counts = answers.followed_support(answers.followed(contains, by_part, "q", "v", supplied, "a"), train, "q", "a").select(rule.confidence(F.col("num_preds"), F.col("num_true")).alias("conf"))
     counts = saved(counts, "counts")
-    asked = gold.select("q").distinct()
-    of_asked = saved(contains.join(asked, "q", "left_semi"), "asked")
-    by_constant = of_asked.join(mined(train, contains, tasks), "v").select("q", F.col("a").alias("cand"), "conf")
-    by_path = answers.pairs(answers.along(of_asked, by_part, "q", "v", tasks=tasks)).select(F.col("node").alias("q"), F.col("answer").alias("cand")).crossJoin(F.broadcast(counts))  # counts is one row
-    f = apply.unknown_only(by_constant.unionByName(by_path), known, ["q"])
-    scored = saved(f.groupBy("q", "cand").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score")), "scored")
+    of_asked = saved(contains.join(gold.select("q").distinct(), "q", "left_semi"), "asked")
+    path = answers.followed(of_asked, by_part, "q", "v", supplied, "a")
+    by_path = answers.followed_pairs(path).select(F.col("node").alias("q"), F.col("answer").alias("a")).crossJoin(F.broadcast(counts))  # counts is one row
+    by_constant = of_asked.join(mined(train, contains, line_tasks(spark, d)), "v").select("q", "a", "conf")
+    none = F.lit(None).cast("double")
+    parts = ((by_path, 0), (graph.dealt(by_constant, path.tasks, "q"), 0), (graph.dealt(known.join(gold.select("q").distinct(), "q", "left_semi"), path.tasks, "q").withColumn("conf", none), 1), (graph.dealt(gold, path.tasks, "q").select("q", F.col("gold").alias("a"), none.alias("conf")), 2))
+    rows = reduce(DataFrame.unionByName, [part.select("q", F.col("a").cast("long").alias("cand"), "conf", F.lit(what).alias("what")) for part, what in parts])
+    # all meet by query: what fired, what is known and what is asked for
+    of = lambda what: F.col("what") == what
+    rows = rows.groupBy("q", "cand").agg(F.sum(F.log(1 - F.col("conf"))).alias("_sum"), (F.max(of(0)) & ~F.max(of(1))).alias("is_cand"), F.sum(F.when(of(2), 1).otherwise(0)).alias("golds"))
+    rows = rows.withColumns({"s": F.when(F.col("is_cand"), F.round(1 - F.exp("_sum"), score.DIGITS)), "counts": F.col("is_cand") & (F.col("golds") == 0)}).filter("is_cand or golds > 0")
     entities = graph.read(spark, d, "supplier").count()
-    ranked = score.ranks(scored, gold, entities, ["q"])
-    return score.metrics(ranked, []).select(F.col("n").alias("golds"), *[F.round(c, 9).alias(c) for c in ("mrr", "h1", "h10")])
+    return score.metrics(score.ranks_of_marked(rows, ["q"], entities), [], "golds").select(F.col("n").alias("golds"), *[F.round(c, 9).alias(c) for c in ("mrr", "h1", "h10")])
 
 
 flagship = shipped_by_completion
